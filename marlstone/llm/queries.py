@@ -7,10 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language_id, packing, quality_rules, tokens
+from marlstone.llm import chat_format, language_id, packing, quality_rules, tokens
 from marlstone.llm.common import crc_mod, read_table
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text")
+    )
+    turns = chat_format.canonical(chat_format.turn_records(rows.unionByName(extra)))
+    read = chat_format.parsed(chat_format.formatted(turns))
+    all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(all_turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)' AS p FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), p, '\1\\\2\3', 'g')) + 1
+    + length(regexp_replace(text, p, '\1\\\2\3', 'g')) + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents"))
 
@@ -47,8 +81,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL}
