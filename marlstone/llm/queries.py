@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, language_id, packing, quality_rules, tokens
-from marlstone.llm.common import crc_mod, read_table
+from marlstone.llm import chat_format, exact_digest, language_id, packing, quality_rules, token_files, tokens
+from marlstone.llm.common import crc_mod, read_table, stored
+
+
+#: The end-of-document id: of <|endoftext|> in the public vocabulary, which no text encodes to.
+END_ID = 50256
+
+
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_files.document_blocks(read_table(spark, sf_dir, "documents"), end_id=END_ID, **tokens.public_codec())
+    return token_files.documents_of(blocks, END_ID)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +78,10 @@ SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
 
+def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_digest.fingerprinted(read_table(spark, sf_dir, "documents"), stored)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), **tokens.public_codec())
 
@@ -81,8 +94,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_separator_scan": op1_separator_scan,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_exact_digest": op5_exact_digest,
     "op6_packing": op6_packing,
     "op10_language_id": op10_language_id,
 }
