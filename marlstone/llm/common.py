@@ -54,3 +54,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Bits of a hash filter: a fixed 2 MB. More keys only let more rows pass; what passes is always checked again.
+FILTER_BITS = 1 << 24
+
+
+def hash_filter(keys: DataFrame, column: str) -> bytes:
+    """Bits of the non-negative longs in `column`, modulo FILTER_BITS. A row for each 32 bits at most reaches the driver."""
+    bit = keys.select((F.col(column) % FILTER_BITS).alias("bit"))
+    words = bit.groupBy((F.col("bit") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("m"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    rows = words.toArrow()
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+    return out.tobytes()
+
+
+def filter_bits(raw: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").view(bool)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches of rows sorted by a key without nulls, as tables of whole runs: each key's rows are in one table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        if held and k[0].as_py() != held[-1].column(key)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        values = k.to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(values, values[-1], "left"))
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -22,8 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter of digests that occur twice or more: a fixed 1 MB. More digests only let more texts pass to the comparison.
-FILTER_BITS = 1 << 23
+from marlstone.llm.common import FILTER_BITS, filter_bits, hash_filter
 
 
 def canonical(text: str | None) -> bytes:
@@ -94,15 +93,8 @@ def paired(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(stream, PAIRED)
 
 
-def repeated_filter(digests: DataFrame) -> bytes:
-    """Bits of the digests in column `fingerprint` that occur twice or more, as a filter of FILTER_BITS bits."""
-    twice = digests.groupBy("fingerprint").count().where("count > 1")
-    bit = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long") % FILTER_BITS
-    words = twice.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("m"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["m"]
-    return out.tobytes()
+def bit_of(fingerprint: str) -> int:
+    return int(fingerprint[:8], 16) % FILTER_BITS
 
 
 def classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -111,17 +103,19 @@ def classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     Only these documents' bytes are moved, compressed by a function of the bytes alone, so that equal means equal. Copies are
     counted in each task before the shuffle.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_filter(digests))  # 1 MB, fixed
+    twice = digests.groupBy("fingerprint").count().where("count > 1")
+    key = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long").alias("key")
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(twice.select(key), "key"))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        passes = filter_bits(bits.value)
         pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
             ids, prints, bodies = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = canonical(text)
                 d = digest(c)
-                if passes[int(d[:8], 16) % FILTER_BITS]:
+                if passes[bit_of(d)]:
                     ids.append(doc_id), prints.append(d), bodies.append(pack(c))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.string()), pa.array(bodies, pa.binary())], ["doc_id", "fingerprint", "body"])
 
