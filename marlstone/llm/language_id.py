@@ -112,10 +112,17 @@ def decoded(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[:, 0], 1 / (1 + np.exp(-gap))
 
 
-#: Tokens that a margin is scaled to: a short text's margin counts for less.
+#: N-grams that a margin is scaled to: a short text's margin counts for less.
 SCALE = 50.0
 
 
+def margin(model: Model, text: str) -> np.ndarray:
+    """Of each bit: the mean log odds of the text's n-grams, scaled."""
+    f = features(text)
+    n = f.sum()
+    return (f @ model.weights) / n * (SCALE * n / (n + SCALE))
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
     """The columns of `keep`, then lang_pred, score (0 to 1) and ambiguous. The text alone decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x a fixed number of buckets and bits
@@ -129,10 +136,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFram
             ok = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.languages else []
             lang, score, unclear = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             if ok:
-                f = [features(texts[i]) for i in ok]
-                n = np.array([x.sum() for x in f], float)
-                margins = np.stack([x @ m.weights for x in f]) / n[:, None] * (SCALE * n / (n + SCALE))[:, None]
-                best, share = decoded(m, margins)
+                best, share = decoded(m, np.stack([margin(m, texts[i]) for i in ok]))
                 for i, k, s in zip(ok, best, share, strict=True):
                     lang[i], score[i], unclear[i] = m.languages[k], s, s < CLEAR
             kept = [b.column(f.name) for f in fields]
