@@ -6,8 +6,9 @@ which two linked units must share one, rare tokens first. Groups that share no t
 overlap with the union of a group's tokens bounds its overlap with each member, and only groups that this bound lets pass
 are opened and counted member by member. All arithmetic is in integers, so links at the threshold are exact.
 
-What is asked for is connection, so pairs that are already connected need no look: a first round only meets each group with one leader
-of each shared token; a second meets all pairs of groups that share a token and are not yet of one component. No bucket is
+What is asked for is connection, so pairs that are already connected need no look. A first round meets each group with one unit
+of a leading group of each shared token. Then units are grouped anew, by component, and those around a crowded token that are still apart
+with each other; a second round meets all pairs of groups that share a token and are not of one component. No bucket is
 capped. Order and filters may use fixed-size sketches; they change which tokens are looked up first, never what is found.
 
 Texts without a word have an empty set and are linked with nothing. Repeated rows and copies are one unit. Columns besides doc_id
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import FILTER_BITS, filter_bits, hash_filter, mixed, runs
@@ -31,8 +32,10 @@ Store = Callable[[DataFrame, str], DataFrame]
 
 #: Tokens of a group's members, about: more are split to further groups.
 GROUP_TOKENS = 1 << 17
-#: Tokens that are first in a unit's order in so many units count as frequent.
-FREQUENT = 16
+#: Tokens that are among the first of so many units count as frequent.
+FREQUENT = 2
+#: A token that is first in more groups than this is crowded: what is still apart there is put together before pairs are made.
+CROWD = 16
 #: Places of the sketch of frequent tokens: 4 MB, fixed.
 SKETCH = 1 << 22
 
@@ -112,9 +115,10 @@ def grouped(units: DataFrame) -> DataFrame:
 
 
 def shared_entries(units: DataFrame, percent: int) -> DataFrame:
-    """The matrix where a token is in two groups or more: (t, gid, low, high, leader), sizes of the group's units with that token.
+    """The matrix where a group has a partner: (t, gid, low, high, leader), sizes of the group's units with that token.
 
-    Of a token's groups by ascending size, the first is the leader of those that it can be linked with; then the next leads.
+    Groups of a token come by ascending size; one that no other fits in size is left out. The first is the leader of those
+    that it can be linked with; then the next leads.
     """
     entries = units.select("gid", "n", F.explode("first").alias("t")).groupBy("t", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     dealt = entries.repartition("t").sortWithinPartitions("t", "low", "gid")
@@ -126,20 +130,35 @@ def shared_entries(units: DataFrame, percent: int) -> DataFrame:
             keep = np.zeros(len(t), bool)
             keep[same] = keep[same + 1] = True
             t, g, low, high = t[keep], g[keep], low[keep], high[keep]
-            leader, at = np.empty(len(t), np.int64), 0
+            leader, fits, at, most = np.empty(len(t), np.int64), np.zeros(len(t), bool), 0, 0
             for k in range(len(t)):
-                if k and (t[k] != t[at] or 100 * high[at] < percent * low[k]):
+                new = not k or t[k] != t[k - 1]
+                if not new and 100 * most >= percent * low[k]:
+                    fits[k] = True
+                if k + 1 < len(t) and t[k + 1] == t[k] and percent * low[k + 1] <= 100 * high[k]:
+                    fits[k] = True
+                if new or 100 * high[at] < percent * low[k]:
                     at = k
-                elif not k:
-                    at = 0
+                most = high[k] if new else max(most, high[k])
                 leader[k] = g[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, g, low, high, leader)], ["t", "gid", "low", "high", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (t, g, low, high, leader)], ["t", "gid", "low", "high", "leader"])
 
     return dealt.select("t", "gid", "low", "high").mapInArrow(lead, "t long, gid long, low long, high long, leader long")
 
 
+def regrouped(members: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members in new groups, with their component: by component; if they have none, by the least group around their crowded tokens; else as before."""
+    known = members.join(labels, F.col("sid") == F.col("node"), "left").withColumn("mine", F.coalesce(F.xxhash64("component"), F.col("gid")))
+    crowded = entries.groupBy("t").count().where(F.col("count") > CROWD).select("t")
+    each = known.select("sid", "mine", F.explode("first").alias("t")).join(crowded, "t")
+    least = each.groupBy("t").agg(F.min("mine").alias("least"))
+    near = each.join(least, "t").groupBy("sid").agg(F.min("least").alias("near"))
+    key = F.when(F.col("component").isNotNull(), F.col("mine")).when(F.col("near").isNotNull(), F.xxhash64("near")).otherwise(F.col("gid"))
+    return grouped(known.join(near, "sid", "left").select("sid", "n", "first", "component", key.alias("key")))
+
+
 def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(gid, sid, tokens) of the members (sid, rep, gid): their sets again, from a scan in which a filter of fixed size chooses the documents."""
+    """(sid, tokens) of the members (sid, rep): their sets again, from a scan in which a filter of fixed size chooses the documents."""
     hashed = F.expr("xxhash64(rep) & 9223372036854775807").alias("h")
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(hashed), "h"))
 
@@ -151,7 +170,7 @@ def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
 
     rows = docs.select("text", F.expr("xxhash64(doc_id) & 9223372036854775807").alias("h"))
-    return rows.mapInArrow(read, "sid binary, tokens binary").join(members.select("sid", "gid"), "sid").dropDuplicates(["sid"])
+    return rows.mapInArrow(read, "sid binary, tokens binary")
 
 
 class _Union(dict):
@@ -191,11 +210,11 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return out
 
 
-def opened(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def opened(pairs: DataFrame, members: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between the groups of each pair (g, h), g = h for links within a group; enough to connect all that are linked."""
     named = pairs.select(F.xxhash64("g", "h").alias("p"), "g", "h")
     sides = named.select("p", "g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("gid"))
-    rows = sides.join(table, "gid").select("p", "g", "h", "gid", "sid", "tokens")
+    rows = sides.join(members.select("gid", "sid"), "gid").join(table, "sid").select("p", "g", "h", "gid", "sid", "tokens")
     dealt = rows.repartition("p").sortWithinPartitions("p", "g", "h")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,18 +235,22 @@ def opened(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(check, "a binary, b binary")
 
 
-def unconnected(entries: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g, h) that share a token and whose units are not all of one component, sizes allowing."""
-    of = members.join(labels, F.col("sid") == F.col("node"), "left").select("gid", F.coalesce("component", "sid").alias("c"))
-    known = of.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    rows = entries.join(known, "gid").select("t", "gid", "low", "high", "c0", "c1")
-    mixed_tokens = rows.groupBy("t").agg(F.min("c0").alias("m"), F.max("c1").alias("x")).where("m <> x").select("t")
-    rows = rows.join(mixed_tokens, "t")
-    one = rows.select("t", *(F.col(c).alias(f"a_{c}") for c in ("gid", "low", "high", "c0", "c1")))
-    two = rows.select("t", *(F.col(c).alias(f"b_{c}") for c in ("gid", "low", "high", "c0", "c1")))
-    apart = (F.col("a_c0") != F.col("b_c0")) | (F.col("a_c1") != F.col("b_c1")) | (F.col("a_c0") != F.col("a_c1"))
+def lead_of(gid: str) -> Column:
+    """The id of the group that is one unit of group gid alone."""
+    return F.xxhash64(F.lit("lead"), F.col(gid))
+
+
+def apart(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (g, h) that share a token and are not of one component, sizes allowing, and groups without one with themselves."""
+    of = members.groupBy("gid").agg(F.min("component").alias("c"), F.count("*").alias("n"))
+    rows = shared_entries(members, percent).join(of.select("gid", "c"), "gid")
+    one = rows.select("t", *(F.col(c).alias(f"a_{c}") for c in ("gid", "low", "high", "c")))
+    two = rows.select("t", *(F.col(c).alias(f"b_{c}") for c in ("gid", "low", "high", "c")))
     fits = (percent * F.col("a_low") <= 100 * F.col("b_high")) & (percent * F.col("b_low") <= 100 * F.col("a_high"))
-    return one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & apart & fits).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h")).distinct()
+    differ = F.coalesce(F.col("a_c") != F.col("b_c"), F.lit(True))
+    pairs = one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & differ & fits).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
+    within = of.where("c IS NULL AND n > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    return pairs.distinct().union(within)
 
 
 def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
@@ -244,17 +267,18 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
 
     several = units.groupBy("gid").count().where("count > 1").select("gid")
     met = entries.select("gid").union(several).distinct()
-    members = store(units.join(met, "gid").select("gid", "sid", "rep"), "members")
-    table = store(token_table(docs, members, size), "tokens")
-
-    led = entries.where("gid <> leader").select(F.least("gid", "leader").alias("g"), F.greatest("gid", "leader").alias("h")).distinct()
-    first_pairs = store(led.union(several.select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "pairs")
-    edges = store(opened(first_pairs, table, percent), "links")
+    members = store(units.join(met, "gid").select("gid", "sid", "rep", "n", "first"), "members")
+    table = store(token_table(docs, members, size).join(members.select("sid"), "sid").dropDuplicates(["sid"]), "tokens")
+
+    led = entries.where("gid <> leader").select(F.col("gid").alias("g"), lead_of("leader").alias("h")).distinct()
+    within = several.select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    leads = members.groupBy("gid").agg(F.min("sid").alias("sid")).select(lead_of("gid").alias("gid"), "sid")
+    with_leads = members.select("gid", "sid").union(leads)
+    edges = store(opened(led.union(within), with_leads, table, percent), "links")
+    labels = components(edges, store)
+    members = store(regrouped(members, entries, labels), "members")
+    edges = store(edges.union(opened(apart(members, percent), members, table, percent)), "links")
     labels = components(edges, store)
-    more = store(unconnected(entries, members, labels, percent).join(first_pairs, ["g", "h"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        edges = edges.union(store(opened(more, table, percent), "links"))
-        labels = components(edges, store)
 
     reps = units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
     least = reps.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
