@@ -210,11 +210,10 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return out
 
 
-def opened(pairs: DataFrame, members: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the groups of each pair (g, h), g = h for links within a group; enough to connect all that are linked."""
-    named = pairs.select(F.xxhash64("g", "h").alias("p"), "g", "h")
-    sides = named.select("p", "g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("gid"))
-    rows = sides.join(members.select("gid", "sid"), "gid").join(table, "sid").select("p", "g", "h", "gid", "sid", "tokens")
+def opened(sides: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the groups of each pair (g, h), g = h for links within a group; enough to connect all that are linked.
+    `sides` has (g, h, gid, sid), the units of each pair that may be linked there."""
+    rows = sides.join(table, "sid").select(F.xxhash64("g", "h").alias("p"), "g", "h", "gid", "sid", "tokens")
     dealt = rows.repartition("p").sortWithinPartitions("p", "g", "h")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,22 +234,42 @@ def opened(pairs: DataFrame, members: DataFrame, table: DataFrame, percent: int)
     return dealt.mapInArrow(check, "a binary, b binary")
 
 
-def lead_of(gid: str) -> Column:
-    """The id of the group that is one unit of group gid alone."""
-    return F.xxhash64(F.lit("lead"), F.col(gid))
+def sides_of(pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(g, h, gid, sid) of pairs (t, g, h): the units of both groups that hold a token which the groups share. Linked units hold one in common."""
+    each = pairs.select("t", "g", "h", F.explode(F.array("g", "h")).alias("gid"))
+    return each.join(holders, ["t", "gid"]).select("g", "h", "gid", "sid").distinct()
 
 
-def apart(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g, h) that share a token and are not of one component, sizes allowing, and groups without one with themselves."""
-    of = members.groupBy("gid").agg(F.min("component").alias("c"), F.count("*").alias("n"))
-    rows = shared_entries(members, percent).join(of.select("gid", "c"), "gid")
+def within(members: DataFrame) -> DataFrame:
+    """(g, h, gid, sid) of the units of groups without a component and with two units or more."""
+    several = members.groupBy("gid").count().where("count > 1").select("gid")
+    return members.join(several, "gid").select(F.col("gid").alias("g"), F.col("gid").alias("h"), "gid", "sid")
+
+
+def holders_of(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """(t, gid, sid): the units that hold the tokens of the matrix."""
+    return members.select("gid", "sid", F.explode("first").alias("t")).join(entries.select("t").distinct(), "t")
+
+
+def led(entries: DataFrame, holders: DataFrame) -> DataFrame:
+    """Sides for round one: of each token, each group and one unit of the group that leads it."""
+    leads = holders.groupBy("t", "gid").agg(F.min("sid").alias("sid")).withColumnRenamed("gid", "leader")
+    found = entries.where("gid <> leader").select("t", "gid", "leader").join(leads, ["t", "leader"])
+    pairs = found.select("t", F.col("gid").alias("g"), F.xxhash64(F.lit("lead"), "sid").alias("h"), F.col("sid").alias("lead"))
+    ours = pairs.join(holders.withColumnRenamed("gid", "g"), ["t", "g"]).select("g", "h", F.col("g").alias("gid"), "sid")
+    return ours.union(pairs.select("g", "h", "h", "lead")).distinct()
+
+
+def apart(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (t, g, h) that share a token and are not of one component, sizes allowing."""
+    of = members.groupBy("gid").agg(F.min("component").alias("c"))
+    rows = entries.join(of, "gid")
     one = rows.select("t", *(F.col(c).alias(f"a_{c}") for c in ("gid", "low", "high", "c")))
     two = rows.select("t", *(F.col(c).alias(f"b_{c}") for c in ("gid", "low", "high", "c")))
     fits = (percent * F.col("a_low") <= 100 * F.col("b_high")) & (percent * F.col("b_low") <= 100 * F.col("a_high"))
     differ = F.coalesce(F.col("a_c") != F.col("b_c"), F.lit(True))
-    pairs = one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & differ & fits).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
-    within = of.where("c IS NULL AND n > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    return pairs.distinct().union(within)
+    met = one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & differ & fits)
+    return met.select("t", F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
 
 
 def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
@@ -270,14 +289,12 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     members = store(units.join(met, "gid").select("gid", "sid", "rep", "n", "first"), "members")
     table = store(token_table(docs, members, size).join(members.select("sid"), "sid").dropDuplicates(["sid"]), "tokens")
 
-    led = entries.where("gid <> leader").select(F.col("gid").alias("g"), lead_of("leader").alias("h")).distinct()
-    within = several.select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    leads = members.groupBy("gid").agg(F.min("sid").alias("sid")).select(lead_of("gid").alias("gid"), "sid")
-    with_leads = members.select("gid", "sid").union(leads)
-    edges = store(opened(led.union(within), with_leads, table, percent), "links")
-    labels = components(edges, store)
-    members = store(regrouped(members, entries, labels), "members")
-    edges = store(edges.union(opened(apart(members, percent), members, table, percent)), "links")
+    sides = led(entries, holders_of(members, entries)).union(within(members))
+    edges = store(opened(sides, table, percent), "links")
+    members = store(regrouped(members, entries, components(edges, store)), "members")
+    entries = store(shared_entries(members, percent), "entries")
+    sides = sides_of(apart(members, entries, percent), holders_of(members, entries)).union(within(members.where("component IS NULL")))
+    edges = store(edges.union(opened(sides, table, percent)), "links")
     labels = components(edges, store)
 
     reps = units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")

@@ -10,6 +10,7 @@ doc_id and text are ignored, so they may have any names. An empty table gives an
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -132,3 +133,14 @@ def judged(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """doc_id, the measurements, fail_bits, base_failed and kept under the policy."""
     base_failed = ~passes(BASE)
     return ledger(docs).withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & passes(policy))
+
+
+def kept_rows(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps. Rows pass through the ledger as one struct: no join.
+
+    The observed count keeps the filter above the ledger: pushed below, it would evaluate the measurements once for each use.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    verdict = judged(docs.select(row.alias("doc_id"), "text"), policy).select("doc_id", "kept")
+    counts = F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kept"), 1)).alias("kept")
+    return verdict.observe(f"{policy.name}-{uuid.uuid4().hex}", *counts).where("kept").select("doc_id.*")
