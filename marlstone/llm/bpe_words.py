@@ -1,8 +1,8 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. Each distinct pre-token of the corpus is encoded once and decoded once: encoded in the
-task that the shuffle brings it to, decoded by a join of its ids with the token-byte table. Ids then return to the
-places of the pre-tokens, and texts are put together by position.
+Texts are cut into pre-tokens. Each distinct pre-token of the corpus is encoded once, in the task that the shuffle brings it
+to. Ids then return to the places of the pre-tokens, and texts are put together by position. Decoding joins ids with
+the token-byte table, a fixed vocabulary, which is broadcast.
 
 Word frequencies are skewed, so places are treated in two ways. The most frequent words, HEAD at most, return by a
 broadcast of that bounded size: their places need no shuffle. All other words' places are exploded, joined with
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
 
 #: Words that return by broadcast, at most: about 10 MB.
-HEAD = 1 << 17
+HEAD = 1 << 18
 #: Distinct words that a task counts, or cut texts that it remembers, before it starts anew.
 HELD = 300_000
 
@@ -83,41 +84,27 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def encoded_words(words: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
-    """(word, n, ids): each distinct word encoded once."""
+    """(word, n, ids): each distinct word encoded once; ids as little-endian unsigned 32-bit integers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.codec(rank_lines, pattern)
         for b in batches:
-            ids = [encoder.encode_ordinary(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            ids = [tokens.ids_of(encoder, w).astype("<u4").tobytes() for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(encode, "word string, n long, ids array<int>")
+    return words.select("word", "n").mapInArrow(encode, "word string, n long, ids binary")
 
 
-def token_bytes(spark, rank_lines: bytes) -> DataFrame:
-    """(id, bytes) of the vocabulary."""
-    ranks = tokens.ranks_of(rank_lines)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+def _ids(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
 
 
-def decoded_words(words: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds `bytes`: the word's ids joined with the token-byte table (a fixed vocabulary, so broadcast) and put together by position."""
-    each = words.select("word", "n", "ids", F.posexplode("ids").alias("k", "id"))
-    joined = each.join(F.broadcast(table), "id").groupBy("word").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("k", "bytes"))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda p: F.hex(p["bytes"])), "")
-    return joined.select("word", "n", "ids", F.unhex(hexed).alias("bytes"))
-
-
-def _line(ids: list[int]) -> bytes:
-    return " ".join(map(str, ids)).encode()
-
-
-def placed(docs: DataFrame, head: list[str], pattern: str) -> DataFrame:
-    """(doc_id, codes, rest) per document: codes are compressed places in the head, -1 for the words of `rest`, in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD words at most
+def placed(docs: DataFrame, head: Broadcast, pattern: str) -> DataFrame:
+    """(row, doc_id, codes, rest) per document: codes are compressed places in the head, -1 for the words of `rest`, in order.
+    Rows are numbered by partition and place, the same whenever the scan is run again."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, at = Cutter(pattern), {w: k for k, w in enumerate(shared.value)}
+        cutter, at, row = Cutter(pattern), {w: k for k, w in enumerate(head.value[0])}, TaskContext.get().partitionId() << 33
         pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
             codes, rest = [], []
@@ -126,37 +113,41 @@ def placed(docs: DataFrame, head: list[str], pattern: str) -> DataFrame:
                 c = np.fromiter((at.get(w, -1) for w in words), np.int32, len(words))
                 codes.append(pack(c.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))  # like bytes together
                 rest.append([words[k] for k in np.flatnonzero(c < 0)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "codes", "rest"])
+            rows = pa.array(np.arange(row, row + len(codes)))
+            row += len(codes)
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["row", "doc_id", "codes", "rest"])
 
-    return docs.select("doc_id", "text").mapInArrow(place, "doc_id long, codes binary, rest array<string>")
+    return docs.select("doc_id", "text").mapInArrow(place, "row long, doc_id long, codes binary, rest array<string>")
 
 
 def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, store, head_words: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document. `store` writes a DataFrame to the shared folder and reads it again."""
-    spark = docs.sparkSession
-    words = store(decoded_words(encoded_words(word_counts(docs, pattern), rank_lines, pattern), token_bytes(spark, rank_lines)), "words")
-    head = words.orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids", "bytes").toArrow()
-    listed = head.column("word").to_pylist()
-    lines = [_line(x) for x in head.column("ids").to_pylist()]
-    known = spark.sparkContext.broadcast((lines, head.column("bytes").to_pylist(), [len(x) for x in head.column("ids").to_pylist()]))
-    rows = store(placed(docs, listed, pattern).withColumn("row", F.monotonically_increasing_id()), "places")
+    words = store(encoded_words(word_counts(docs, pattern), rank_lines, pattern), "words")
+    top = words.orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids").toArrow()
+    head = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), top.column("ids").to_pylist()))  # head_words at most
+    rows = placed(docs, head, pattern)
     each = rows.select("row", F.posexplode("rest").alias("k", "word"))
-    back = each.join(words.select("word", "ids", "bytes"), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "bytes"))).alias("rest"))
-    whole = rows.select("row", "doc_id", "codes").join(back, "row", "left").select("doc_id", "codes", "rest.ids", "rest.bytes")
+    back = each.join(words.select("word", "ids"), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("rest"))
+    whole = rows.select("row", "doc_id", "codes").join(back, "row", "left").select("doc_id", "codes", "rest.ids")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h_lines, h_bytes, h_n = known.value
-        sizes, open_up = np.array([*h_n, 0], np.int64), zstandard.ZstdDecompressor().decompress
+        table = {k: v for v, k in tokens.ranks_of(rank_lines).items()}  # the token-byte table
+        line_of = lambda ids: " ".join(map(str, ids)).encode()
+        bytes_of = lambda ids: b"".join(map(table.__getitem__, ids))
+        known = [_ids(x) for x in head.value[1]]
+        h_lines, h_bytes = list(map(line_of, known)), list(map(bytes_of, known))
+        sizes, open_up = np.array([*map(len, known), 0], np.int64), zstandard.ZstdDecompressor().decompress
+        del known
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for packed, ids, parts in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for packed, others in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 c = np.frombuffer(open_up(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
-                ids = ids or []
+                ids = [_ids(x) for x in others or []]
                 n.append(int(sizes[c].sum()) + sum(map(len, ids)))
                 if ids:
-                    more, others = iter(map(_line, ids)), iter(parts)
-                    line = [h_lines[k] if k >= 0 else next(more) for k in c.tolist()]
-                    text = [h_bytes[k] if k >= 0 else next(others) for k in c.tolist()]
+                    lines, parts = map(line_of, ids), map(bytes_of, ids)
+                    line = [h_lines[k] if k >= 0 else next(lines) for k in c.tolist()]
+                    text = [h_bytes[k] if k >= 0 else next(parts) for k in c.tolist()]
                 else:
                     line, text = map(h_lines.__getitem__, c.tolist()), map(h_bytes.__getitem__, c.tolist())
                 ids_sha.append(hashlib.sha256(b" ".join(line)).hexdigest())

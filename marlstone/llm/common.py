@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,11 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage so that lost executors cost no recomputation."""
-    spark = df.sparkSession
+    """df written as Parquet in the shared folder and read again: cuts the lineage so that lost executors cost no recomputation.
+
+    Spark drops the shuffle files of a finished plan when the JVM collects the plan. That is asked for here, or they would take disk until it happens.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def crc_mod(doc_id: str, n: int) -> Column:
