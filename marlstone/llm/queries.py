@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe_words, chat_format, exact_digest, jaccard_groups, language_id, packing, quality_rules, token_files, tokens
+from marlstone.llm import bpe_words, chat_format, exact_digest, jaccard_groups, language_id, packing, quality_rules, site_style, token_files, tokens
 from marlstone.llm.common import crc_mod, read_table, stored
 
 
@@ -20,6 +20,10 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(blocks, END_ID)
 
 
+def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extracted(read_table(spark, sf_dir, "pages"), stored)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -103,6 +107,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
+    "op2_site_style": op2_site_style,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_digest": op5_exact_digest,
