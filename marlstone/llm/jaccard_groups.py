@@ -154,7 +154,7 @@ def regrouped(members: DataFrame, entries: DataFrame, labels: DataFrame) -> Data
     least = each.groupBy("t").agg(F.min("mine").alias("least"))
     near = each.join(least, "t").groupBy("sid").agg(F.min("least").alias("near"))
     key = F.when(F.col("component").isNotNull(), F.col("mine")).when(F.col("near").isNotNull(), F.xxhash64("near")).otherwise(F.col("gid"))
-    return grouped(known.join(near, "sid", "left").select("sid", "n", "first", "component", key.alias("key")))
+    return grouped(known.join(near, "sid", "left").select("sid", "rep", "n", "first", "component", key.alias("key")))
 
 
 def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -169,8 +169,8 @@ def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             sets = [s for t in b.column(0).take(pa.array(at)).to_pylist() if len(s := shingles(t, size))]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
 
-    rows = docs.select("text", F.expr("xxhash64(doc_id) & 9223372036854775807").alias("h"))
-    return rows.mapInArrow(read, "sid binary, tokens binary")
+    rows = docs.select("text", F.expr("xxhash64(doc_id) & 9223372036854775807").alias("h")).mapInArrow(read, "sid binary, tokens binary")
+    return rows.join(members.select("sid"), "sid").dropDuplicates(["sid"])
 
 
 class _Union(dict):
@@ -210,9 +210,10 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return out
 
 
-def opened(sides: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def opened(docs: DataFrame, sides: DataFrame, units: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between the groups of each pair (g, h), g = h for links within a group; enough to connect all that are linked.
-    `sides` has (g, h, gid, sid), the units of each pair that may be linked there."""
+    `sides` has (g, h, gid, sid), the units of each pair that may be linked there; only their sets are made again."""
+    table = token_table(docs, units.join(sides.select("sid").distinct(), "sid").select("sid", "rep"), size)
     rows = sides.join(table, "sid").select(F.xxhash64("g", "h").alias("p"), "g", "h", "gid", "sid", "tokens")
     dealt = rows.repartition("p").sortWithinPartitions("p", "g", "h")
 
@@ -234,10 +235,35 @@ def opened(sides: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(check, "a binary, b binary")
 
 
-def sides_of(pairs: DataFrame, holders: DataFrame) -> DataFrame:
-    """(g, h, gid, sid) of pairs (t, g, h): the units of both groups that hold a token which the groups share. Linked units hold one in common."""
-    each = pairs.select("t", "g", "h", F.explode(F.array("g", "h")).alias("gid"))
-    return each.join(holders, ["t", "gid"]).select("g", "h", "gid", "sid").distinct()
+def _ceil(x: Column) -> Column:
+    return F.ceil(x).cast("long")
+
+
+def least_shared(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """First tokens that a unit of size n shares at least with a linked unit of a size between low and high; null if no such size fits.
+
+    Units x and y with overlap o have their k-th common token among their first k + |x| - o and k + |y| - o. So of the common
+    tokens, as many are first in both as the smaller of what the two prefixes leave beyond |x| - o and |y| - o.
+    """
+    low = F.greatest(low, _ceil(percent * n / 100))
+    high = F.least(high, F.floor(100 * n / percent).cast("long"))
+    overlap = lambda m: _ceil(percent * (n + m) / (100 + percent) - 1e-9)
+    ours = 1 - _ceil(percent * n / 100) + overlap(low)
+    theirs = 1 - _ceil(percent * high / 100) + overlap(high)
+    return F.when(low <= high, F.greatest(F.lit(1), F.least(ours, theirs)))
+
+
+def _enough(sides: DataFrame, percent: int) -> DataFrame:
+    """(g, h, gid, sid) of the sides (t, g, h, gid, sid, n, low, high) with enough tokens shared."""
+    each = sides.groupBy("g", "h", "gid", "sid", "n").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return each.where(F.col("shared") >= least_shared(F.col("n"), F.col("low"), F.col("high"), percent)).select("g", "h", "gid", "sid")
+
+
+def sides_of(pairs: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """(g, h, gid, sid) of pairs (t, g, h, sizes): the units of both groups that share enough tokens with the other group's union."""
+    side = lambda own, other: F.struct(F.col(own).alias("gid"), F.col(f"{other}_low").alias("low"), F.col(f"{other}_high").alias("high"))
+    each = pairs.select("t", "g", "h", F.explode(F.array(side("g", "b"), side("h", "a"))).alias("s")).select("t", "g", "h", "s.*")
+    return _enough(each.join(holders, ["t", "gid"]), percent)
 
 
 def within(members: DataFrame) -> DataFrame:
@@ -247,17 +273,19 @@ def within(members: DataFrame) -> DataFrame:
 
 
 def holders_of(members: DataFrame, entries: DataFrame) -> DataFrame:
-    """(t, gid, sid): the units that hold the tokens of the matrix."""
-    return members.select("gid", "sid", F.explode("first").alias("t")).join(entries.select("t").distinct(), "t")
+    """(t, gid, sid, n): the units that hold the tokens of the matrix."""
+    return members.select("gid", "sid", "n", F.explode("first").alias("t")).join(entries.select("t").distinct(), "t")
 
 
-def led(entries: DataFrame, holders: DataFrame) -> DataFrame:
+def led(entries: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
     """Sides for round one: of each token, each group and one unit of the group that leads it."""
-    leads = holders.groupBy("t", "gid").agg(F.min("sid").alias("sid")).withColumnRenamed("gid", "leader")
+    leads = holders.groupBy("t", "gid").agg(F.min(F.struct("sid", "n")).alias("lead")).withColumnRenamed("gid", "leader")
     found = entries.where("gid <> leader").select("t", "gid", "leader").join(leads, ["t", "leader"])
-    pairs = found.select("t", F.col("gid").alias("g"), F.xxhash64(F.lit("lead"), "sid").alias("h"), F.col("sid").alias("lead"))
-    ours = pairs.join(holders.withColumnRenamed("gid", "g"), ["t", "g"]).select("g", "h", F.col("g").alias("gid"), "sid")
-    return ours.union(pairs.select("g", "h", "h", "lead")).distinct()
+    pairs = found.select("t", F.col("gid").alias("g"), F.xxhash64(F.lit("lead"), "lead.sid").alias("h"), "lead")
+    ours = pairs.join(holders.withColumnRenamed("gid", "g"), ["t", "g"])
+    ours = _enough(ours.select("t", "g", "h", F.col("g").alias("gid"), "sid", "n", F.col("lead.n").alias("low"), F.col("lead.n").alias("high")), percent)
+    theirs = pairs.select("g", "h", F.col("lead.sid").alias("lead")).distinct().join(ours.select("g", "h").distinct(), ["g", "h"])
+    return ours.union(theirs.select("g", "h", "h", "lead"))
 
 
 def apart(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +297,7 @@ def apart(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     fits = (percent * F.col("a_low") <= 100 * F.col("b_high")) & (percent * F.col("b_low") <= 100 * F.col("a_high"))
     differ = F.coalesce(F.col("a_c") != F.col("b_c"), F.lit(True))
     met = one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & differ & fits)
-    return met.select("t", F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
+    return met.select("t", F.col("a_gid").alias("g"), F.col("b_gid").alias("h"), "a_low", "a_high", "b_low", "b_high")
 
 
 def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
@@ -287,14 +315,13 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     several = units.groupBy("gid").count().where("count > 1").select("gid")
     met = entries.select("gid").union(several).distinct()
     members = store(units.join(met, "gid").select("gid", "sid", "rep", "n", "first"), "members")
-    table = store(token_table(docs, members, size).join(members.select("sid"), "sid").dropDuplicates(["sid"]), "tokens")
-
-    sides = led(entries, holders_of(members, entries)).union(within(members))
-    edges = store(opened(sides, table, percent), "links")
+    sides = store(led(entries, holders_of(members, entries), percent).union(within(members)), "sides")
+    edges = store(opened(docs, sides, members, size, percent), "links")
     members = store(regrouped(members, entries, components(edges, store)), "members")
     entries = store(shared_entries(members, percent), "entries")
-    sides = sides_of(apart(members, entries, percent), holders_of(members, entries)).union(within(members.where("component IS NULL")))
-    edges = store(edges.union(opened(sides, table, percent)), "links")
+    sides = sides_of(apart(members, entries, percent), holders_of(members, entries), percent)
+    sides = store(sides.union(within(members.where("component IS NULL"))), "sides")
+    edges = store(edges.union(opened(docs, sides, members, size, percent)), "links")
     labels = components(edges, store)
 
     reps = units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
