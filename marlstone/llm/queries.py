@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe_words, chat_format, exact_digest, jaccard_groups, language_id, packing, quality_rules, site_style, token_files, tokens
+from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, token_files, tokens
 from marlstone.llm.common import crc_mod, read_table, stored
 
 
@@ -94,6 +94,10 @@ def op7_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.linked_components(read_table(spark, sf_dir, "documents"), stored)
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.scored(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, stored)
+
+
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.round_trip(read_table(spark, sf_dir, "documents"), store=stored, **tokens.public_codec())
 
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_digest": op5_exact_digest,
     "op6_packing": op6_packing,
     "op7_jaccard_groups": op7_jaccard_groups,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_bpe_words": op9_bpe_words,
     "op10_language_id": op10_language_id,
 }
