@@ -36,6 +36,8 @@ GROUP_TOKENS = 1 << 17
 FREQUENT = 2
 #: A token that is first in more groups than this is crowded: what is still apart there is put together before pairs are made.
 CROWD = 16
+#: Units that are put together differ in size by less than this factor.
+SIZES = 1.03
 #: Places of the sketch of frequent tokens: 4 MB, fixed.
 SKETCH = 1 << 22
 
@@ -153,7 +155,9 @@ def regrouped(members: DataFrame, entries: DataFrame, labels: DataFrame) -> Data
     each = known.select("sid", "mine", F.explode("first").alias("t")).join(crowded, "t")
     least = each.groupBy("t").agg(F.min("mine").alias("least"))
     near = each.join(least, "t").groupBy("sid").agg(F.min("least").alias("near"))
-    key = F.when(F.col("component").isNotNull(), F.col("mine")).when(F.col("near").isNotNull(), F.xxhash64("near")).otherwise(F.col("gid"))
+    sizes = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES)))  # sizes close together make a sharp bound
+    around = F.when(F.col("component").isNotNull(), F.xxhash64("mine", sizes)).when(F.col("near").isNotNull(), F.xxhash64("near", F.lit("near"), sizes))
+    key = F.coalesce(around, "gid")
     return grouped(known.join(near, "sid", "left").select("sid", "rep", "n", "first", "component", key.alias("key")))
 
 
@@ -266,10 +270,13 @@ def sides_of(pairs: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
     return _enough(each.join(holders, ["t", "gid"]), percent)
 
 
-def within(members: DataFrame) -> DataFrame:
-    """(g, h, gid, sid) of the units of groups without a component and with two units or more."""
+def within(members: DataFrame, percent: int) -> DataFrame:
+    """(g, h, gid, sid), g = h = gid: the units of each group that share enough first tokens with its other units."""
+    held = members.select("gid", "sid", "n", F.explode("first").alias("t"))
+    shared = held.groupBy("gid", "t").agg(F.count("*").alias("units"), F.min("n").alias("low"), F.max("n").alias("high")).where("units > 1").drop("units")
     several = members.groupBy("gid").count().where("count > 1").select("gid")
-    return members.join(several, "gid").select(F.col("gid").alias("g"), F.col("gid").alias("h"), "gid", "sid")
+    sides = held.join(several, "gid").join(shared, ["gid", "t"])
+    return _enough(sides.select("t", F.col("gid").alias("g"), F.col("gid").alias("h"), "gid", "sid", "n", "low", "high"), percent)
 
 
 def holders_of(members: DataFrame, entries: DataFrame) -> DataFrame:
@@ -315,12 +322,12 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     several = units.groupBy("gid").count().where("count > 1").select("gid")
     met = entries.select("gid").union(several).distinct()
     members = store(units.join(met, "gid").select("gid", "sid", "rep", "n", "first"), "members")
-    sides = store(led(entries, holders_of(members, entries), percent).union(within(members)), "sides")
+    sides = store(led(entries, holders_of(members, entries), percent).union(within(members, percent)), "sides")
     edges = store(opened(docs, sides, members, size, percent), "links")
     members = store(regrouped(members, entries, components(edges, store)), "members")
     entries = store(shared_entries(members, percent), "entries")
     sides = sides_of(apart(members, entries, percent), holders_of(members, entries), percent)
-    sides = store(sides.union(within(members.where("component IS NULL"))), "sides")
+    sides = store(sides.union(within(members.where("component IS NULL"), percent)), "sides")
     edges = store(edges.union(opened(docs, sides, members, size, percent)), "links")
     labels = components(edges, store)
 
