@@ -35,8 +35,8 @@ ROUNDS = 4
 HEAD = 1 << 18
 #: Distinct words that a task counts before it passes them on.
 HELD = 500_000
-#: Texts whose recursion runs side by side.
-SIDE_BY_SIDE = 4096
+#: Words of the texts whose recursion runs side by side, about; a longer text runs alone.
+SIDE_BY_SIDE = 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -163,8 +163,8 @@ def initial(vocab: Vocabulary, states: int) -> Model:
 def blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(order, classes, starts): texts by falling length, a row of words per step; at step t the first starts[t + 1] - starts[t] texts go on."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    for lo in range(0, len(order), SIDE_BY_SIDE):
-        some = order[lo : lo + SIDE_BY_SIDE]
+    part = np.cumsum([len(texts[k]) for k in order]) // SIDE_BY_SIDE
+    for some in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []:
         lengths = np.array([len(texts[k]) for k in some])
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # texts longer than t
         starts = np.concatenate([[0], np.cumsum(live)])
