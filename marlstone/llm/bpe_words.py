@@ -5,8 +5,9 @@ to. Ids then return to the places of the pre-tokens, and texts are put together
 the token-byte table, a fixed vocabulary, which is broadcast.
 
 Word frequencies are skewed, so places are treated in two ways. The most frequent words, HEAD at most, return by a
-broadcast of that bounded size: their places need no shuffle. All other words' places are exploded, joined with
-the encoded words, and meet their document again by its row. Nothing is dropped: every word is of one kind or the other.
+broadcast of that bounded size: their places need no shuffle. All other words' places are exploded and go to the task of
+their word, which encodes it once; their ids meet the document again by its row. One exchange carries both the
+documents, dealt by row, and the places, dealt by word. Nothing is dropped: every word is of one kind or the other.
 
 Null or empty texts have no ids. Repeated rows are encoded each, apart, by a row number. Columns besides doc_id and text are ignored.
 """
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
+from marlstone.llm.common import released
 
-#: Words that return by broadcast, at most: about 10 MB.
-HEAD = 1 << 18
+#: Words that return by broadcast, at most: about 20 MB.
+HEAD = 1 << 19
 #: Distinct words that a task counts, or cut texts that it remembers, before it starts anew.
 HELD = 300_000
 
@@ -84,51 +87,83 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def encoded_words(words: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
-    """(word, n, ids): each distinct word encoded once; ids as little-endian unsigned 32-bit integers."""
+    """(word, ids): ids as little-endian unsigned 32-bit integers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.codec(rank_lines, pattern)
         for b in batches:
             ids = [tokens.ids_of(encoder, w).astype("<u4").tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    return words.select("word", "n").mapInArrow(encode, "word string, n long, ids binary")
+    return words.select("word").mapInArrow(encode, "word string, ids binary")
 
 
 def _ids(raw: bytes) -> list[int]:
     return np.frombuffer(raw, "<u4").tolist()
 
 
+PLACED = "key long, row long, doc_id long, codes binary, k int, word string"
+
+
 def placed(docs: DataFrame, head: Broadcast, pattern: str) -> DataFrame:
-    """(row, doc_id, codes, rest) per document: codes are compressed places in the head, -1 for the words of `rest`, in order.
-    Rows are numbered by partition and place, the same whenever the scan is run again."""
+    """A row per document, and one per place of a word beyond the head. Codes are a document's compressed places in the head, -1 for other words.
+
+    Rows are numbered by partition and place, the same whenever the scan is run again. `key` deals documents by row and places by word.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, at, row = Cutter(pattern), {w: k for k, w in enumerate(head.value[0])}, TaskContext.get().partitionId() << 33
         pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
             codes, rest = [], []
-            for text in b.column(1).to_pylist():
+            for n, text in enumerate(b.column(1).to_pylist()):
                 words = cutter.words(text) if text else []
                 c = np.fromiter((at.get(w, -1) for w in words), np.int32, len(words))
                 codes.append(pack(c.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))  # like bytes together
-                rest.append([words[k] for k in np.flatnonzero(c < 0)])
-            rows = pa.array(np.arange(row, row + len(codes)))
-            row += len(codes)
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["row", "doc_id", "codes", "rest"])
-
-    return docs.select("doc_id", "text").mapInArrow(place, "row long, doc_id long, codes binary, rest array<string>")
-
-
-def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, store, head_words: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document. `store` writes a DataFrame to the shared folder and reads it again."""
-    words = store(encoded_words(word_counts(docs, pattern), rank_lines, pattern), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids").toArrow()
-    head = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), top.column("ids").to_pylist()))  # head_words at most
-    rows = placed(docs, head, pattern)
-    each = rows.select("row", F.posexplode("rest").alias("k", "word"))
-    back = each.join(words.select("word", "ids"), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("rest"))
-    whole = rows.select("row", "doc_id", "codes").join(back, "row", "left").select("doc_id", "codes", "rest.ids")
+                rest += [(row + n, int(k), words[k]) for k in np.flatnonzero(c < 0)]
+            n, m = len(codes), len(rest)
+            rows = pa.array(np.arange(row, row + n))
+            none = lambda kind, n=n: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([rows, rows, b.column(0), pa.array(codes, pa.binary()), none(pa.int32()), none(pa.string())], names)
+            if m:
+                of, k, words = zip(*rest, strict=True)
+                keys = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in words]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(k, pa.int32()), pa.array(words)], names)
+            row += n
+
+    names = [c.split()[0] for c in PLACED.split(", ")]
+    return docs.select("doc_id", "text").mapInArrow(place, PLACED)
+
+
+def encoded_places(dealt: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
+    """(row, k, ids) of the places, each distinct word encoded once: all places of a word are in one partition."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, known = tokens.codec(rank_lines, pattern), {}
+        for b in batches:
+            b = b.filter(b.column("word").is_valid())
+            words = b.column("word").to_pylist()
+            for w in set(words) - known.keys():
+                known[w] = tokens.ids_of(encoder, w).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(list(map(known.__getitem__, words)), pa.binary())], ["row", "k", "ids"])
+
+    return dealt.mapInArrow(encode, "row long, k int, ids binary")
+
+
+def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, head_words: int = HEAD) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    spark = docs.sparkSession
+    top = word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(head_words).select("word").toArrow()
+    top = encoded_words(spark.createDataFrame(top), rank_lines, pattern).toArrow()
+    head = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("ids").to_pylist()))  # head_words at most
+    released(spark)
+    dealt = placed(docs, head, pattern).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    back = encoded_places(dealt, rank_lines, pattern).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("rest"))
+    # Over all columns, and by a value that is not deterministic, so that the filter stays above the exchange and both sides read the same one.
+    document = F.col("codes").isNotNull() & F.col("word").isNull() & F.col("k").isNull()
+    document = F.rand() + F.when(document, 0).otherwise(1) < 1
+    rows = dealt.where(document).select("key", "doc_id", "codes")
+    whole = rows.join(back.withColumnRenamed("row", "key"), "key", "left").select("doc_id", "codes", "rest.ids")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {k: v for v, k in tokens.ranks_of(rank_lines).items()}  # the token-byte table

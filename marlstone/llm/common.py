@@ -32,17 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage so that lost executors cost no recomputation.
+def released(spark: SparkSession) -> None:
+    """Asks the JVM to collect finished plans: Spark drops their shuffle files then, which otherwise take disk until it happens."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
-    Spark drops the shuffle files of a finished plan when the JVM collects the plan. That is asked for here, or they would take disk until it happens.
-    """
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts the lineage so that lost executors cost no recomputation."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -99,7 +99,7 @@ def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_words.round_trip(read_table(spark, sf_dir, "documents"), store=stored, **tokens.public_codec())
+    return bpe_words.round_trip(read_table(spark, sf_dir, "documents"), **tokens.public_codec())
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
