@@ -34,6 +34,8 @@ Store = Callable[[DataFrame, str], DataFrame]
 GROUP_TOKENS = 1 << 17
 #: Tokens that are among the first of so many units count as frequent.
 FREQUENT = 2
+#: Times that the order is drawn up from the tokens that are first by the order before.
+SKETCHES = 2
 #: A token that is first in more groups than this is crowded: what is still apart there is put together before pairs are made.
 CROWD = 16
 #: Units that are put together differ in size by less than this factor.
@@ -97,15 +99,16 @@ def units_of(rows: DataFrame) -> DataFrame:
     return rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), *first)
 
 
-def frequency_sketch(units: DataFrame) -> np.ndarray | None:
-    """A level by place for tokens that are first in many units: the logarithm of how many. None if there are none."""
-    often = units.select(F.explode("first").alias("t")).groupBy("t").count().where(F.col("count") >= FREQUENT)
+def frequency_sketch(rows: DataFrame, before: np.ndarray | None) -> np.ndarray | None:
+    """A level by place for tokens that are first in many texts: the logarithm of how many. Adds to the sketch before; None if there are none."""
+    often = rows.select(F.explode("first").alias("t")).groupBy("t").count().where(F.col("count") >= FREQUENT)
     place = F.expr(f"int(t & {SKETCH - 1})")
-    rows = often.groupBy(place.alias("p")).agg(F.max(F.floor(F.log2("count"))).cast("int").alias("level")).toArrow()
-    if not rows.num_rows:
-        return None
-    out = np.zeros(SKETCH, np.uint8)
-    out[rows.column("p").to_numpy()] = rows.column("level").to_numpy()
+    found = often.groupBy(place.alias("p")).agg(F.max(F.floor(F.log2("count"))).cast("int").alias("level")).toArrow()
+    if not found.num_rows:
+        return before
+    out = np.zeros(SKETCH, np.uint8) if before is None else before.copy()
+    at = found.column("p").to_numpy()
+    out[at] = np.maximum(out[at], found.column("level").to_numpy())
     return out
 
 
@@ -122,8 +125,8 @@ def shared_entries(units: DataFrame, percent: int) -> DataFrame:
     Groups of a token come by ascending size; one that no other fits in size is left out. The first is the leader of those
     that it can be linked with; then the next leads.
     """
-    entries = units.select("gid", "n", F.explode("first").alias("t")).groupBy("t", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    dealt = entries.repartition("t").sortWithinPartitions("t", "low", "gid")
+    dealt = units.select("gid", "n", F.explode("first").alias("t")).repartition("t")
+    entries = dealt.groupBy("t", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")).sortWithinPartitions("t", "low", "gid")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "t"):
@@ -145,7 +148,7 @@ def shared_entries(units: DataFrame, percent: int) -> DataFrame:
                 leader[k] = g[at]
             yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (t, g, low, high, leader)], ["t", "gid", "low", "high", "leader"])
 
-    return dealt.select("t", "gid", "low", "high").mapInArrow(lead, "t long, gid long, low long, high long, leader long")
+    return entries.select("t", "gid", "low", "high").mapInArrow(lead, "t long, gid long, low long, high long, leader long")
 
 
 def regrouped(members: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -311,11 +314,11 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     """doc_id, n_shingles and component_id of each document. Two are linked when 100 * intersection >= percent * union.
     `store` writes a DataFrame to the shared folder and reads it again."""
     docs = docs.select("doc_id", "text")
-    rows = store(signed(docs, size, percent, None), "signed")
+    sketch = None
+    for _ in range(SKETCHES):
+        sketch = frequency_sketch(signed(docs, size, percent, sketch), sketch)
+    rows = store(signed(docs, size, percent, sketch), "signed")
     units = store(units_of(rows), "units")
-    sketch = frequency_sketch(units)
-    if sketch is not None:
-        units = store(units_of(signed(docs, size, percent, sketch)), "units")
     units = store(grouped(units), "groups")
     entries = store(shared_entries(units, percent), "entries")
 
