@@ -24,8 +24,8 @@ def top_of_each(left: DataFrame, right: DataFrame, keys: list[str], n: int, *ord
     return left.join(top, keys, "left")
 
 
-def groups_frame(df: DataFrame, value: Column, partition: list[str], order: str, before: int, after: int) -> Column:
-    """sum(value) over a GROUPS frame, for a df to which `_group` was added by peers_numbered()."""
+def groups_frame(value: Column, partition: list[str], before: int, after: int) -> Column:
+    """sum(value) over a GROUPS frame of a DataFrame to which peers_numbered() added `_group`."""
     return F.sum(value).over(Window.partitionBy(*partition).orderBy("_group").rangeBetween(-before, after))
 
 

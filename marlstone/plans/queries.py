@@ -187,7 +187,7 @@ both(
 )
 def groups_and_exclude_frames(spark, sf_dir):
     df = relational.peers_numbered(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority")
-    two = relational.groups_frame(df, F.col("o_orderkey"), ["o_custkey"], "o_orderpriority", 1, 0)
+    two = relational.groups_frame(F.col("o_orderkey"), ["o_custkey"], 1, 0)
     others = relational.sum_excluding_current(F.col("o_orderkey"), Window.partitionBy("o_custkey"))
     return df.select("o_orderkey", two.alias("two_groups"), others.alias("others"))
 

@@ -1 +1 @@
-"""Part of the library; see the modules."""
+"""Empty: the inventory has no streaming operator."""
