@@ -6,8 +6,8 @@ the token-byte table, a fixed vocabulary, which is broadcast.
 
 Word frequencies are skewed, so places are treated in two ways. The most frequent words, HEAD at most, return by a
 broadcast of that bounded size: their places need no shuffle. All other words' places are exploded and go to the task of
-their word, which encodes it once; their ids meet the document again by its row. One exchange carries both the
-documents, dealt by row, and the places, dealt by word. Nothing is dropped: every word is of one kind or the other.
+their word, which encodes it once; their ids meet the document again by its row. Documents are dealt by row and places by
+word. Nothing is dropped: every word is of one kind or the other.
 
 Null or empty texts have no ids. Repeated rows are encoded each, apart, by a row number. Columns besides doc_id and text are ignored.
 """
@@ -159,7 +159,7 @@ def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, head_words: int
     released(spark)
     dealt = placed(docs, head, pattern).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     back = encoded_places(dealt, rank_lines, pattern).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("rest"))
-    # Over all columns, and by a value that is not deterministic, so that the filter stays above the exchange and both sides read the same one.
+    # Over all columns, and by a value that is not deterministic, so that the filter stays above the exchange.
     document = F.col("codes").isNotNull() & F.col("word").isNull() & F.col("k").isNull()
     document = F.rand() + F.when(document, 0).otherwise(1) < 1
     rows = dealt.where(document).select("key", "doc_id", "codes")
