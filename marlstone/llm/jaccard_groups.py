@@ -251,12 +251,16 @@ def least_shared(n: Column, low: Column, high: Column, percent: int) -> Column:
 
     Units x and y with overlap o have their k-th common token among their first k + |x| - o and k + |y| - o. So of the common
     tokens, as many are first in both as the smaller of what the two prefixes leave beyond |x| - o and |y| - o.
+    The latter falls with |y| by percent^2 / (100 * (100 + percent)) a size, but for less than 2 of rounding: its least value is
+    at one of the last few sizes.
     """
     low = F.greatest(low, _ceil(percent * n / 100))
     high = F.least(high, F.floor(100 * n / percent).cast("long"))
     overlap = lambda m: _ceil(percent * (n + m) / (100 + percent) - 1e-9)
     ours = 1 - _ceil(percent * n / 100) + overlap(low)
-    theirs = 1 - _ceil(percent * high / 100) + overlap(high)
+    few = -(-200 * (100 + percent) // percent**2)
+    last = [F.greatest(low, high - k) for k in range(few)]
+    theirs = F.least(*(1 - _ceil(percent * m / 100) + overlap(m) for m in last))
     return F.when(low <= high, F.greatest(F.lit(1), F.least(ours, theirs)))
 
 

@@ -80,3 +80,19 @@ def brute_with_null(rows):
 
 def test_empty_table(spark):
     assert jaccard_groups.linked_components(spark.createDataFrame([], SCHEMA), stored).collect() == []
+
+
+def test_least_shared_is_a_bound(spark):
+    percent, sizes = 90, range(20, 260)
+    up = lambda a, b: -(-a // b)
+    shared = {}
+    for n in sizes:
+        for m in range(up(percent * n, 100), 100 * n // percent + 1):
+            o = up(percent * (n + m), 100 + percent)
+            shared[n, m] = max(1, 1 + o - max(up(percent * n, 100), up(percent * m, 100)))
+    rows = [(n, low, high) for n in sizes for low in (n - 8, n, n + 3) for high in range(max(low, n - 4), n + 32)]
+    df = spark.createDataFrame(rows, "n long, low long, high long")
+    got = df.select("n", "low", "high", jaccard_groups.least_shared(*(jaccard_groups.F.col(c) for c in df.columns), percent)).collect()
+    for n, low, high, least in got:
+        all_of = [shared[n, m] for m in range(low, high + 1) if (n, m) in shared]
+        assert least == (min(all_of) if all_of else None), (n, low, high)
