@@ -50,11 +50,10 @@ class Cutter(dict):
         return out
 
     def words(self, text: str) -> list[str]:
-        lines = text.split("\n")
-        if len(text.split()) != text.count(" ") + len(lines):
+        if text.split() != text.replace("\n", " ").split(" "):  # other white space, two side by side, or one at an end
             return self.find(text)
         out = []
-        for k, line in enumerate(lines):
+        for k, line in enumerate(text.split("\n")):
             if k:
                 out.append("\n")
             first, *later = line.split(" ")

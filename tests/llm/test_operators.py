@@ -230,6 +230,18 @@ def test_bpe_words(docs, empty, encoder, head):
     assert bpe_words.round_trip(empty, **tokens.public_codec()).collect() == []
 
 
+def test_bpe_words_of_mixed_white_space(spark, encoder):
+    texts = ["a  b\tc\td", "a\n\n\nb\tc\td", "a  b\u00a0c", "a\n\nb\rc", " a\tb", "a\tb\n", "a \nb\x85c", "a b\nc d's", "a\x1cb  c", "a  b\u3000c\n\nd\te"]
+    find = bpe_words.Cutter(tokens.public_codec()["pattern"]).find
+    for n in range(1, 7):
+        texts += map("".join, itertools.product("a \n\t", repeat=n))
+    cutter = bpe_words.Cutter(tokens.public_codec()["pattern"])
+    assert [cutter.words(t) for t in texts] == [find(t) for t in texts]
+    got = bpe_words.round_trip(spark.createDataFrame(list(enumerate(texts[:10])), "doc_id long, text string"), **tokens.public_codec()).collect()
+    ids = {d: encoder.encode_ordinary(t) for d, t in enumerate(texts[:10])}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == {d: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for d, x in ids.items()}
+
+
 def test_language_id(spark):
     words = {"en": "the and of with that this from", "de": "der die und nicht mit ein auf", "fr": "le la des est dans pour une", "es": "el los que una por del las", "it": "il gli che per non una sono", "nl": "het een van niet met voor zijn"}
     rng = np.random.default_rng(1)
