@@ -33,7 +33,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, **tokens.public_codec())
+    return packing.pack(docs, **tokens.public_tokenizer())
 
 
 STAGES = [

@@ -30,6 +30,8 @@ from marlstone.llm import tokens
 TIERS = (128, 256, 512, 1024)
 #: Documents that a task holds before it closes what it can.
 HORIZON = 4096
+#: Texts that a tokenizer encodes at once.
+AT_ONCE = 64
 #: Step groups that sequences of a partition are dealt to.
 STEP_GROUPS = 8
 
@@ -95,11 +97,14 @@ class Packer:
         return size
 
 
-def pack(docs: DataFrame, rank_lines: bytes, pattern: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, horizon: int = HORIZON, step_groups: int = STEP_GROUPS, with_ids: bool = False) -> DataFrame:
-    """One row per piece: the columns of PIECES, and with_ids its ids as little-endian unsigned 32-bit integers."""
+def pack(docs: DataFrame, rank_lines: bytes = b"", pattern: str = "", end_id: int = 0, tiers: tuple[int, ...] = TIERS, horizon: int = HORIZON, step_groups: int = STEP_GROUPS, with_ids: bool = False, tokenizer_json: bytes | None = None) -> DataFrame:
+    """One row per piece: the columns of PIECES, and with_ids its ids as little-endian unsigned 32-bit integers.
+
+    Ids are those of tokenizer_json where it is given, else of rank_lines and pattern, to which strings of special tokens are ordinary text.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.codec(rank_lines, pattern)
+        encoder = tokens.tokenizer(tokenizer_json) if tokenizer_json else tokens.codec(rank_lines, pattern)
         base, made, rows = TaskContext.get().partitionId() << 33, 0, []
         load = [0] * step_groups
 
@@ -121,10 +126,17 @@ def pack(docs: DataFrame, rank_lines: bytes, pattern: str, end_id: int = 0, tier
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:-1], names if with_ids else names[:-1])
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = part.column(1).to_pylist()
+                ids = tokens.ids_by_tokenizer(encoder, texts) if tokenizer_json else [tokens.ids_of(encoder, t) for t in texts]
+                yield from zip(part.column(0).to_pylist(), ids, strict=True)
+
         packer, held, end = Packer(tiers, emit), 0, np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, np.concatenate([tokens.ids_of(encoder, text), end]))
+            for doc_id, ids in encoded(batch):
+                packer.add(doc_id, np.concatenate([ids, end]))
                 held += 1
                 if held >= horizon:
                     packer.close()

@@ -87,7 +87,7 @@ def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), **tokens.public_codec())
+    return packing.pack(read_table(spark, sf_dir, "documents"), **tokens.public_tokenizer())
 
 
 def op7_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

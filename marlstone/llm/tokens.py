@@ -30,6 +30,32 @@ def ids_of(encoder, text: str | None) -> np.ndarray:
     return encoder.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
 
 
+def tokenizer(tokenizer_json: bytes):
+    """The worker's tokenizer of this JSON, built once per Python worker; it works in the task's own thread."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    key = hashlib.blake2b(tokenizer_json).hexdigest()
+    if key not in _CODECS:
+        _CODECS[key] = Tokenizer.from_buffer(tokenizer_json)
+    return _CODECS[key]
+
+
+def ids_by_tokenizer(built, texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of whole texts; added tokens of the JSON are recognised inside them, null counts as empty."""
+    return [np.array(e.ids, np.uint32) for e in built.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def public_tokenizer() -> dict[str, object]:
+    """The public vocabulary as a tokenizer of its JSON, as keyword argument of packing."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return {"tokenizer_json": f.read()}
+
+
 def public_codec() -> dict[str, object]:
     """The public vocabulary that the registered queries use, as keyword arguments of the operators."""
     import public_tokenizers

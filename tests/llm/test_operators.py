@@ -181,6 +181,26 @@ def test_packing(docs, empty, encoder, horizon):
     assert packing.pack(empty, **tokens.public_codec()).collect() == []
 
 
+def test_packing_takes_ids_from_the_tokenizer(docs, empty, spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from marlstone.llm import queries
+
+    built = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*texts_of(docs), (20, "a <|endoftext|> b"), (21, "<|endoftext|>" * 3)]
+    want = [(d, len(i) + 1, zlib.crc32(np.array([*i, 0], "<u4").tobytes())) for d, t in rows for i in [built.encode(t, add_special_tokens=False).ids]]
+    assert built.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for pieces in (queries.op6_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")):
+        got = pieces.collect()
+        whole = [(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["start"] == 0 and r["length"] == r["doc_tokens"]]
+        assert set(whole) <= set(want) and len(whole) > 8
+        assert {(r["doc_id"], r["doc_tokens"]) for r in got} == {w[:2] for w in want}
+    assert packing.pack(empty, **tokens.public_tokenizer()).collect() == []
+
+
 def test_hidden_markov(spark, docs, empty):
     held = crc_mod("doc_id", 7) == 2
     got = hidden_markov.scored(docs, held, stored, classes=4, head=8, states=2, rounds=2).collect()
