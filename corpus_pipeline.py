@@ -26,10 +26,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near-duplicates; of rows with that id, one."""
-    found = jaccard_groups.linked_components(docs, stored)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    """Keeps one row of each component of near-duplicates: that with the least id, or of equal or null ids the least set id."""
+    return jaccard_groups.first_of_each_component(docs, stored)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

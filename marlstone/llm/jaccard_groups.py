@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from marlstone.llm.common import FILTER_BITS, filter_bits, hash_filter, mixed, runs
 from marlstone.llm.components import components
@@ -314,9 +315,8 @@ def apart(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     return met.select("t", F.col("a_gid").alias("g"), F.col("b_gid").alias("h"), "a_low", "a_high", "b_low", "b_high")
 
 
-def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document. Two are linked when 100 * intersection >= percent * union.
-    `store` writes a DataFrame to the shared folder and reads it again."""
+def labelled(docs: DataFrame, store: Store, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (sid, rep, component) of their sets: component is null where a set is linked with no other."""
     docs = docs.select("doc_id", "text")
     sketch = None
     for _ in range(SKETCHES):
@@ -338,7 +338,35 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     edges = store(edges.union(opened(docs, sides, members, size, percent)), "links")
     labels = components(edges, store)
 
-    reps = units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
+    return rows, units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
+
+
+def first_of_each_component(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of docs, with all columns, that come first in their component: by doc_id, nulls last, then set id, then text and the
+    other columns. Rows with an empty set are linked with nothing and are all kept; of rows that are the same throughout, one."""
+    _, reps = labelled(docs, store, size, percent)
+    order = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), "sid")
+    first = reps.groupBy(F.coalesce("component", "sid")).agg(F.min(order).alias("first")).select("first.*", F.lit(True).alias("leads"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            sets = [shingles(t, size) for t in texts]
+            ids = [set_id(s) if len(s) else xxhash.xxh3_128_digest(repr(t).encode()) for s, t in zip(sets, texts, strict=True)]
+            added = [pa.array(ids, pa.binary()), pa.array([not len(s) for s in sets], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "_sid", "_empty"])
+
+    schema = StructType([*docs.schema.fields, StructField("_sid", BinaryType()), StructField("_empty", BooleanType())])
+    keys = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_sid").alias("sid"), F.col("_empty").alias("empty")]
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    rows = docs.mapInArrow(sign, schema).groupBy(*keys).agg(F.min(row).alias("row"))
+    return rows.join(first, ["none", "id", "sid"], "left").where(F.col("empty") | F.col("leads")).select("row.*").select(docs.columns)
+
+
+def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document. Two are linked when 100 * intersection >= percent * union.
+    `store` writes a DataFrame to the shared folder and reads it again."""
+    rows, reps = labelled(docs, store, size, percent)
     least = reps.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
     named = reps.join(least, "component", "left").select(F.col("sid").alias("of"), F.coalesce("least", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("of"), "left")

@@ -61,3 +61,15 @@ def test_stages(spark):
 def test_run_on_an_empty_table(spark, tmp_path):
     read_table(spark, SF, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_of_each_group_by_row(spark):
+    words = lambda k, n=40: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(None, words("a")), (None, words("b")), (1, words("c")), (None, words("c")), (2, words("c", 41)), (2, words("d")), (3, words("e")), (3, words("e")), (3, words("f"))]
+    rows += [(None, words("g")), (None, words("g", 41)), (4, ""), (4, None), (None, " ")]
+    docs = spark.createDataFrame([(t, d, "en") for d, t in rows], "text string, doc_id long, lang string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    either = [r for r in got if r[1] in (words("g"), words("g", 41))]
+    assert len(either) == 1 and either[0][0] is None
+    want = [(None, words("a")), (None, words("b")), (1, words("c")), (2, words("d")), (3, words("e")), (3, words("f")), (4, ""), (4, None), (None, " ")]
+    assert sorted((r for r in got if r not in either), key=str) == sorted(want, key=str)
