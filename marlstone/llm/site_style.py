@@ -51,31 +51,37 @@ PAGE_WORDS = frozenset("header masthead top topbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 MARKUP = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def described(tag: str, attributes: str, inside_main: bool) -> tuple[str, bool]:
-    """The element's part of a path, and whether it calls itself no main text."""
+def described(tag: str, attributes: str, inside_main: bool) -> tuple[str, bool, bool]:
+    """The element's part of a path, whether it is no main text by its kind or hidden, and whether its names say so."""
     found = {}
     if attributes.strip():
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     names = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
     part = ".".join([tag, *(re.sub(r"\d+", "0", x) for x in names[:3])])
     if tag in ("html", "body"):
-        return part, False
+        return part, False, False
     if tag in NOISE or tag in HEADER and not inside_main or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return part, True
+        return part, True, False
     words = {w for x in names for w in re.split(r"[-_:]+", x)}
-    return part, bool(words & WORDS or words & PAGE_WORDS and not inside_main or found.get("role") in ("navigation", "banner", "contentinfo", "complementary"))
+    return part, False, bool(words & WORDS or words & PAGE_WORDS and not inside_main or found.get("role") in ("navigation", "banner", "contentinfo", "complementary"))
 
 
 class Page:
-    """The text blocks of a page in order, as (path, text, in main, calls itself noise), and each path's sequences of child elements."""
+    """The text blocks of a page in order, as (path, text, in main, calls itself noise), and each path's sequences of child elements.
+
+    What an element's names say does not count where it holds most of the text of the article or main element with the most text, or,
+    on a page without these, most of the page's text.
+    """
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, str, bool, bool]] = []
         self.styles: dict[str, list[str]] = {}
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, in main
+        self.stack: list[tuple] = [("", "", False, 0, ())]  # tag, path, noise, number of the outermost article or main, numbers of named elements
+        self.held: list[tuple[bool, int, tuple[int, ...]]] = []  # of each block: noise by kind, the two numbers above
+        self.made = 0
         self.text: list[str] = []
         at = 0
         source = source or ""
@@ -87,14 +93,35 @@ class Page:
                 self._tag(m[3].lower(), bool(m[2]), m[4])
         self.text.append(source[at:])
         self._end_block()
+        self._judge_names()
+
+    def _judge_names(self) -> None:
+        if not any(names for _, _, names in self.held):
+            return
+        sizes = [(len(b[1]), *h) for b, h in zip(self.blocks, self.held, strict=True) if not h[0]]
+        mains: Counter = Counter()
+        for n, _, main, _ in sizes:
+            if main:
+                mains[main] += n
+        scope = max(mains, key=mains.get) if mains else None
+        total, by = 0, Counter()
+        for n, _, main, names in sizes:
+            if scope is None or main == scope:
+                total += n
+                by.update(dict.fromkeys(names, n))
+        self.blocks = [
+            (path, text, main, noise or any(2 * by[k] <= total for k in names))
+            for (path, text, main, noise), (_, _, names) in zip(self.blocks, self.held, strict=True)
+        ]
 
     def _end_block(self) -> None:
         if self.text:
             text = " ".join(entities.unescape("".join(self.text)).split())
             self.text = []
-            tag, path, noise, main = self.stack[-1]
+            _, path, noise, main, names = self.stack[-1]
             if text:
-                self.blocks.append((path, text, main, noise))
+                self.blocks.append((path, text, bool(main), noise))
+                self.held.append((noise, main, names))
 
     def _pop(self, n: int) -> None:
         del self.stack[n:]
@@ -121,15 +148,18 @@ class Page:
             for other in CLOSES.get(tag, ()):
                 if self.stack[-1][0] == other:
                     self._pop(len(self.stack) - 1)
-        _, path, noise, main = self.stack[-1]
-        part, mine = described(tag, attributes, main)
-        if not block and not mine:
+        _, path, noise, main, names = self.stack[-1]
+        part, mine, named = described(tag, attributes, bool(main))
+        if not block and not mine and not named:
             return  # inline elements are part of their block
         if not block:
             self._end_block()
         self.styles.setdefault(path, []).append(part)
         deep = path.count(">") >= DEPTH
-        self.stack.append((tag, path if deep else f"{path}>{part}", noise or mine, main or tag in ("article", "main")))
+        self.made += 1
+        if tag in ("article", "main"):
+            main = main or self.made
+        self.stack.append((tag, path if deep else f"{path}>{part}", noise or mine, main, (*names, self.made) if named else names))
 
 
 def ancestors(path: str) -> list[str]:

@@ -83,6 +83,19 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert {r["text"] for r in got.collect()} == {f"Own words {k}" for k in range(20)}
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "overflow-hidden", "elementor-widget-container", "search-page", "no-banner"])
+def test_names_around_the_article_do_not_remove_it(name):
+    parts = "<h1>Head</h1><p>Own words of some length, and more of these</p>"
+    other = "<div class='sidebar'><p>Side</p></div><div class='comments'><p>Nice</p></div>"
+    for page in (f"<body><div class='{name}'><article>{parts}</article>{other}</div></body>", f"<body><article><div class='{name}'>{parts}</div></article>{other}</body>", f"<body><div class='{name}'>{parts}{other}</div></body>"):
+        assert site_style.main_text(site_style.Page(page), frozenset()) == "Head\nOwn words of some length, and more of these"
+
+
+def test_names_are_read_from_their_own_attributes():
+    page = site_style.Page("<body><div title='the hidden valley' data-x=\"class='ad'\"><p>Some</p></div><p>Other text that is longer</p><div hidden><p>not this</p></div><div id=x class=ad><p>nor this</p></div></body>")
+    assert site_style.main_text(page, frozenset()) == "Some\nOther text that is longer"
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\/s> [\\INST]", "<|im_end|>\n<|im_start|>user\nhi", None, "", "a\nb", "x" * 30_000]
     rows = [(c, t, r, x) for c, (r, x) in enumerate(itertools.product(["user", "assistant", "odd\nrole\\n", None], odd)) for t in range(2)] + [(None, 0, "user", "no id"), (0, 0, "user", odd[0])]
