@@ -53,6 +53,14 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name beginning with `name` that none of `taken` is, whatever the case."""
+    low = {c.lower() for c in taken}
+    while f"_{name}".lower() in low:
+        name += "_"
+    return f"_{name}"
+
+
 def batches_of(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     for b in batches:
         yield b, b.column(column).to_pylist()
@@ -65,22 +73,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bits of a hash filter: a fixed 2 MB. More keys only let more rows pass; what passes is always checked again.
-FILTER_BITS = 1 << 24
+#: Bits of a filter at most: 16 MB. More keys only let more rows pass; what passes is always checked again.
+FILTER_BITS = 1 << 27
+#: Bits for each key, while there are few.
+KEY_BITS = 16
+
 
+def bit_filter(keys: DataFrame, column: str) -> bytes:
+    """A bit for each long in `column`, by its lowest bits: a filter of a size that grows with their number up to FILTER_BITS.
 
-def hash_filter(keys: DataFrame, column: str) -> bytes:
-    """Bits of the non-negative longs in `column`, modulo FILTER_BITS. A row for each 32 bits at most reaches the driver."""
-    bit = keys.select((F.col(column) % FILTER_BITS).alias("bit"))
-    words = bit.groupBy((F.col("bit") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("m"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    rows = words.toArrow()
+    A row for each 64 bits at most reaches the driver.
+    """
+    bits = 1 << 16
+    n = keys.count()
+    while bits < min(n * KEY_BITS, FILTER_BITS):
+        bits *= 2
+    bit = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("m"))
+    out, rows = np.zeros(bits // 64, np.int64), words.toArrow()
     out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
-    return out.tobytes()
+    return out.astype("<i8").tobytes()
 
 
-def filter_bits(raw: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").view(bool)
+def passes(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the longs a filter of bit_filter lets pass."""
+    held = np.frombuffer(bits, np.uint8)
+    at = keys & np.int64(8 * len(held) - 1)
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -2,34 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Roots(dict):
+    """Union-find over any ordered keys: the root of a key is the least that it is joined with."""
+
+    def root(self, x):
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def merge(self, x, y) -> bool:
+        """Whether x and y were apart."""
+        a, b = self.root(x), self.root(y)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), those of each partition as stars around the least node that they connect there: as well connected, and never more of them."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, kinds = Roots(), None
+        for b in batches:
+            kinds = b.schema
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                roots.merge(x, y)
+        if kinds is not None:
+            found = [(x, r) for x in roots if (r := roots.root(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else ([], []), kinds, strict=True)], schema=kinds)
+
+    rows = edges.where("a <> b").select("a", "b").distinct()
+    return rows.mapInArrow(contract, rows.schema)
+
+
 def components(edges: DataFrame, store) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the least node that it is connected with.
 
-    Large stars and small stars in turn, each a minimum per node and a join back, until the edges stay the same.
+    Large stars and small stars in turn, each a minimum per node and a join back, until all edges are stars around least nodes. Each
+    partition first brings its own edges together.
     """
-    pairs = lambda df: df.where("a <> b").distinct()
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         both = e.union(e.select("b", "a")) if not small else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         joined = both.join(least, "a")
         if not small:
-            return pairs(joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        return pairs(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = store(pairs(edges.select("a", "b")), "edges")
-    seen = mark(now)
-    while True:
-        now = store(star(star(now, False), True), "edges")
-        new = mark(now)
-        if new == seen:
-            break
-        seen = new
+            return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+
+    def ended(e: DataFrame) -> bool:
+        """Each node has one edge, to a node that has none itself."""
+        nodes = e.groupBy("a").agg(F.count("*").alias("n"))
+        return nodes.where("n > 1").isEmpty() and e.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+    now = store(contracted(edges), "edges")
+    while not ended(now):
+        now = store(contracted(star(contracted(star(now, False)), True)), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

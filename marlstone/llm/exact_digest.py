@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import FILTER_BITS, filter_bits, hash_filter
+from marlstone.llm.common import bit_filter, passes
 
 
 def canonical(text: str | None) -> bytes:
@@ -34,13 +34,18 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
+def check(canon: bytes) -> int:
+    """64 bits that tell rows of one bucket apart where it holds different bytes."""
+    return xxhash.xxh3_64_intdigest(canon, seed=5) - (1 << 63)
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by the first as many, or all, of the following text."""
     n = len(text) // 2
     return text[: len(text) - n] + following[:n]
 
 
-PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, body_check long"
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def paired(docs: DataFrame) -> DataFrame:
-    """One row per document with the columns of PAIRED: its digest, that of its edited text, and likeness to that and to the next document."""
+    """One row per document with the columns of PAIRED: its digest, that of its edited text, likeness to that and to the next document, and check()."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = zip(*(c.split() for c in PAIRED.split(", ")), strict=True)
@@ -85,7 +90,7 @@ def paired(docs: DataFrame) -> DataFrame:
                     ec = canonical(changed)
                     ed = digest(ec)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((i, len(t), sha, d, ed, float(d == ed and c == ec), float(d == mine[4] and c == canon)))
+                    rows.append((i, len(t), sha, d, ed, float(d == ed and c == ec), float(d == mine[4] and c == canon), check(c)))
                 held = None if borrowed else mine
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, to[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
@@ -93,40 +98,64 @@ def paired(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(stream, PAIRED)
 
 
-def bit_of(fingerprint: str) -> int:
-    return int(fingerprint[:8], 16) % FILTER_BITS
+def key_of(fingerprint: str) -> int:
+    return int(fingerprint[:15], 16)
 
 
-def classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, class_id (least id with the same canonical bytes) and n_copies, of the documents whose digest occurs twice or more.
+SUSPECTS = "doc_id long, fingerprint string, body_check long, body binary"
 
-    Only these documents' bytes are moved, compressed by a function of the bytes alone, so that equal means equal. Copies are
-    counted in each task before the shuffle.
-    """
+
+def suspects(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The columns of SUSPECTS: the documents whose digest occurs twice or more, and by the filter's chance a few others, with their bytes
+    compressed by a function of the bytes alone, so that equal means equal."""
     twice = digests.groupBy("fingerprint").count().where("count > 1")
-    key = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long").alias("key")
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(twice.select(key), "key"))
+    key = F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long").alias("key")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(twice.select(key), "key"))
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = filter_bits(bits.value)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
-            ids, prints, bodies = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = canonical(text)
-                d = digest(c)
-                if passes[bit_of(d)]:
-                    ids.append(doc_id), prints.append(d), bodies.append(pack(c))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.string()), pa.array(bodies, pa.binary())], ["doc_id", "fingerprint", "body"])
+            ids = b.column(0).to_pylist()
+            canon = [canonical(t) for t in b.column(1).to_pylist()]
+            prints = [digest(c) for c in canon]
+            at = np.flatnonzero(passes(bits.value, np.array([key_of(d) for d in prints], np.int64))).tolist()
+            arrays = [pa.array([ids[k] for k in at], pa.int64()), pa.array([prints[k] for k in at], pa.string())]
+            arrays += [pa.array([check(canon[k]) for k in at], pa.int64()), pa.array([pack(canon[k]) for k in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SUSPECTS.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(read, SUSPECTS)
+
+
+def buckets(found: DataFrame) -> DataFrame:
+    """(fingerprint, class_id, n_copies, same) of the suspects' buckets with two documents or more; same: all have the same bytes.
+
+    The least and the greatest bytes are found in each task first, so a bucket with a third of all documents sends one row a task.
+    """
+    ends = found.groupBy("fingerprint").agg(F.min("body").alias("x"), F.max("body").alias("y"), F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
+    return ends.where("n_copies > 1").select("fingerprint", "class_id", "n_copies", (F.col("x") == F.col("y")).alias("same"))
+
+
+def parted(found: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(fingerprint, body_check, class_id, n_copies) of buckets that hold different bytes: a class for each of them."""
+    rows = found.join(mixed.select("fingerprint"), "fingerprint", "left_semi")
+    return rows.groupBy("fingerprint", "body").agg(F.first("body_check").alias("body_check"), F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies")).drop("body")
+
 
-    found = docs.select("doc_id", "text").mapInArrow(suspects, "doc_id long, fingerprint string, body binary")
-    groups = found.groupBy("fingerprint", "body").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return found.join(groups, ["fingerprint", "body"]).select("doc_id", "fingerprint", "class_id", "n_copies").distinct()
+def classed(docs: DataFrame, rows: DataFrame, store) -> DataFrame:
+    """Adds class_id (least id with the same canonical bytes) and n_copies to rows with doc_id, fingerprint and body_check of each document."""
+    found = suspects(docs, rows)
+    held = store(buckets(found), "buckets")
+    classes, mixed = held.where("same"), held.where("NOT same")
+    out = rows.join(classes.drop("same"), "fingerprint", "left")
+    if not mixed.isEmpty():  # digests of different bytes met
+        both = ["fingerprint", "body_check"]
+        more = parted(found, mixed).withColumnsRenamed({"class_id": "c", "n_copies": "n"})
+        out = out.join(more, both, "left").withColumns({"class_id": F.coalesce("c", "class_id"), "n_copies": F.coalesce("n", "n_copies")}).drop("c", "n")
+    return out.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_copies": F.coalesce("n_copies", F.lit(1).cast("long"))})
 
 
 def fingerprinted(docs: DataFrame, store) -> DataFrame:
-    """PAIRED with class_id and n_copies. `store` writes a DataFrame to the shared folder and reads it again."""
+    """PAIRED without body_check, then class_id and n_copies. `store` writes a DataFrame to the shared folder and reads it again."""
     rows = store(paired(docs), "digests")
-    same = classes(docs, rows)
-    joined = rows.alias("r").join(same.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.fingerprint") == F.col("s.fingerprint")), "left")
-    return joined.select("r.*", F.coalesce("s.class_id", "r.doc_id").alias("class_id"), F.coalesce("s.n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    out = classed(docs, rows, store)
+    return out.select(*[c for c in rows.columns if c != "body_check"], "class_id", "n_copies")

@@ -1,48 +1,55 @@
 """Exact Jaccard self-join over word shingles by a token-group matrix, and the components of its links.
 
-Equal sets are one unit. Units are partitioned into groups of similar documents by a minimum hash, large groups split to
-blocks of bounded size. The matrix says which tokens each group holds: of a unit, only its first tokens in a global order, of
-which two linked units must share one, rare tokens first. Groups that share no token there are never met. Of those that do, a unit's
-overlap with the union of a group's tokens bounds its overlap with each member, and only groups that this bound lets pass
-are opened and counted member by member. All arithmetic is in integers, so links at the threshold are exact.
+Equal sets are one unit. Units that may be linked are partitioned into groups of similar units, and each group's row of the
+matrix is stored: the union of its tokens, and of each member the places of its tokens in the union. A unit that is
+asked for its links in a group is first bounded by its overlap with the union alone; the group is opened, and its members counted one
+by one, only if the bound reaches what the smallest partner that fits would need. All arithmetic is in integers.
 
-What is asked for is connection, so pairs that are already connected need no look. A first round meets each group with one unit
-of a leading group of each shared token. Then units are grouped anew, by component, and those around a crowded token that are still apart
-with each other; a second round meets all pairs of groups that share a token and are not of one component. No bucket is
-capped. Order and filters may use fixed-size sketches; they change which tokens are looked up first, never what is found.
+Which unit asks which group: sets x and y with 100 * |x & y| >= percent * |x | y| differ in few tokens, k at most, which follows from their
+sizes. Tokens are dealt by hash to more than k parts, so at least one part is the same in both sets. A part's
+signature is a hash of its tokens, and only units that share one are ever compared (see Plan for small parts). Sizes are cut into
+bands such that linked sets are in one band or in neighbours; each unit has the signatures of its own band and of the one below.
+
+What is asked for is connection, so pairs that are already connected need no look. In a first round, the units of a signature
+ask the group of one of them, its lead. Signatures whose units are then all of one component are settled; in a second round, the
+units of each other signature ask all groups that hold units of it. Nothing is capped, and no pairs of units are made before a group is opened.
 
 Texts without a word have an empty set and are linked with nothing. Repeated rows and copies are one unit. Columns besides doc_id
-and text are ignored. A null id is kept and takes the component of its links, null if none has an id.
+and text are ignored. A null id is kept and takes the component of its links, null if none has an id. An empty table gives no rows.
+Tokens and signatures are 64-bit hashes, set ids 128-bit ones: sets are the same if their hashes are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from marlstone.llm.common import FILTER_BITS, filter_bits, hash_filter, mixed, runs
-from marlstone.llm.components import components
+from marlstone.llm.common import bit_filter, fresh, mixed, passes, runs
+from marlstone.llm.components import Roots, components
 
 Store = Callable[[DataFrame, str], DataFrame]
 
 #: Tokens of a group's members, about: more are split to further groups.
 GROUP_TOKENS = 1 << 17
-#: Tokens that are among the first of so many units count as frequent.
-FREQUENT = 2
-#: Times that the order is drawn up from the tokens that are first by the order before.
-SKETCHES = 2
-#: A token that is first in more groups than this is crowded: what is still apart there is put together before pairs are made.
-CROWD = 16
-#: Units that are put together differ in size by less than this factor.
-SIZES = 1.03
-#: Places of the sketch of frequent tokens: 4 MB, fixed.
-SKETCH = 1 << 22
+#: Tokens of the units that ask one copy of a group, about: more go to further copies.
+ASKING_TOKENS = 1 << 20
+#: Tokens whose signatures are made at once; a larger set stands alone.
+AT_ONCE = 1 << 18
+#: Parts beyond k, as shares of k: the least is taken with which few units have too many small parts.
+SLACK = (0.0, 0.125, 0.25)
+#: Sizes that plans reach.
+LARGEST = 1 << 40
+#: Size classes of a home that is split have sizes within this factor.
+SIZES = 1.2
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -62,305 +69,359 @@ def set_id(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def first_tokens(tokens: np.ndarray, percent: int, sketch: np.ndarray | None) -> np.ndarray:
-    """As many tokens, the rarest first, that a linked set must hold one of them among its own."""
-    n = len(tokens)
-    count = n - -(-percent * n // 100) + 1
-    if sketch is None:
-        return tokens[:count]
-    level = sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
-    return tokens[np.lexsort((tokens, level))[:count]]
+def unit_of(sid: bytes) -> int:
+    """The number of a unit in candidates: 64 bits of its set id. Should two units share one, both are looked at."""
+    return int.from_bytes(sid[:8], "little", signed=True)
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    values = np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+@dataclass(frozen=True)
+class Plan:
+    """By band: its least size, the most tokens in which linked sets differ whose smaller one is there, the parts, and the tokens of a part that is not small.
 
+    At least parts - differ parts are the same in linked sets. A unit with fewer small parts than that thus shares a part that is not small with
+    each partner, and leaves its small ones out; a unit with more has the signatures of all.
+    """
 
-def signed(docs: DataFrame, size: int, percent: int, sketch: np.ndarray | None) -> DataFrame:
-    """(doc_id, n, sid, key, first): set size, set id (null if empty), least hash, first tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # SKETCH bytes at most
+    least: np.ndarray
+    differ: np.ndarray
+    parts: np.ndarray
+    large: np.ndarray
+
+
+@cache
+def plan_of(percent: int) -> Plan:
+    least = [1]
+    while least[-1] < LARGEST:
+        least.append(least[-1] * 100 // percent + 1)
+    differ, parts, large = [], [], []
+    for low, after in zip(least[:-1], least[1:], strict=True):
+        most = after - 1
+        k = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+        for slack in SLACK:
+            p = k + 1 + int(k * slack)
+            mean = low / p
+            few = [sum(exp(-mean) * mean**j / factorial(j) for j in range(c)) * p <= (p - k) / 2 for c in range(1, 5)]
+            if few[0]:
+                break
+        differ.append(k), parts.append(p), large.append(sum(few))
+    return Plan(*(np.array(x, np.int64) for x in (least[:-1], differ, parts, large)))
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of the sets, none of them empty, as signed integers, and the set of each."""
+    plan = plan_of(percent)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    value, place = mixed(tokens + np.uint64(0x9E3779B97F4A7C15)), mixed(tokens ^ np.uint64(0x5851F42D4C957F2D))
+    low, high = (value & np.uint64(0xFFFFFFFF)).astype(float), (value >> np.uint64(32)).astype(float)
+    own_band = np.searchsorted(plan.least, sizes, "right") - 1
+    out, of = [], []
+    for band in (own_band, own_band - 1):
+        differ = np.where(band >= 0, plan.differ[band], 0)
+        parts = np.where(differ > 0, plan.parts[band], 0)  # sets that may differ in no token are linked only if they are the same
+        first = np.cumsum(parts) - parts
+        some = parts[owner] > 0
+        at = owner[some]
+        slot = first[at] + (place[some] % parts[at].astype(np.uint64)).astype(np.int64)
+        n = int(parts.sum())
+        held = np.bincount(slot, minlength=n)
+        sums = [np.bincount(slot, x[some], minlength=n).astype(np.uint64) for x in (low, high)]
+        unit = np.repeat(np.arange(len(sets)), parts)
+        small = held < plan.large[band][unit]
+        kept = ~small | (np.bincount(unit[small], minlength=len(sets)) >= parts - differ)[unit]
+        number = (np.arange(n) - first[unit] + (band[unit] << 40)).astype(np.uint64)
+        out.append(mixed(sums[0] + (sums[1] << np.uint64(32)) + mixed(number))[kept]), of.append(unit[kept])
+    return np.concatenate(out).view(np.int64), np.concatenate(of)
+
+
+def signed(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, sid, u) of each document: set size, set id and unit; the last two null if the set is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            key = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            first = _longs([first_tokens(s, percent, shared.value) if len(s) else s for s in sets])
-            sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), sid, pa.array(key), first], ["doc_id", "n", "sid", "key", "first"])
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, sid binary, key long, first array<long>")
-
+            sid = [set_id(s) if len(s) else None for s in sets]
+            arrays = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), pa.array([x and unit_of(x) for x in sid], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sid", "u"])
 
-def units_of(rows: DataFrame) -> DataFrame:
-    """One row per set: sid, rep (its least doc_id), n, key, first."""
-    first = [F.first(c).alias(c) for c in ("n", "key", "first")]
-    return rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), *first)
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, sid binary, u long")
 
 
-def frequency_sketch(rows: DataFrame, before: np.ndarray | None) -> np.ndarray | None:
-    """A level by place for tokens that are first in many texts: the logarithm of how many. Adds to the sketch before; None if there are none."""
-    often = rows.select(F.explode("first").alias("t")).groupBy("t").count().where(F.col("count") >= FREQUENT)
-    place = F.expr(f"int(t & {SKETCH - 1})")
-    found = often.groupBy(place.alias("p")).agg(F.max(F.floor(F.log2("count"))).cast("int").alias("level")).toArrow()
-    if not found.num_rows:
-        return before
-    out = np.zeros(SKETCH, np.uint8) if before is None else before.copy()
-    at = found.column("p").to_numpy()
-    out[at] = np.maximum(out[at], found.column("level").to_numpy())
-    return out
+def signature_rows(docs: DataFrame, size: int, percent: int, bits: bytes | None = None) -> DataFrame:
+    """(s, u): the signatures of each document's set; of those only that pass the filter, where there is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BYTES at most
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(sets: list[np.ndarray]) -> pa.RecordBatch:
+            s, of = signatures(sets, percent)
+            u = np.array([unit_of(set_id(x)) for x in sets], np.int64)[of]
+            if shared.value is not None:
+                at = passes(shared.value, s)
+                s, u = s[at], u[at]
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(u)], ["s", "u"])
+
+        sets, total = [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                s = shingles(text, size)
+                if len(s):
+                    if total and total + len(s) > AT_ONCE:
+                        yield made(sets)
+                        sets, total = [], 0
+                    sets.append(s)
+                    total += len(s)
+        if sets:
+            yield made(sets)
 
-def grouped(units: DataFrame) -> DataFrame:
-    """Adds gid. Units of one key are a group; keys with many tokens are split by set id to groups of about GROUP_TOKENS."""
-    large = units.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_TOKENS)
-    part = F.coalesce(F.pmod(F.xxhash64("sid"), F.ceil(F.col("total") / GROUP_TOKENS)), F.lit(0).cast("long"))
-    return units.join(large, "key", "left").withColumn("gid", F.xxhash64("key", part)).drop("key", "total")
+    return docs.select("text").mapInArrow(sign, "s long, u long")
 
 
-def shared_entries(units: DataFrame, percent: int) -> DataFrame:
-    """The matrix where a group has a partner: (t, gid, low, high, leader), sizes of the group's units with that token.
+def shared_signatures(docs: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
+    """(s, lead, u): the units of each signature that two units share at least; the lead is the least of them.
 
-    Groups of a token come by ascending size; one that no other fits in size is left out. The first is the leader of those
-    that it can be linked with; then the next leads.
+    A first scan finds these signatures, with a count that is combined in each task; a second one their units. A filter of bounded size thins the
+    second: whatever passes is joined exactly.
     """
-    dealt = units.select("gid", "n", F.explode("first").alias("t")).repartition("t")
-    entries = dealt.groupBy("t", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")).sortWithinPartitions("t", "low", "gid")
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "t"):
-            t, g, low, high = (table.column(c).to_numpy() for c in ("t", "gid", "low", "high"))
-            same = np.flatnonzero(t[1:] == t[:-1])
-            keep = np.zeros(len(t), bool)
-            keep[same] = keep[same + 1] = True
-            t, g, low, high = t[keep], g[keep], low[keep], high[keep]
-            leader, fits, at, most = np.empty(len(t), np.int64), np.zeros(len(t), bool), 0, 0
-            for k in range(len(t)):
-                new = not k or t[k] != t[k - 1]
-                if not new and 100 * most >= percent * low[k]:
-                    fits[k] = True
-                if k + 1 < len(t) and t[k + 1] == t[k] and percent * low[k + 1] <= 100 * high[k]:
-                    fits[k] = True
-                if new or 100 * high[at] < percent * low[k]:
-                    at = k
-                most = high[k] if new else max(most, high[k])
-                leader[k] = g[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (t, g, low, high, leader)], ["t", "gid", "low", "high", "leader"])
-
-    return entries.select("t", "gid", "low", "high").mapInArrow(lead, "t long, gid long, low long, high long, leader long")
-
-
-def regrouped(members: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members in new groups, with their component: by component; if they have none, by the least group around their crowded tokens; else as before."""
-    known = members.join(labels, F.col("sid") == F.col("node"), "left").withColumn("mine", F.coalesce(F.xxhash64("component"), F.col("gid")))
-    crowded = entries.groupBy("t").count().where(F.col("count") > CROWD).select("t")
-    each = known.select("sid", "mine", F.explode("first").alias("t")).join(crowded, "t")
-    least = each.groupBy("t").agg(F.min("mine").alias("least"))
-    near = each.join(least, "t").groupBy("sid").agg(F.min("least").alias("near"))
-    sizes = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES)))  # sizes close together make a sharp bound
-    around = F.when(F.col("component").isNotNull(), F.xxhash64("mine", sizes)).when(F.col("near").isNotNull(), F.xxhash64("near", F.lit("near"), sizes))
-    key = F.coalesce(around, "gid")
-    return grouped(known.join(near, "sid", "left").select("sid", "rep", "n", "first", "component", key.alias("key")))
+    ends = signature_rows(docs, size, percent).groupBy("s").agg(F.min("u").alias("lead"), F.max("u").alias("last"))
+    shared = store(ends.where("lead < last").select("s", "lead"), "shared")
+    rows = signature_rows(docs, size, percent, bit_filter(shared, "s"))
+    return store(rows.join(shared, "s").groupBy("s", "u").agg(F.first("lead").alias("lead")), "signatures")
 
 
 def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(sid, tokens) of the members (sid, rep): their sets again, from a scan in which a filter of fixed size chooses the documents."""
-    hashed = F.expr("xxhash64(rep) & 9223372036854775807").alias("h")
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(members.select(hashed), "h"))
+    """(u, sid, n, tokens) of the members (u, sid, rep): their sets again, from a scan in which a filter of bounded size chooses the documents."""
+    hashed = F.xxhash64("rep").alias("h")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(members.select(hashed), "h"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = filter_bits(bits.value)
         for b in batches:
-            at = np.flatnonzero(passes[b.column(1).to_numpy() % FILTER_BITS])
+            at = np.flatnonzero(passes(bits.value, b.column(1).to_numpy()))
             sets = [s for t in b.column(0).take(pa.array(at)).to_pylist() if len(s := shingles(t, size))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
-
-    rows = docs.select("text", F.expr("xxhash64(doc_id) & 9223372036854775807").alias("h")).mapInArrow(read, "sid binary, tokens binary")
-    return rows.join(members.select("sid"), "sid").dropDuplicates(["sid"])
-
-
-class _Union(dict):
-    def root(self, x: int) -> int:
-        while self.setdefault(x, x) != x:
-            self[x] = self[self[x]]
-            x = self[x]
-        return x
-
-    def merge(self, x: int, y: int) -> bool:
-        a, b = self.root(x), self.root(y)
-        self[max(a, b)] = min(a, b)
-        return a != b
-
-
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Of the linked pairs between the sets at `left` and those at `right`, enough to connect all that are."""
-    whole = np.concatenate([sets[k] for k in right])
-    owner = np.repeat(np.arange(len(right)), [len(sets[k]) for k in right])
-    order = np.argsort(whole, kind="stable")
-    whole, owner = whole[order], owner[order]
-    union, start = np.unique(whole, return_index=True)
-    stop, sizes = np.append(start[1:], len(whole)), np.array([len(sets[k]) for k in right])
-    joined, out = _Union(), []
-    for k in left:
-        mine = sets[k]
-        at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
-        at = at[union[at] == mine]
-        if 100 * len(at) < percent * len(mine):  # the bound: no member of the group can overlap enough
-            continue
-        n = stop[at] - start[at]
-        places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[places], minlength=len(right))
-        for j in np.flatnonzero(100 * common >= percent * (len(mine) + sizes - common)):
-            if right[j] != k and joined.merge(int(k), int(right[j])):
-                out.append((int(k), int(right[j])))
-    return out
-
-
-def opened(docs: DataFrame, sides: DataFrame, units: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between the groups of each pair (g, h), g = h for links within a group; enough to connect all that are linked.
-    `sides` has (g, h, gid, sid), the units of each pair that may be linked there; only their sets are made again."""
-    table = token_table(docs, units.join(sides.select("sid").distinct(), "sid").select("sid", "rep"), size)
-    rows = sides.join(table, "sid").select(F.xxhash64("g", "h").alias("p"), "g", "h", "gid", "sid", "tokens")
-    dealt = rows.repartition("p").sortWithinPartitions("p", "g", "h")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, "p"):
-            p = run.column("p").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)]])
-            g, h, gid = (run.column(c).to_numpy() for c in ("g", "h", "gid"))
+            arrays = [pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["sid", "n", "tokens"])
+
+    rows = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "sid binary, n long, tokens binary")
+    return rows.join(members.select("u", "sid"), "sid").dropDuplicates(["sid"]).select("u", "sid", "n", "tokens")
+
+
+def homes(units: DataFrame) -> DataFrame:
+    """(u, n, gid) of (u, n, home): a home is a group; one with many tokens is split by size, then by unit, to groups of about GROUP_TOKENS."""
+    total = units.groupBy("home").agg(F.sum("n").alias("total"))
+    sizes = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES)))
+    sized = units.join(total, "home").withColumn("sizes", F.when(F.col("total") > GROUP_TOKENS, sizes).otherwise(F.lit(-1)))
+    total = sized.groupBy("home", "sizes").agg(F.sum("n").alias("total"))
+    split = sized.drop("total").join(total, ["home", "sizes"]).withColumn("part", F.pmod(F.xxhash64("u"), F.ceil(F.col("total") / GROUP_TOKENS)))
+    return split.select("u", "n", F.xxhash64("home", "sizes", "part").alias("gid"))
+
+
+def needed(n: np.ndarray, least: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that sets of size n share at least with a linked set, whose size is `least` or more."""
+    m = np.maximum(least, -(-percent * n // 100))
+    return -(-percent * (n + m) // (100 + percent))
+
+
+class Group:
+    """A row of the matrix: the union of the members' tokens, and the places of each member's tokens there."""
+
+    def __init__(self, union: np.ndarray, sizes: np.ndarray, places: Callable[[], np.ndarray]):
+        self.union, self.sizes, self.read = union, sizes, places
+        self.places: np.ndarray | None = None
+        self.starts = np.cumsum(sizes) - sizes
+
+    def bound(self, tokens: np.ndarray) -> np.ndarray:
+        """Which tokens of the union a set has: no member shares more with it."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        have = np.zeros(len(self.union), bool)
+        have[at[self.union[at] == tokens]] = True
+        return have
+
+    def linked(self, have: np.ndarray, n: int, percent: int) -> np.ndarray:
+        """The members linked with a set of size n that has these tokens: the group is opened."""
+        if self.places is None:
+            self.places = self.read()
+        common = np.add.reduceat(have[self.places].astype(np.int32), self.starts).astype(np.int64)
+        return np.flatnonzero(100 * common >= percent * (n + self.sizes - common))
+
+    def inside(self, percent: int) -> list[tuple[int, int]]:
+        """Links between members, enough to connect all that are linked. Those whose overlap with the union of the others is too small go first, again and again."""
+        if self.places is None:
+            self.places = self.read()
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        alive, left = np.ones(len(self.sizes), bool), -1
+        while alive.sum() != left:
+            left = alive.sum()
+            held = np.bincount(self.places[alive[owner]], minlength=len(self.union))
+            common = np.add.reduceat((held[self.places] > 1).astype(np.int32), self.starts)
+            alive &= common >= needed(self.sizes, np.zeros_like(self.sizes), percent)
+        at = np.flatnonzero(alive)
+        if len(at) < 2:
+            return []
+        among = self.places[alive[owner]]
+        some, roots, out = Group(self.union, self.sizes[at], lambda: among), Roots(), []
+        for k, start in enumerate(some.starts.tolist()):
+            have = np.zeros(len(self.union), bool)
+            have[among[start : start + int(some.sizes[k])]] = True
+            for j in some.linked(have, int(some.sizes[k]), percent).tolist():
+                if j != k and roots.merge(k, j):
+                    out.append((int(at[k]), int(at[j])))
+        return out
+
+
+MATRIX = "gid long, union binary, low long, sids array<binary>, sizes array<long>, places binary, a array<binary>, b array<binary>"
+
+
+def matrix(members: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """A row per group of the members (u, gid): its union, least size, members and their places, and the links (a, b) inside it."""
+    rows = members.select("u", "gid").join(table, "u").select("gid", "sid", "tokens")
+    dealt = rows.repartition("gid").sortWithinPartitions("gid", "sid")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [c.split(" ") for c in MATRIX.split(", ")]
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+        for run in runs(batches, "gid"):
+            g = run.column("gid").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
             sid, tokens = run.column("sid").to_pylist(), run.column("tokens").to_pylist()
-            a, b = [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            out = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 sets = [np.frombuffer(x, np.uint64) for x in tokens[lo:hi]]
-                left, right = np.flatnonzero(gid[lo:hi] == g[lo]), np.flatnonzero(gid[lo:hi] == h[lo])
-                if len(left) and len(right):
-                    for i, j in links(sets, left, right, percent):
-                        a.append(sid[lo + i]), b.append(sid[lo + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                union, places = np.unique(np.concatenate(sets), return_inverse=True)
+                sizes = np.array([len(s) for s in sets])
+                links = Group(union, sizes, lambda places=places: places).inside(percent) if hi - lo > 1 else []
+                out.append((g[lo], union.tobytes(), sizes.min(), sid[lo:hi], sizes, places.astype("<u4").tobytes(), [sid[lo + i] for i, _ in links], [sid[lo + j] for _, j in links]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], [c for c, _ in fields])
 
-    return dealt.mapInArrow(check, "a binary, b binary")
+    return dealt.mapInArrow(build, MATRIX)
 
 
-def _ceil(x: Column) -> Column:
-    return F.ceil(x).cast("long")
+def asked(rows: DataFrame, asking: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the units that ask (u, gid) and the members of the groups, enough to connect all that are linked.
 
-
-def least_shared(n: Column, low: Column, high: Column, percent: int) -> Column:
-    """First tokens that a unit of size n shares at least with a linked unit of a size between low and high; null if no such size fits.
-
-    Units x and y with overlap o have their k-th common token among their first k + |x| - o and k + |y| - o. So of the common
-    tokens, as many are first in both as the smaller of what the two prefixes leave beyond |x| - o and |y| - o.
-    The latter falls with |y| by percent^2 / (100 * (100 + percent)) a size, but for less than 2 of rounding: its least value is
-    at one of the last few sizes.
+    A group that many units ask is copied, so that each copy is asked by about ASKING_TOKENS.
     """
-    low = F.greatest(low, _ceil(percent * n / 100))
-    high = F.least(high, F.floor(100 * n / percent).cast("long"))
-    overlap = lambda m: _ceil(percent * (n + m) / (100 + percent) - 1e-9)
-    ours = 1 - _ceil(percent * n / 100) + overlap(low)
-    few = -(-200 * (100 + percent) // percent**2)
-    last = [F.greatest(low, high - k) for k in range(few)]
-    theirs = F.least(*(1 - _ceil(percent * m / 100) + overlap(m) for m in last))
-    return F.when(low <= high, F.greatest(F.lit(1), F.least(ours, theirs)))
-
-
-def _enough(sides: DataFrame, percent: int) -> DataFrame:
-    """(g, h, gid, sid) of the sides (t, g, h, gid, sid, n, low, high) with enough tokens shared."""
-    each = sides.groupBy("g", "h", "gid", "sid", "n").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return each.where(F.col("shared") >= least_shared(F.col("n"), F.col("low"), F.col("high"), percent)).select("g", "h", "gid", "sid")
-
-
-def sides_of(pairs: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
-    """(g, h, gid, sid) of pairs (t, g, h, sizes): the units of both groups that share enough tokens with the other group's union."""
-    side = lambda own, other: F.struct(F.col(own).alias("gid"), F.col(f"{other}_low").alias("low"), F.col(f"{other}_high").alias("high"))
-    each = pairs.select("t", "g", "h", F.explode(F.array(side("g", "b"), side("h", "a"))).alias("s")).select("t", "g", "h", "s.*")
-    return _enough(each.join(holders, ["t", "gid"]), percent)
-
-
-def within(members: DataFrame, percent: int) -> DataFrame:
-    """(g, h, gid, sid), g = h = gid: the units of each group that share enough first tokens with its other units."""
-    held = members.select("gid", "sid", "n", F.explode("first").alias("t"))
-    shared = held.groupBy("gid", "t").agg(F.count("*").alias("units"), F.min("n").alias("low"), F.max("n").alias("high")).where("units > 1").drop("units")
-    several = members.groupBy("gid").count().where("count > 1").select("gid")
-    sides = held.join(several, "gid").join(shared, ["gid", "t"])
-    return _enough(sides.select("t", F.col("gid").alias("g"), F.col("gid").alias("h"), "gid", "sid", "n", "low", "high"), percent)
-
-
-def holders_of(members: DataFrame, entries: DataFrame) -> DataFrame:
-    """(t, gid, sid, n): the units that hold the tokens of the matrix."""
-    return members.select("gid", "sid", "n", F.explode("first").alias("t")).join(entries.select("t").distinct(), "t")
-
-
-def led(entries: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
-    """Sides for round one: of each token, each group and one unit of the group that leads it."""
-    leads = holders.groupBy("t", "gid").agg(F.min(F.struct("sid", "n")).alias("lead")).withColumnRenamed("gid", "leader")
-    found = entries.where("gid <> leader").select("t", "gid", "leader").join(leads, ["t", "leader"])
-    pairs = found.select("t", F.col("gid").alias("g"), F.xxhash64(F.lit("lead"), "lead.sid").alias("h"), "lead")
-    ours = pairs.join(holders.withColumnRenamed("gid", "g"), ["t", "g"])
-    ours = _enough(ours.select("t", "g", "h", F.col("g").alias("gid"), "sid", "n", F.col("lead.n").alias("low"), F.col("lead.n").alias("high")), percent)
-    theirs = pairs.select("g", "h", F.col("lead.sid").alias("lead")).distinct().join(ours.select("g", "h").distinct(), ["g", "h"])
-    return ours.union(theirs.select("g", "h", "h", "lead"))
-
-
-def apart(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (t, g, h) that share a token and are not of one component, sizes allowing."""
-    of = members.groupBy("gid").agg(F.min("component").alias("c"))
-    rows = entries.join(of, "gid")
-    one = rows.select("t", *(F.col(c).alias(f"a_{c}") for c in ("gid", "low", "high", "c")))
-    two = rows.select("t", *(F.col(c).alias(f"b_{c}") for c in ("gid", "low", "high", "c")))
-    fits = (percent * F.col("a_low") <= 100 * F.col("b_high")) & (percent * F.col("b_low") <= 100 * F.col("a_high"))
-    differ = F.coalesce(F.col("a_c") != F.col("b_c"), F.lit(True))
-    met = one.join(two, "t").where((F.col("a_gid") < F.col("b_gid")) & differ & fits)
-    return met.select("t", F.col("a_gid").alias("g"), F.col("b_gid").alias("h"), "a_low", "a_high", "b_low", "b_high")
+    asking = asking.join(table.select("u", "n"), "u")
+    copies = asking.groupBy("gid").agg(F.ceil(F.sum("n") / ASKING_TOKENS).alias("copies"))
+    ask = asking.select("u", "gid").join(copies, "gid").join(table, "u").select("gid", F.pmod(F.xxhash64("u"), "copies").alias("copy"), F.lit(1).alias("kind"), "sid", F.col("tokens").alias("body"))
+    groups = rows.join(copies, "gid").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    groups = groups.select("gid", "copy", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("sid"), F.col("union").alias("body"), "low", "sids", "sizes", "places")
+    dealt = groups.unionByName(ask, allowMissingColumns=True).repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "sid")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at, sids, low, roots = None, None, [], 0, Roots()
+        for b in batches:
+            a, c = [], []
+            keys = zip(*(b.column(x).to_pylist() for x in ("gid", "copy", "kind")), strict=True)
+            for k, (gid, copy, kind) in enumerate(keys):
+                body = np.frombuffer(b.column("body")[k].as_py(), np.uint64)
+                if not kind:
+                    places, sids, low = b.column("places")[k], b.column("sids")[k].as_py(), b.column("low")[k].as_py()
+                    group = Group(body, np.array(b.column("sizes")[k].as_py()), lambda x=places: np.frombuffer(x.as_py(), "<u4").astype(np.int64))
+                    at, roots = (gid, copy), Roots()
+                elif at == (gid, copy):
+                    have, n = group.bound(body), len(body)
+                    if have.sum() >= needed(np.int64(n), np.int64(low), percent):
+                        sid = b.column("sid")[k].as_py()
+                        for j in group.linked(have, n, percent).tolist():
+                            if sids[j] != sid and roots.merge(sid, sids[j]):
+                                a.append(sid), c.append(sids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+
+    across = dealt.mapInArrow(check, "a binary, b binary")
+    inside = rows.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b")
+    return across.union(inside)
+
+
+def led(entries: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For round one: the leads in groups (u, n, gid), and the units that ask the groups of their leads (u, gid)."""
+    leads = entries.select(F.col("lead").alias("u")).distinct()
+    home = entries.groupBy("u").agg(F.min("lead").alias("home"))
+    groups = homes(leads.join(home, "u").join(sizes, "u"))
+    pairs = entries.where("u <> lead").select("u", "lead").distinct().join(sizes, "u")
+    other = groups.select(F.col("u").alias("lead"), F.col("n").alias("m"), "gid")
+    fits = (percent * F.col("n") <= 100 * F.col("m")) & (percent * F.col("m") <= 100 * F.col("n"))
+    return groups, pairs.join(other, "lead").where(fits).select("u", "gid").distinct()
+
+
+def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(s, u, c): the entries of the signatures whose units are not all of one component c."""
+    rows = entries.select("s", "u").join(labels, "u")
+    apart = rows.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
+    return rows.join(apart, "s")
+
+
+def apart(entries: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For round two: the units of (s, u, c) in groups (u, n, gid), and the units that ask other groups (u, gid) which hold a unit of
+    another component with one of their signatures and a size that fits. Of two groups, the units of one ask the other."""
+    home = entries.select("s", "u", F.col("u").alias("home"))
+    for _ in range(2):
+        least = home.groupBy("s").agg(F.min("home").alias("least"))
+        near = entries.select("s", "u").join(least, "s").groupBy("u").agg(F.min("least").alias("home"))
+        home = entries.select("s", "u").join(near, "u")
+    groups = homes(near.join(sizes, "u"))
+    rows = entries.join(groups, "u")
+    held = rows.groupBy("s", F.col("gid").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("x"), F.max("c").alias("y"))
+    fits = (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n"))
+    differ = (F.col("x") != F.col("c")) | (F.col("y") != F.col("c"))
+    asking = rows.join(held, "s").where((F.col("other") < F.col("gid")) & fits & differ)
+    return groups, asking.select("u", F.col("other").alias("gid")).distinct()
 
 
 def labelled(docs: DataFrame, store: Store, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and (sid, rep, component) of their sets: component is null where a set is linked with no other."""
     docs = docs.select("doc_id", "text")
-    sketch = None
-    for _ in range(SKETCHES):
-        sketch = frequency_sketch(signed(docs, size, percent, sketch), sketch)
-    rows = store(signed(docs, size, percent, sketch), "signed")
-    units = store(units_of(rows), "units")
-    units = store(grouped(units), "groups")
-    entries = store(shared_entries(units, percent), "entries")
-
-    several = units.groupBy("gid").count().where("count > 1").select("gid")
-    met = entries.select("gid").union(several).distinct()
-    members = store(units.join(met, "gid").select("gid", "sid", "rep", "n", "first"), "members")
-    sides = store(led(entries, holders_of(members, entries), percent).union(within(members, percent)), "sides")
-    edges = store(opened(docs, sides, members, size, percent), "links")
-    members = store(regrouped(members, entries, components(edges, store)), "members")
-    entries = store(shared_entries(members, percent), "entries")
-    sides = sides_of(apart(members, entries, percent), holders_of(members, entries), percent)
-    sides = store(sides.union(within(members.where("component IS NULL"), percent)), "sides")
-    edges = store(edges.union(opened(docs, sides, members, size, percent)), "links")
-    labels = components(edges, store)
-
-    return rows, units.select("sid", "rep").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
-
-
-def first_of_each_component(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:
+    rows = store(signed(docs, size), "signed")
+    units = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"))
+    units = store(units, "units")
+    entries = shared_signatures(docs, store, size, percent)
+    members = store(units.join(entries.select("u").distinct(), "u"), "members")
+    table = store(token_table(docs, members, size), "tokens")
+    sizes = table.groupBy("u").agg(F.max("n").alias("n"))
+
+    groups, asking = led(entries, sizes, percent)
+    groups = store(groups, "groups")
+    edges = store(asked(store(matrix(groups, table, percent), "matrix"), asking, table, percent), "links")
+    found = components(edges, store)
+    named = table.select("sid", "u").join(found, F.col("sid") == F.col("node"), "left")
+    labels = named.select("u", F.coalesce("component", "sid").alias("c"))
+    left = store(unsettled(entries, labels), "unsettled")
+    groups, asking = apart(left, sizes, percent)
+    groups = store(groups, "groups")
+    later = asked(store(matrix(groups, table, percent), "matrix"), asking, table, percent)
+    edges = store(edges.union(later), "links")
+    found = components(edges, store)
+
+    return rows, units.select("sid", "rep").join(found, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
+
+
+def first_of_each_component(docs: DataFrame, store: Store, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all columns, that come first in their component: by doc_id, nulls last, then set id, then text and the
-    other columns. Rows with an empty set are linked with nothing and are all kept; of rows that are the same throughout, one."""
-    _, reps = labelled(docs, store, size, percent)
+    other columns. Rows with an empty set are linked with nothing and are all kept; of rows that are the same throughout, one.
+
+    Rows whose set is linked with none and is no other row's are kept as they are read. Only the others are shuffled.
+    """
+    rows, reps = labelled(docs, store, size, percent)
     order = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).alias("id"), "sid")
     first = reps.groupBy(F.coalesce("component", "sid")).agg(F.min(order).alias("first")).select("first.*", F.lit(True).alias("leads"))
+    several = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("u").alias("u"), F.count("*").alias("rows"))
+    several = several.join(reps.where("component IS NOT NULL").select("sid", F.lit(True).alias("linked")), "sid", "left")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(several.where("linked OR rows > 1"), "u"))
+    sid_name, open_name = fresh("sid", docs.columns), fresh("open", docs.columns)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            sets = [shingles(t, size) for t in texts]
-            ids = [set_id(s) if len(s) else xxhash.xxh3_128_digest(repr(t).encode()) for s, t in zip(sets, texts, strict=True)]
-            added = [pa.array(ids, pa.binary()), pa.array([not len(s) for s in sets], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "_sid", "_empty"])
-
-    schema = StructType([*docs.schema.fields, StructField("_sid", BinaryType()), StructField("_empty", BooleanType())])
-    keys = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_sid").alias("sid"), F.col("_empty").alias("empty")]
-    row = F.struct("text", *(c for c in docs.columns if c != "text"))
-    rows = docs.mapInArrow(sign, schema).groupBy(*keys).agg(F.min(row).alias("row"))
-    return rows.join(first, ["none", "id", "sid"], "left").where(F.col("empty") | F.col("leads")).select("row.*").select(docs.columns)
+            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            sid = [set_id(s) if len(s) else None for s in sets]
+            maybe = passes(bits.value, np.array([unit_of(x) if x else 0 for x in sid], np.int64)) & np.array([bool(x) for x in sid], bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.binary()), pa.array(maybe)], [*b.schema.names, sid_name, open_name])
+
+    schema = StructType([*docs.schema.fields, StructField(sid_name, BinaryType()), StructField(open_name, BooleanType())])
+    signed_rows = docs.mapInArrow(sign, schema)
+    keys = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col(sid_name).alias("sid")]
+    row = F.struct("text", *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    judged = signed_rows.where(F.col(open_name)).groupBy(*keys).agg(F.min(row).alias("row"))
+    chosen = judged.join(first, ["none", "id", "sid"]).where("leads").select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return signed_rows.where(~F.col(open_name)).select(columns).union(chosen.select(columns))
 
 
 def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int = 90) -> DataFrame:

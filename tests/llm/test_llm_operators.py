@@ -164,12 +164,13 @@ def test_exact_digest(spark, docs, empty):
 def test_digest_buckets_compare_bytes(spark, monkeypatch):
     monkeypatch.setattr(exact_digest, "digest", lambda canon: "0" * 32)
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b ")], "doc_id long, text string")
-    digests = df.selectExpr("doc_id", f"'{'0' * 32}' AS fingerprint")
+    checks = {d: exact_digest.check(exact_digest.canonical(t)) for d, t in df.collect()}
+    digests = spark.createDataFrame([(d, "0" * 32, c) for d, c in checks.items()], "doc_id long, fingerprint string, body_check long")
     import pyspark.cloudpickle as cloudpickle
 
     cloudpickle.register_pickle_by_value(exact_digest)
     try:
-        assert sorted((r["doc_id"], r["class_id"]) for r in exact_digest.classes(df, digests).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+        assert sorted((r["doc_id"], r["class_id"]) for r in exact_digest.classed(df, digests, stored).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
     finally:
         cloudpickle.unregister_pickle_by_value(exact_digest)
 

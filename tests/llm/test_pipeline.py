@@ -25,7 +25,7 @@ def least_of_components(rows):
     sets = {}
     for d, t in rows:
         w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)}
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
     root = {d: d for d in sets}
 
     def find(x):
@@ -35,7 +35,7 @@ def least_of_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {d for d in sets if find(d) == d}
 
