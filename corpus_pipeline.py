@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import jaccard_groups, language_id, packing, quality_rules, tokens
-from marlstone.llm.common import crc_mod, read_table, stored
+from marlstone.llm.common import crc_mod, fresh, read_table, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text shows a learned language clearly; those without a letter, and ambiguous ones, go."""
     model = language_id.train(docs.where(crc_mod("doc_id", 5) != 0))
-    found = language_id.predict(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UND) & ~F.col("ambiguous")).select(docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = tuple(fresh(c, docs.columns) for c in ("lang", "score", "ambiguous"))
+    found = language_id.predict(docs, model, columns, names)
+    return found.where((F.col(names[0]) != language_id.UND) & ~F.col(names[2])).select(columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near-duplicates: that with the least id, or of equal or null ids the least set id."""
+    """Keeps one row of each component of near-duplicates (five words, a similarity of 0.8 or more): that with the least id, or of equal or null ids the least set id."""
     return jaccard_groups.first_of_each_component(docs, stored)
 
 

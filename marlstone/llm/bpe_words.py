@@ -1,39 +1,42 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. Each distinct pre-token of the corpus is encoded once, in the task that the shuffle brings it
-to. Ids then return to the places of the pre-tokens, and texts are put together by position. Decoding joins ids with
-the token-byte table, a fixed vocabulary, which is broadcast.
+Texts are cut into pre-tokens. Each task explodes its texts into distinct words and positions: a block of documents numbers
+its words, and a document is the sequence of its words' numbers. The words, once per block, are dealt by hash to buckets, so that all
+blocks' copies of a word meet in one task, which encodes it once. The ids then return to the blocks, where texts are put together by
+position. Decoding looks up the ids in the token-byte table, a fixed vocabulary of proven size that is broadcast (a map-side join).
 
-Word frequencies are skewed, so places are treated in two ways. The most frequent words, HEAD at most, return by a
-broadcast of that bounded size: their places need no shuffle. All other words' places are exploded and go to the task of
-their word, which encodes it once; their ids meet the document again by its row. Documents are dealt by row and places by
-word. Nothing is dropped: every word is of one kind or the other.
+Words are pre-aggregated by block before the shuffle, so a frequent word is no hot key: a block sends it once. A block ends with its
+input partition, at HELD distinct words or at HELD_CHARS characters, so what one task holds is bounded. Documents are shuffled once, as numbers.
 
-Null or empty texts have no ids. Repeated rows are encoded each, apart, by a row number. Columns besides doc_id and text are ignored.
+Null or empty texts have no ids. Repeated rows are encoded each. Columns besides doc_id and text are ignored; an empty table gives no rows.
+The input's partitions must be the same when a task is run again, as those of a file scan are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
-from marlstone.llm.common import released
 
-#: Words that return by broadcast, at most: about 20 MB.
-HEAD = 1 << 19
-#: Distinct words that a task counts, or cut texts that it remembers, before it starts anew.
+#: Distinct words of a block, about; cut chunks that a task remembers.
 HELD = 300_000
+#: Characters of a block's texts, about.
+HELD_CHARS = 1 << 24
+#: Buckets of words for each shuffle partition, and at most.
+BUCKETS, MOST_BUCKETS = 4, 1 << 14
+#: Encoded words that a task remembers before it starts anew.
+REMEMBERED = 2_000_000
 
 
 class Cutter(dict):
@@ -63,129 +66,137 @@ class Cutter(dict):
         return out
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) of all pre-tokens, counted in each task before the shuffle."""
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = Cutter(pattern), Counter()
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    seen.update(cutter.words(text))
-            if len(seen) > HELD:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+#: Rows of two kinds, by key: documents of a block (key: the block) and words of a block in a bucket (key: -1 - bucket).
+PLACED = "key long, block long, doc_ids array<long>, lengths array<int>, body binary"
 
-def encoded_words(words: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
-    """(word, ids): ids as little-endian unsigned 32-bit integers."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.codec(rank_lines, pattern)
-        for b in batches:
-            ids = [tokens.ids_of(encoder, w).astype("<u4").tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit integers with like bytes together."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return words.select("word").mapInArrow(encode, "word string, ids binary")
 
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
-def _ids(raw: bytes) -> list[int]:
-    return np.frombuffer(raw, "<u4").tolist()
 
+def _lists(numbers: np.ndarray, lengths: np.ndarray, data: bytes) -> bytes:
+    """Numbered byte strings as one body."""
+    return b"".join([len(numbers).to_bytes(4, "little"), numbers.astype("<i4").tobytes(), lengths.astype("<i4").tobytes(), data])
 
-PLACED = "key long, row long, doc_id long, codes binary, k int, word string"
 
+def _listed(body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    n = int.from_bytes(body[:4], "little")
+    return np.frombuffer(body, "<i4", n, 4), np.frombuffer(body, "<i4", n, 4 + 4 * n), body[4 + 8 * n :]
 
-def placed(docs: DataFrame, head: Broadcast, pattern: str) -> DataFrame:
-    """A row per document, and one per place of a word beyond the head. Codes are a document's compressed places in the head, -1 for other words.
 
-    Rows are numbered by partition and place, the same whenever the scan is run again. `key` deals documents by row and places by word.
-    """
+def placed(docs: DataFrame, pattern: str, buckets: int, held: int = HELD) -> DataFrame:
+    """The blocks' documents, as numbers of words, and their words by bucket: the columns of PLACED."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, at, row = Cutter(pattern), {w: k for k, w in enumerate(head.value[0])}, TaskContext.get().partitionId() << 33
-        pack = zstandard.ZstdCompressor(3).compress
+        cutter, pack = Cutter(pattern), zstandard.ZstdCompressor(3).compress
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        names = [c.split()[0] for c in PLACED.split(", ")]
+        block, number, ids, codes, chars = TaskContext.get().partitionId() << 32, Numbers(), [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            rows = [(block, block, ids, list(map(len, codes)), pack(_planes(np.concatenate([*codes, np.empty(0, np.int32)]))))]
+            words = [w.encode("utf-8", "surrogatepass") for w in number]
+            if words:
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order])) + 1
+                for some in np.split(order, edges):
+                    part = [words[k] for k in some.tolist()]
+                    body = _lists(some, np.fromiter(map(len, part), np.int64, len(part)), b"".join(part))
+                    rows.append((-1 - int(bucket[some[0]]), block, None, None, pack(body)))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for b in batches:
-            codes, rest = [], []
-            for n, text in enumerate(b.column(1).to_pylist()):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = cutter.words(text) if text else []
-                c = np.fromiter((at.get(w, -1) for w in words), np.int32, len(words))
-                codes.append(pack(c.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))  # like bytes together
-                rest += [(row + n, int(k), words[k]) for k in np.flatnonzero(c < 0)]
-            n, m = len(codes), len(rest)
-            rows = pa.array(np.arange(row, row + n))
-            none = lambda kind, n=n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([rows, rows, b.column(0), pa.array(codes, pa.binary()), none(pa.int32()), none(pa.string())], names)
-            if m:
-                of, k, words = zip(*rest, strict=True)
-                keys = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(k, pa.int32()), pa.array(words)], names)
-            row += n
-
-    names = [c.split()[0] for c in PLACED.split(", ")]
+                ids.append(doc_id)
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                chars += len(text or "")
+                if len(number) > held or chars > HELD_CHARS:
+                    yield closed()
+                    block, number, ids, codes, chars = block + 1, Numbers(), [], [], 0
+        if ids:
+            yield closed()
+
     return docs.select("doc_id", "text").mapInArrow(place, PLACED)
 
 
-def encoded_places(dealt: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
-    """(row, k, ids) of the places, each distinct word encoded once: all places of a word are in one partition."""
+def encoded_words(dealt: DataFrame, rank_lines: bytes, pattern: str) -> DataFrame:
+    """(of, body): the ids of each block's words by bucket. All rows of a bucket are in one partition, so each distinct word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = tokens.codec(rank_lines, pattern), {}
+        pack, open_up = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            b = b.filter(b.column("word").is_valid())
-            words = b.column("word").to_pylist()
-            for w in set(words) - known.keys():
-                known[w] = tokens.ids_of(encoder, w).astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(list(map(known.__getitem__, words)), pa.binary())], ["row", "k", "ids"])
-
-    return dealt.mapInArrow(encode, "row long, k int, ids binary")
-
-
-def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, head_words: int = HEAD) -> DataFrame:
+            b = b.filter(pa.compute.less(b.column("key"), 0))
+            bodies = []
+            for body in b.column("body").to_pylist():
+                number, lengths, data = _listed(open_up(body))
+                ends = np.cumsum(lengths)
+                words = [data[lo:hi] for lo, hi in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in set(words) - known.keys():
+                    known[w] = tokens.ids_of(encoder, w.decode("utf-8", "surrogatepass")).astype("<u4").tobytes()
+                ids = list(map(known.__getitem__, words))
+                bodies.append(pack(_lists(number, np.fromiter(map(len, ids), np.int64, len(ids)), b"".join(ids))))
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(bodies, pa.binary())], ["of", "ids"])
+
+    return dealt.mapInArrow(encode, "of long, ids binary")
+
+
+def round_trip(docs: DataFrame, rank_lines: bytes, pattern: str, held: int = HELD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
     spark = docs.sparkSession
-    top = word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(head_words).select("word").toArrow()
-    top = encoded_words(spark.createDataFrame(top), rank_lines, pattern).toArrow()
-    head = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("ids").to_pylist()))  # head_words at most
-    released(spark)
-    dealt = placed(docs, head, pattern).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    back = encoded_places(dealt, rank_lines, pattern).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("rest"))
-    # Over all columns, and by a value that is not deterministic, so that the filter stays above the exchange.
-    document = F.col("codes").isNotNull() & F.col("word").isNull() & F.col("k").isNull()
-    document = F.rand() + F.when(document, 0).otherwise(1) < 1
-    rows = dealt.where(document).select("key", "doc_id", "codes")
-    whole = rows.join(back.withColumnRenamed("row", "key"), "key", "left").select("doc_id", "codes", "rest.ids")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange for both uses: each takes all its columns, and no filter that would be pushed below it.
+    dealt = placed(docs, pattern, min(BUCKETS * parts, MOST_BUCKETS), held).repartition(parts, "key")
+    back = encoded_words(dealt, rank_lines, pattern).groupBy("of").agg(F.collect_list("ids").alias("ids"))
+    whole = dealt.join(back, F.col("key") == F.col("of"), "left")
+    line_of = lambda ids: " ".join(map(str, ids)).encode()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {k: v for v, k in tokens.ranks_of(rank_lines).items()}  # the token-byte table
-        line_of = lambda ids: " ".join(map(str, ids)).encode()
-        bytes_of = lambda ids: b"".join(map(table.__getitem__, ids))
-        known = [_ids(x) for x in head.value[1]]
-        h_lines, h_bytes = list(map(line_of, known)), list(map(bytes_of, known))
-        sizes, open_up = np.array([*map(len, known), 0], np.int64), zstandard.ZstdDecompressor().decompress
-        del known
+        ranks = tokens.ranks_of(rank_lines)
+        table = dict(zip(ranks.values(), ranks.keys(), strict=True))  # the token-byte table
+        open_up = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for packed, others in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                c = np.frombuffer(open_up(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
-                ids = [_ids(x) for x in others or []]
-                n.append(int(sizes[c].sum()) + sum(map(len, ids)))
-                if ids:
-                    lines, parts = map(line_of, ids), map(bytes_of, ids)
-                    line = [h_lines[k] if k >= 0 else next(lines) for k in c.tolist()]
-                    text = [h_bytes[k] if k >= 0 else next(parts) for k in c.tolist()]
-                else:
-                    line, text = map(h_lines.__getitem__, c.tolist()), map(h_bytes.__getitem__, c.tolist())
-                ids_sha.append(hashlib.sha256(b" ".join(line)).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(text)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for k, key in enumerate(b.column("key").to_pylist()):
+                if key < 0:
+                    continue
+                codes = _numbers(open_up(b.column("body")[k].as_py()))
+                parts = [_listed(open_up(x)) for x in b.column("ids")[k].as_py() or []]
+                n_words = sum(len(p[0]) for p in parts)
+                lines, pieces, sizes = [b""] * n_words, [b""] * n_words, np.zeros(n_words, np.int64)
+                for number, lengths, data in parts:
+                    sizes[number] = lengths // 4
+                    ids, at = np.frombuffer(data, "<u4").tolist(), 0
+                    for word, n in zip(number.tolist(), (lengths // 4).tolist(), strict=True):
+                        own = ids[at : at + n]
+                        at += n
+                        lines[word], pieces[word] = line_of(own), b"".join(map(table.__getitem__, own))
+                doc_ids, lengths = b.column("doc_ids")[k].as_py(), b.column("lengths")[k].as_py()
+                n, ids_sha, text_sha, at = [], [], [], 0
+                for length in lengths:
+                    own = codes[at : at + length]
+                    at += length
+                    n.append(int(sizes[own].sum()))
+                    own = own.tolist()
+                    ids_sha.append(hashlib.sha256(b" ".join(map(lines.__getitem__, own))).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
+                arrays = [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return whole.mapInArrow(put_together, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

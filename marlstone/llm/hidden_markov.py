@@ -90,8 +90,28 @@ class Vocabulary:
     distinct: int
 
 
+#: Bins of a count's logarithm to the base 2; parts of a bin.
+BINS, PARTS = 16, 1 << 20
+
+
+def most_frequent(counts: DataFrame, head: int) -> DataFrame:
+    """(word, n) of about the `head` most frequent words: those above a bin of counts, and of that bin a part chosen by hash.
+
+    The bin follows from a histogram of fixed size, so no task sorts all words.
+    """
+    level = F.floor(F.log2("n") * BINS).cast("int")
+    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)  # BINS times 63 rows at most
+    above = 0
+    for at, n in bins:
+        if above + n > head:
+            part = PARTS * (head - above) // n
+            return counts.where((level > at) | (level == at) & (F.pmod(F.xxhash64("key"), F.lit(PARTS)) < part)).select("word", "n")
+        above += n
+    return counts.select("word", "n")
+
+
 def vocabulary(counts: DataFrame, n_docs: int, classes: int, head: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "key").limit(head).select("word", "n").toArrow()
+    top = most_frequent(counts, head).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
     sums = counts.groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # SHARED rows
     tokens, distinct = np.zeros(SHARED), np.zeros(SHARED)

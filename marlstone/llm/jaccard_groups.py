@@ -48,8 +48,8 @@ AT_ONCE = 1 << 18
 SLACK = (0.0, 0.125, 0.25)
 #: Sizes that plans reach.
 LARGEST = 1 << 40
-#: Size classes of a home that is split have sizes within this factor.
-SIZES = 1.2
+#: Sizes of a group are within this factor.
+SIZES = 1.5
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -205,12 +205,10 @@ def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
 
 def homes(units: DataFrame) -> DataFrame:
-    """(u, n, gid) of (u, n, home): a home is a group; one with many tokens is split by size, then by unit, to groups of about GROUP_TOKENS."""
-    total = units.groupBy("home").agg(F.sum("n").alias("total"))
-    sizes = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES)))
-    sized = units.join(total, "home").withColumn("sizes", F.when(F.col("total") > GROUP_TOKENS, sizes).otherwise(F.lit(-1)))
+    """(u, n, gid) of (u, n, home): the units of a home and of sizes close together are a group; if it has many tokens, it is split by unit to groups of about GROUP_TOKENS."""
+    sized = units.withColumn("sizes", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))))
     total = sized.groupBy("home", "sizes").agg(F.sum("n").alias("total"))
-    split = sized.drop("total").join(total, ["home", "sizes"]).withColumn("part", F.pmod(F.xxhash64("u"), F.ceil(F.col("total") / GROUP_TOKENS)))
+    split = sized.join(total, ["home", "sizes"]).withColumn("part", F.pmod(F.xxhash64("u"), F.ceil(F.col("total") / GROUP_TOKENS)))
     return split.select("u", "n", F.xxhash64("home", "sizes", "part").alias("gid"))
 
 
@@ -295,11 +293,10 @@ def matrix(members: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 
 
 def asked(rows: DataFrame, asking: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the units that ask (u, gid) and the members of the groups, enough to connect all that are linked.
+    """(a, b): links between the units that ask (u, n, gid) and the members of the groups, enough to connect all that are linked.
 
     A group that many units ask is copied, so that each copy is asked by about ASKING_TOKENS.
     """
-    asking = asking.join(table.select("u", "n"), "u")
     copies = asking.groupBy("gid").agg(F.ceil(F.sum("n") / ASKING_TOKENS).alias("copies"))
     ask = asking.select("u", "gid").join(copies, "gid").join(table, "u").select("gid", F.pmod(F.xxhash64("u"), "copies").alias("copy"), F.lit(1).alias("kind"), "sid", F.col("tokens").alias("body"))
     groups = rows.join(copies, "gid").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
@@ -331,65 +328,57 @@ def asked(rows: DataFrame, asking: DataFrame, table: DataFrame, percent: int) ->
     return across.union(inside)
 
 
-def led(entries: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For round one: the leads in groups (u, n, gid), and the units that ask the groups of their leads (u, gid)."""
-    leads = entries.select(F.col("lead").alias("u")).distinct()
-    home = entries.groupBy("u").agg(F.min("lead").alias("home"))
-    groups = homes(leads.join(home, "u").join(sizes, "u"))
-    pairs = entries.where("u <> lead").select("u", "lead").distinct().join(sizes, "u")
+def led(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For round one, of (s, u, n, lead): the leads in groups (u, n, gid), and the units that ask the groups of their leads (u, n, gid)."""
+    home = entries.groupBy("u").agg(F.min("lead").alias("home"), F.max("n").alias("n"), F.max(F.col("u") == F.col("lead")).alias("leads"))
+    groups = homes(home.where("leads").drop("leads"))
+    pairs = entries.where("u <> lead").select("u", "n", "lead").distinct()
     other = groups.select(F.col("u").alias("lead"), F.col("n").alias("m"), "gid")
     fits = (percent * F.col("n") <= 100 * F.col("m")) & (percent * F.col("m") <= 100 * F.col("n"))
-    return groups, pairs.join(other, "lead").where(fits).select("u", "gid").distinct()
+    return groups, pairs.join(other, "lead").where(fits).select("u", "n", "gid").distinct()
 
 
 def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(s, u, c): the entries of the signatures whose units are not all of one component c."""
-    rows = entries.select("s", "u").join(labels, "u")
+    """(s, u, n, lead, c): the entries of the signatures whose units are not all of one component c."""
+    rows = entries.join(labels, "u")
     apart = rows.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
     return rows.join(apart, "s")
 
 
-def apart(entries: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For round two: the units of (s, u, c) in groups (u, n, gid), and the units that ask other groups (u, gid) which hold a unit of
+def apart(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For round two, of unsettled entries: the units in groups (u, n, gid), and the units that ask other groups (u, n, gid) which hold a unit of
     another component with one of their signatures and a size that fits. Of two groups, the units of one ask the other."""
-    home = entries.select("s", "u", F.col("u").alias("home"))
-    for _ in range(2):
-        least = home.groupBy("s").agg(F.min("home").alias("least"))
-        near = entries.select("s", "u").join(least, "s").groupBy("u").agg(F.min("least").alias("home"))
-        home = entries.select("s", "u").join(near, "u")
-    groups = homes(near.join(sizes, "u"))
-    rows = entries.join(groups, "u")
+    groups = homes(entries.groupBy("u").agg(F.min("lead").alias("home"), F.max("n").alias("n")))
+    rows = entries.select("s", "u", "c").join(groups, "u")
     held = rows.groupBy("s", F.col("gid").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("x"), F.max("c").alias("y"))
     fits = (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n"))
     differ = (F.col("x") != F.col("c")) | (F.col("y") != F.col("c"))
     asking = rows.join(held, "s").where((F.col("other") < F.col("gid")) & fits & differ)
-    return groups, asking.select("u", F.col("other").alias("gid")).distinct()
+    return groups, asking.select("u", "n", F.col("other").alias("gid")).distinct()
 
 
 def labelled(docs: DataFrame, store: Store, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and (sid, rep, component) of their sets: component is null where a set is linked with no other."""
+    """The signed rows, and (sid, rep, component) of their sets: component is null where a set is linked with no other.
+
+    Tables are stored between steps, so that plans stay small and lost executors cost little.
+    """
     docs = docs.select("doc_id", "text")
     rows = store(signed(docs, size), "signed")
-    units = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"))
+    units = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("u").alias("u"), F.max("n").alias("n"))
     units = store(units, "units")
     entries = shared_signatures(docs, store, size, percent)
     members = store(units.join(entries.select("u").distinct(), "u"), "members")
     table = store(token_table(docs, members, size), "tokens")
-    sizes = table.groupBy("u").agg(F.max("n").alias("n"))
-
-    groups, asking = led(entries, sizes, percent)
-    groups = store(groups, "groups")
-    edges = store(asked(store(matrix(groups, table, percent), "matrix"), asking, table, percent), "links")
-    found = components(edges, store)
-    named = table.select("sid", "u").join(found, F.col("sid") == F.col("node"), "left")
-    labels = named.select("u", F.coalesce("component", "sid").alias("c"))
-    left = store(unsettled(entries, labels), "unsettled")
-    groups, asking = apart(left, sizes, percent)
-    groups = store(groups, "groups")
-    later = asked(store(matrix(groups, table, percent), "matrix"), asking, table, percent)
-    edges = store(edges.union(later), "links")
-    found = components(edges, store)
+    entries = store(entries.join(members.select("u", "n"), "u"), "entries")
+
+    def met(groups: DataFrame, asking: DataFrame) -> DataFrame:
+        groups, asking = store(groups, "groups"), store(asking, "asking")
+        return store(asked(store(matrix(groups, table, percent), "matrix"), asking, table, percent), "links")
 
+    edges = met(*led(entries, percent))
+    named = table.select("sid", "u").join(components(edges, store), F.col("sid") == F.col("node"), "left")
+    left = store(unsettled(entries, named.select("u", F.coalesce("component", "sid").alias("c"))), "unsettled")
+    found = components(edges.union(met(*apart(left, percent))), store)
     return rows, units.select("sid", "rep").join(found, F.col("sid") == F.col("node"), "left").select("sid", "rep", "component")
 
 

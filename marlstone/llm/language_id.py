@@ -11,15 +11,17 @@ named are ignored. Without a labelled row, every text is `und`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import fresh
+
 #: Hashed n-grams of one to four bytes; features in all.
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
@@ -28,7 +30,7 @@ BITS = 31
 #: A text is ambiguous if its best codeword has less than this share against the next best.
 CLEAR = 0.6
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> np.ndarray:
@@ -123,24 +125,25 @@ def margin(model: Model, text: str) -> np.ndarray:
     return (f @ model.weights) / n * (SCALE * n / (n + SCALE))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
-    """The columns of `keep`, then lang_pred, score (0 to 1) and ambiguous. The text alone decides."""
+def predict(docs: DataFrame, model: Model, keep: list[str | Column], names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """The columns of `keep`, then under `names` the language, its score (0 to 1) and whether it is ambiguous. The text alone decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x a fixed number of buckets and bits
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    kept = docs.select(*keep)
+    own = fresh("text", kept.columns)
+    rows = docs.select(*keep, F.col("text").alias(own))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             ok = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.languages else []
             lang, score, unclear = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             if ok:
                 best, share = decoded(m, np.stack([margin(m, texts[i]) for i in ok]))
                 for i, k, s in zip(ok, best, share, strict=True):
                     lang[i], score[i], unclear[i] = m.languages[k], s, s < CLEAR
-            kept = [b.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang), pa.array(score), pa.array(unclear)], [*(f.name for f in fields), "lang_pred", "score", "ambiguous"])
+            added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *added], [*b.schema.names[:-1], *names])
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = kept.schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     return rows.mapInArrow(label, schema)

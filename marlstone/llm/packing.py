@@ -1,9 +1,10 @@
 """Hierarchical multi-length packing.
 
 Documents become token ids with an end id. Each is routed to the smallest context tier that holds it, or, if longer
-than the largest, first cut into full windows and a rest. Each tier is packed on its own; what is left open in long
-windows is filled from shorter tiers, cutting the last piece; what remains at the end is cut at powers of two,
-which need no padding. Full sequences are dealt to step groups so that each group gets as many tokens.
+than the largest, first cut into full windows and a rest. Each tier is packed into windows of its own size, longest tier first;
+what its pieces leave open in a window is filled from shorter tiers, the last gap with a part of a piece. What short tiers have left
+then fills windows of their own size, and what remains at the end is cut at powers of two, so no sequence needs padding.
+Sequences are dealt to step groups so that each group gets as many tokens of each window size.
 
 Partitions are packed apart, in one pass without a shuffle: a sequence holds documents of one partition only. Only the
 open pieces of a partition are held, at most `horizon` documents at a time, so memory does not grow with the input.
@@ -17,6 +18,7 @@ An empty table gives an empty result; a null doc_id stays null.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,48 +55,60 @@ class Packer:
         if at < n:
             self._route([doc_id, at, n - at, n, ids[at:]])
 
+    def _tier(self, n: int) -> int:
+        return bisect_left(self.tiers, n)
+
     def _route(self, piece: list) -> None:
-        tier = next(k for k, size in enumerate(self.tiers) if piece[2] <= size)
-        self.waiting[tier].append(piece)
+        self.waiting[self._tier(piece[2])].append(piece)
 
     def close(self, last: bool = False) -> None:
-        """Fills windows from the longest tier down until those waiting fill no further window; at the end, all of them."""
+        """Packs each tier, from the longest down, into windows of its size until what waits in it and below fills no further one; at the end, all."""
         for pieces in self.waiting:
             pieces.sort(key=lambda p: p[2])
-        left = sum(p[2] for pieces in self.waiting for p in pieces)
-        while left >= self.top:
-            left -= self._window(self.top)
-        while last and left:
-            size = 1 << (left.bit_length() - 1)
-            left -= self._window(size)
-
-    def _window(self, size: int) -> int:
-        """One sequence of exactly `size` tokens, of which as many are waiting at least."""
-        got, gap = [], size
+        left = [sum(p[2] for p in pieces) for pieces in self.waiting]
         for tier in range(len(self.tiers) - 1, -1, -1):
-            pieces = self.waiting[tier]
+            while self.waiting[tier] and sum(left[: tier + 1]) >= self.tiers[tier]:
+                self._window(self.tiers[tier], tier, left)
+        while last and any(left):
+            self._window(1 << (sum(left).bit_length() - 1), len(self.tiers) - 1, left)
+
+    def _window(self, size: int, tier: int, left: list[int]) -> None:
+        """One sequence of exactly `size` tokens, of which as many wait in the tier and below at least: the tier's longest piece, then what fits of its
+        tier, then of shorter ones; a gap that nothing fits is closed with a part of one of the shortest pieces."""
+        got, gap = [], size
+        for k in range(tier, -1, -1):
+            pieces = self.waiting[k]
             while pieces and gap:
-                if pieces[-1][2] <= gap:
-                    got.append(pieces.pop())
-                elif pieces[0][2] <= gap:  # the longest that fits
-                    low, high = 0, len(pieces)
-                    while high - low > 1:
-                        mid = (low + high) // 2
-                        low, high = (mid, high) if pieces[mid][2] <= gap else (low, mid)
-                    got.append(pieces.pop(low))
-                else:
+                at = bisect_right(pieces, gap, key=lambda p: p[2])  # the longest that fits is before it
+                if not at:
                     break
+                got.append(pieces.pop(at - 1))
+                left[k] -= got[-1][2]
                 gap -= got[-1][2]
-        if gap:  # all that wait are longer than the gap: one of the shortest is cut
-            pieces = next(pieces for pieces in self.waiting if pieces)
-            doc_id, start, n, total, ids = pieces.pop(0)
+        if gap:
+            k = next(k for k, pieces in enumerate(self.waiting) if pieces)
+            doc_id, start, n, total, ids = self.waiting[k].pop(0)
             got.append([doc_id, start, gap, total, ids[:gap]])
+            left[k] -= n
             rest = [doc_id, start + gap, n - gap, total, ids[gap:]]
-            tier = next(k for k, most in enumerate(self.tiers) if rest[2] <= most)
-            at = next((k for k, p in enumerate(self.waiting[tier]) if p[2] >= rest[2]), len(self.waiting[tier]))
-            self.waiting[tier].insert(at, rest)
+            k = self._tier(rest[2])
+            insort_left(self.waiting[k], rest, key=lambda p: p[2])
+            left[k] += rest[2]
         self.emit(got, size)
-        return size
+
+
+class Steps:
+    """Deals sequences to step groups such that each has as many tokens of each window size, and then in all."""
+
+    def __init__(self, groups: int):
+        self.total, self.by_size = [0] * groups, {}
+
+    def group(self, size: int) -> int:
+        own = self.by_size.setdefault(size, [0] * len(self.total))
+        at = min(range(len(own)), key=lambda k: (own[k], self.total[k]))
+        own[at] += size
+        self.total[at] += size
+        return at
 
 
 def pack(docs: DataFrame, rank_lines: bytes = b"", pattern: str = "", end_id: int = 0, tiers: tuple[int, ...] = TIERS, horizon: int = HORIZON, step_groups: int = STEP_GROUPS, with_ids: bool = False, tokenizer_json: bytes | None = None) -> DataFrame:
@@ -106,13 +120,11 @@ def pack(docs: DataFrame, rank_lines: bytes = b"", pattern: str = "", end_id: in
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.tokenizer(tokenizer_json) if tokenizer_json else tokens.codec(rank_lines, pattern)
         base, made, rows = TaskContext.get().partitionId() << 33, 0, []
-        load = [0] * step_groups
+        steps = Steps(step_groups)
 
         def emit(pieces: list, size: int) -> None:
             nonlocal made
-            group = load.index(min(load))
-            load[group] += size
-            offset = 0
+            group, offset = steps.group(size), 0
             for doc_id, start, n, total, ids in pieces:
                 raw = ids.astype("<u4").tobytes()
                 rows.append((doc_id, start, n, zlib.crc32(raw), total, base + made, offset, size, group, raw if with_ids else None))

@@ -195,6 +195,36 @@ def test_packing(docs, empty, encoder, horizon):
     assert packing.pack(empty, **tokens.public_codec()).collect() == []
 
 
+def test_each_tier_is_packed_and_long_windows_are_filled_from_shorter_ones():
+    rng, sequences = np.random.default_rng(3), []
+    packer = packing.Packer(packing.TIERS, lambda pieces, size: sequences.append((size, [p[:4] for p in pieces])))
+    sizes = [*rng.integers(1, 129, 400), *rng.integers(129, 257, 100), *rng.integers(257, 513, 60), *rng.integers(513, 1025, 40), 5000]
+    for k, n in enumerate(sizes):
+        packer.add(k, np.zeros(n, np.uint32))
+        if k % 150 == 149:
+            packer.close()
+    packer.close(last=True)
+    assert all(sum(p[2] for p in pieces) == size for size, pieces in sequences)
+    held = collections.defaultdict(list)
+    for _, pieces in sequences:
+        for d, start, n, total in pieces:
+            assert total == sizes[d]
+            held[d].append((start, n))
+    for d, own in held.items():
+        ends = [s + n for s, n in sorted(own)]
+        assert [0, *ends[:-1]] == [s for s, _ in sorted(own)] and ends[-1] == sizes[d]
+    count = collections.Counter(size for size, _ in sequences)
+    assert all(count[t] >= 5 for t in packing.TIERS) and set(count) - set(packing.TIERS) <= {2**k for k in range(10)}
+    mixed = [p for size, p in sequences if size == 1024 and max(x[2] for x in p) > 512 and min(x[2] for x in p) <= 128]
+    assert len(mixed) > 10  # gaps of long windows hold pieces of shorter tiers
+    steps = packing.Steps(8)
+    dealt = collections.defaultdict(lambda: collections.Counter())
+    for size, _ in sequences:
+        dealt[size][steps.group(size)] += size
+    assert all(max(c.values()) - min(c[g] for g in range(8)) <= size for size, c in dealt.items())
+    assert max(steps.total) - min(steps.total) <= 2048
+
+
 def test_packing_takes_ids_from_the_tokenizer(docs, empty, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -253,9 +283,9 @@ def test_forward_is_exact_and_baum_welch_never_worsens():
         before = after
 
 
-@pytest.mark.parametrize("head", [3, 1 << 12])
-def test_bpe_words(docs, empty, encoder, head):
-    got = bpe_words.round_trip(docs, head_words=head, **tokens.public_codec()).collect()
+@pytest.mark.parametrize("held", [3, 1 << 12])
+def test_bpe_words(docs, empty, encoder, held):
+    got = bpe_words.round_trip(docs, held=held, **tokens.public_codec()).collect()
     want = []
     for d, t in texts_of(docs):
         ids = encoder.encode_ordinary(t)
