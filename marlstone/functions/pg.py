@@ -29,16 +29,21 @@ def right(s: Column, n: int) -> Column:
 
 
 def regexp_replace(s: Column, pattern: str, to: str, flags: str = "") -> Column:
-    """Only the first match, unless flags has g; i ignores case."""
-    pattern = f"(?i){pattern}" if "i" in flags else pattern
-    return F.regexp_replace(s, pattern, to) if "g" in flags else F.when(F.regexp_instr(s, F.lit(pattern)) > 0, _first(s, pattern, to)).otherwise(s)
+    """Only the first match, unless flags has g; i ignores case. In `to`, \\1 to \\9 are groups, \\& is the match and \\\\ a backslash."""
+    all_of = "g" in flags
+    shift = 0 if all_of else 2  # the first match stands in a group of its own, after the text before it
 
+    def part(m: re.Match) -> str:
+        if m[0] == "$":
+            return "\\$"
+        c = m[1]
+        return f"${int(c) + shift}" if c.isdigit() and c != "0" else f"${shift}" if c == "&" else "\\\\" if c == "\\" else re.escape(c)
 
-def _first(s: Column, pattern: str, to: str) -> Column:
-    at = F.regexp_instr(s, F.lit(pattern))
-    found = F.regexp_substr(s, F.lit(pattern))
-    changed = F.regexp_replace(found, f"^(?:{pattern})$", to)
-    return F.concat(s.substr(F.lit(1), at - 1), changed, s.substr(at + F.length(found), F.length(s)))
+    to = re.sub(r"\\(.)|\$", part, to, flags=re.S)
+    if not all_of:
+        inner = re.sub(r"\\(.)", lambda m: f"\\{int(m[1]) + shift}" if m[1] in "123456789" else m[0], pattern, flags=re.S)
+        pattern, to = rf"\A((?s:.*?))({inner})", "$1" + to
+    return F.regexp_replace(s, f"(?i){pattern}" if "i" in flags else pattern, to)
 
 
 def similar_to(s: Column, pattern: str) -> Column:
@@ -71,13 +76,16 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
+    """The least common multiple of longs, exact; an error where it is none."""
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") / g * b).cast("long"))
+    return F.when(g == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", F.abs(a.cast("long")), g) * F.abs(b.cast("long")))
 
 
 def trunc(x: Column, scale: int = 0) -> Column:
-    """Digits beyond the scale are cut off, towards zero."""
-    return F.signum(x) * F.floor(F.abs(x) * 10**scale) / 10**scale
+    """Digits beyond the scale are cut off, towards zero, in decimal: 0.29 at scale 2 stays 0.29. Doubles from 10 ^ 15 on have no digits that a scale up to 1 cuts."""
+    cut = F.floor(F.abs(x).cast("decimal(38,18)"), F.lit(scale)).cast("double")
+    return F.when(F.abs(x) >= 1e15, x).otherwise(F.signum(x) * cut)
+
 
 
 def dow(ts: Column) -> Column:

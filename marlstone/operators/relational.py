@@ -44,12 +44,13 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, since: s
 
     Both sides are one sorted stream per key; last_value carries the values forward. One shuffle, no range join.
     """
-    flag = f"_{uuid.uuid4().hex}"
-    a = left.select(*left.columns, F.col(at).alias("_at"), F.lit(1).alias(flag), *(F.lit(None).cast(right.schema[v].dataType).alias(f"_v{i}") for i, v in enumerate(values)))
-    b = right.select(*(F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(since).alias("_at"), F.lit(0).alias(flag), *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values)))
-    w = Window.partitionBy(key).orderBy("_at", flag).rowsBetween(Window.unboundedPreceding, 0)
-    row = F.last(F.when(F.col(flag) == 0, F.struct(*(F.col(f"_v{i}").alias(v) for i, v in enumerate(values)))), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_row", row).where(F.col(flag) == 1).select(*left.columns, "_row.*")
+    own = uuid.uuid4().hex
+    flag, time, row_name = f"flag_{own}", f"time_{own}", f"row_{own}"
+    a = left.select(*left.columns, F.col(at).alias(time), F.lit(1).alias(flag), *(F.lit(None).cast(right.schema[v].dataType).alias(f"v{i}_{own}") for i, v in enumerate(values)))
+    b = right.select(*(F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(since).alias(time), F.lit(0).alias(flag), *(F.col(v).alias(f"v{i}_{own}") for i, v in enumerate(values)))
+    w = Window.partitionBy(key).orderBy(time, flag).rowsBetween(Window.unboundedPreceding, 0)
+    row = F.last(F.when(F.col(flag) == 0, F.struct(*(F.col(f"v{i}_{own}").alias(v) for i, v in enumerate(values)))), ignorenulls=True).over(w)
+    return a.unionByName(b).withColumn(row_name, row).where(F.col(flag) == 1).select(*left.columns, f"{row_name}.*")
 
 
 def reachable(seed: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +15,26 @@ def inserted(target: DataFrame, rows: DataFrame, defaults: dict[str, Column]) ->
 
 
 def upserted(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None) -> DataFrame:
-    """INSERT … ON CONFLICT (keys): DO UPDATE SET the columns `update` from the new row, or DO NOTHING if None. Keys must be unique in rows."""
-    new = rows.select(*(F.col(c).alias(f"new_{c}") for c in target.columns), F.lit(True).alias("_new"))
-    old = target.withColumn("_old", F.lit(True))
-    both = old.join(new, [old[k] == new[f"new_{k}"] for k in keys], "full")
-    taken = lambda c: F.when(F.col("_old").isNull() | (F.col("_new").isNotNull() & F.lit(c in (update or []))), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    """INSERT … ON CONFLICT (keys): DO UPDATE SET the columns `update` from the new row, or DO NOTHING if None.
+
+    Of new rows with equal keys, DO NOTHING inserts the least one; DO UPDATE is an error, as a row would be affected twice. Null keys meet nothing.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in target.columns))
+    null_key = F.when(F.greatest(*(F.col(f"`{k}`").isNull().cast("int") for k in keys)) == 1, F.monotonically_increasing_id()) if len(keys) > 1 else F.when(F.col(f"`{keys[0]}`").isNull(), F.monotonically_increasing_id())
+    new = rows.select(whole.alias("n"), null_key.alias("apart"))
+    once = new.groupBy(*(F.col(f"n.`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), "apart").agg(F.min("n").alias("n"), F.count("*").alias("times"))
+    if update is not None:
+        once = once.withColumn("n", F.when(F.col("times") > 1, F.raise_error(F.lit("two new rows have the same key"))).otherwise(F.col("n")))
+    both = target.select(whole.alias("o")).join(once.select("n"), [F.col(f"o.`{k}`") == F.col(f"n.`{k}`") for k in keys], "full")
+    taken = lambda c: F.when(F.col("o").isNull() | (F.col("n").isNotNull() & F.lit(c in (update or []))), F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c)
     return both.select(*(taken(c) for c in target.columns))
 
 
 def updated(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:
-    """UPDATE … FROM source: rows that meet a row of source by the keys (unique there) get the changes, written over both sides' columns."""
-    joined = target.join(source.withColumn("_met", F.lit(True)), keys, "left")
-    return joined.select(*(F.when(F.col("_met"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in target.columns))
+    """UPDATE … FROM source: rows that meet a row of source by the keys get the changes, written over both sides' columns; of several such rows, one counts."""
+    met = f"met_{uuid.uuid4().hex}"
+    joined = target.join(source.dropDuplicates(keys).withColumn(met, F.lit(True)), keys, "left")
+    return joined.select(*(F.when(F.col(met), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in target.columns))
 
 
 def deleted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

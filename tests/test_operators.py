@@ -18,6 +18,30 @@ def test_regexp_replace_takes_the_first_match_only(spark):
     assert one(spark, pg.regexp_replace(F.lit("abc"), "z", "-")) == "abc"
 
 
+def test_regexp_replace_in_context_and_with_groups(spark):
+    assert one(spark, pg.regexp_replace(F.lit("abab"), "a(?=b)", "X")) == "Xbab"
+    assert one(spark, pg.regexp_replace(F.lit("bbb"), "a*", "X")) == "Xbbb"
+    assert one(spark, pg.regexp_replace(F.lit("ab ab"), "(a)(b)", r"\2\1$\\\&")) == r"ba$\ab ab"
+    assert one(spark, pg.regexp_replace(F.lit("ab ab"), "(a)(b)", r"\2\1", "g")) == "ba ba"
+    assert one(spark, pg.regexp_replace(F.lit("xaabb"), r"(a)\1", "-")) == "x-bb"
+
+
+def test_lcm_and_trunc_are_exact(spark):
+    assert one(spark, pg.lcm(F.lit(2147483647), F.lit(4294967291))) == 2147483647 * 4294967291
+    assert one(spark, pg.lcm(F.lit(0), F.lit(5))) == 0 and one(spark, pg.lcm(F.lit(-4), F.lit(6))) == 12
+    assert [one(spark, pg.trunc(F.lit(x), 2)) for x in (0.29, -0.299, 1e20)] == [0.29, -0.29, 1e20]
+    assert one(spark, pg.trunc(F.lit(-1.9))) == -1.0
+
+
+def test_upsert_with_repeated_keys_and_clashing_names(spark):
+    old = spark.createDataFrame([(1, "a", 1), (None, "n", 2)], "k long, _new string, new_k long")
+    new = spark.createDataFrame([(1, "x", 3), (2, "z", 4), (2, "y", 5), (None, "m", 6), (None, "l", 7)], "k long, _new string, new_k long")
+    got = sorted(map(tuple, writes.upserted(old, new, ["k"], None).collect()), key=str)
+    assert got == sorted([(1, "a", 1), (None, "n", 2), (2, "y", 5), (None, "m", 6), (None, "l", 7)], key=str)
+    got = sorted(map(tuple, writes.upserted(old, new.where("k = 1"), ["k"], ["_new"]).collect()), key=str)
+    assert got == sorted([(1, "x", 1), (None, "n", 2)], key=str)
+
+
 def test_similar_to_matches_whole_texts(spark):
     assert one(spark, pg.similar_to(F.lit("abc"), "a%"))
     assert one(spark, pg.similar_to(F.lit("abc"), "(a|x)_c"))
@@ -86,3 +110,15 @@ def test_entry_module_without_llm(spark, monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("marlstone.llm", "corpus_pipeline")) else real(name, *a))
     names = __spark_entry__.queries()
     assert "pricing_summary" in names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
+
+
+def test_entry_module_where_the_llm_subpackage_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in ("marlstone.llm.queries", "corpus_pipeline"):
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "marlstone.llm.queries", None)
+    names = __spark_entry__.queries()
+    assert "pricing_summary" in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
