@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import checkpoint_dir
+
 #: White space between words: space and \t \n \v \f \r. bytes.split() and bytes.lower() use the same set and A-Z alone.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -20,18 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one set here where there is none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
 def released(spark: SparkSession) -> None:
     """Asks the JVM to collect finished plans: Spark drops their shuffle files then, which otherwise take disk until it happens."""
     gc.collect()
@@ -41,7 +30,7 @@ def released(spark: SparkSession) -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage so that lost executors cost no recomputation."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
     released(spark)
