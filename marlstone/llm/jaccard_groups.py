@@ -7,7 +7,7 @@ by one, only if the bound reaches what the smallest partner that fits would need
 
 Which unit asks which group: sets x and y with 100 * |x & y| >= percent * |x | y| differ in few tokens, k at most, which follows from their
 sizes. Tokens are dealt by hash to more than k parts, so at least one part is the same in both sets. A part's
-signature is a hash of its tokens, and only units that share one are ever compared (see Plan for small parts). Sizes are cut into
+signature is a hash of its tokens, and only units that share as many as that leaves are ever compared (see Plan for small parts). Sizes are cut into
 bands such that linked sets are in one band or in neighbours; each unit has the signatures of its own band and of the one below.
 
 What is asked for is connection, so pairs that are already connected need no look. In a first round, the units of a signature
@@ -107,15 +107,18 @@ def plan_of(percent: int) -> Plan:
     return Plan(*(np.array(x, np.int64) for x in (least[:-1], differ, parts, large)))
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of the sets, none of them empty, as signed integers, and the set of each."""
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of the sets, none of them empty, as signed integers, and the set of each; of each set, how many it shares at least with a linked one.
+
+    Of the parts - differ parts that are the same, those that are small in this set may have no signature.
+    """
     plan = plan_of(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     value, place = mixed(tokens + np.uint64(0x9E3779B97F4A7C15)), mixed(tokens ^ np.uint64(0x5851F42D4C957F2D))
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(float), (value >> np.uint64(32)).astype(float)
     own_band = np.searchsorted(plan.least, sizes, "right") - 1
-    out, of = [], []
+    out, of, least = [], [], np.full(len(sets), LARGEST)
     for band in (own_band, own_band - 1):
         differ = np.where(band >= 0, plan.differ[band], 0)
         parts = np.where(differ > 0, plan.parts[band], 0)  # sets that may differ in no token are linked only if they are the same
@@ -128,10 +131,12 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         sums = [np.bincount(slot, x[some], minlength=n).astype(np.uint64) for x in (low, high)]
         unit = np.repeat(np.arange(len(sets)), parts)
         small = held < plan.large[band][unit]
-        kept = ~small | (np.bincount(unit[small], minlength=len(sets)) >= parts - differ)[unit]
+        left = parts - differ - np.bincount(unit[small], minlength=len(sets))
+        kept = ~small | (left < 1)[unit]
+        least = np.minimum(least, np.where(parts > 0, np.maximum(left, 1), LARGEST))
         number = (np.arange(n) - first[unit] + (band[unit] << 40)).astype(np.uint64)
         out.append(mixed(sums[0] + (sums[1] << np.uint64(32)) + mixed(number))[kept]), of.append(unit[kept])
-    return np.concatenate(out).view(np.int64), np.concatenate(of)
+    return np.concatenate(out).view(np.int64), np.concatenate(of), least
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -148,17 +153,17 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int, bits: bytes | None = None) -> DataFrame:
-    """(s, u): the signatures of each document's set; of those only that pass the filter, where there is one."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BYTES at most
+    """(s, u, least): the signatures of each document's set, and how many of them a linked set shares at least; those only that pass the filter, where there is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(sets: list[np.ndarray]) -> pa.RecordBatch:
-            s, of = signatures(sets, percent)
-            u = np.array([unit_of(set_id(x)) for x in sets], np.int64)[of]
+            s, of, least = signatures(sets, percent)
             if shared.value is not None:
                 at = passes(shared.value, s)
-                s, u = s[at], u[at]
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(u)], ["s", "u"])
+                s, of = s[at], of[at]
+            u = np.array([unit_of(set_id(x)) for x in sets], np.int64)[of]
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(u), pa.array(least[of])], ["s", "u", "least"])
 
         sets, total = [], 0
         for b in batches:
@@ -173,19 +178,25 @@ def signature_rows(docs: DataFrame, size: int, percent: int, bits: bytes | None
         if sets:
             yield made(sets)
 
-    return docs.select("text").mapInArrow(sign, "s long, u long")
+    return docs.select("text").mapInArrow(sign, "s long, u long, least long")
+
+
+def met_twice(rows: DataFrame) -> DataFrame:
+    """(s, lead): the signatures that two units share at least, counted in each task first; the lead is the least of them."""
+    return rows.groupBy("s").agg(F.min("u").alias("lead"), F.max("u").alias("last")).where("lead < last").select("s", "lead")
 
 
 def shared_signatures(docs: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
-    """(s, lead, u): the units of each signature that two units share at least; the lead is the least of them.
+    """(s, u, least, lead): the units of each signature that two units share at least, without units that share too few for any link.
 
-    A first scan finds these signatures, with a count that is combined in each task; a second one their units. A filter of bounded size thins the
-    second: whatever passes is joined exactly.
+    A first scan finds these signatures; a second one their units. A filter of bounded size thins the second: whatever passes is joined exactly.
     """
-    ends = signature_rows(docs, size, percent).groupBy("s").agg(F.min("u").alias("lead"), F.max("u").alias("last"))
-    shared = store(ends.where("lead < last").select("s", "lead"), "shared")
+    shared = store(met_twice(signature_rows(docs, size, percent)), "shared")
     rows = signature_rows(docs, size, percent, bit_filter(shared, "s"))
-    return store(rows.join(shared, "s").groupBy("s", "u").agg(F.first("lead").alias("lead")), "signatures")
+    rows = store(rows.join(shared.select("s"), "s").groupBy("s", "u").agg(F.max("least").alias("least")), "signatures")
+    enough = rows.groupBy("u").agg(F.count("*").alias("held"), F.max("least").alias("least")).where("held >= least").select("u")
+    rows = store(rows.join(enough, "u"), "signatures")
+    return store(rows.join(met_twice(rows), "s").select("s", "u", "least", "lead"), "signatures")
 
 
 def token_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -332,29 +343,33 @@ def led(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """For round one, of (s, u, n, lead): the leads in groups (u, n, gid), and the units that ask the groups of their leads (u, n, gid)."""
     home = entries.groupBy("u").agg(F.min("lead").alias("home"), F.max("n").alias("n"), F.max(F.col("u") == F.col("lead")).alias("leads"))
     groups = homes(home.where("leads").drop("leads"))
-    pairs = entries.where("u <> lead").select("u", "n", "lead").distinct()
+    pairs = entries.where("u <> lead").groupBy("u", "n", "lead").agg(F.count("*").alias("held"), F.max("least").alias("least"))
+    pairs = pairs.where("2 * held >= least").drop("held", "least")  # the likely ones: round two meets all that are still apart
     other = groups.select(F.col("u").alias("lead"), F.col("n").alias("m"), "gid")
     fits = (percent * F.col("n") <= 100 * F.col("m")) & (percent * F.col("m") <= 100 * F.col("n"))
     return groups, pairs.join(other, "lead").where(fits).select("u", "n", "gid").distinct()
 
 
 def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(s, u, n, lead, c): the entries of the signatures whose units are not all of one component c."""
+    """(s, u, n, least, lead, c): the entries of the signatures whose units are not all of one component c, without units that have too few for a link."""
     rows = entries.join(labels, "u")
     apart = rows.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
-    return rows.join(apart, "s")
+    rows = rows.join(apart, "s")
+    enough = rows.groupBy("u").agg(F.count("*").alias("held"), F.max("least").alias("least")).where("held >= least").select("u")
+    return rows.join(enough, "u")
 
 
 def apart(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """For round two, of unsettled entries: the units in groups (u, n, gid), and the units that ask other groups (u, n, gid) which hold a unit of
     another component with one of their signatures and a size that fits. Of two groups, the units of one ask the other."""
     groups = homes(entries.groupBy("u").agg(F.min("lead").alias("home"), F.max("n").alias("n")))
-    rows = entries.select("s", "u", "c").join(groups, "u")
+    rows = entries.select("s", "u", "least", "c").join(groups, "u")
     held = rows.groupBy("s", F.col("gid").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("x"), F.max("c").alias("y"))
     fits = (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n"))
     differ = (F.col("x") != F.col("c")) | (F.col("y") != F.col("c"))
     asking = rows.join(held, "s").where((F.col("other") < F.col("gid")) & fits & differ)
-    return groups, asking.select("u", "n", F.col("other").alias("gid")).distinct()
+    asking = asking.groupBy("u", "n", F.col("other").alias("gid")).agg(F.count("*").alias("held"), F.max("least").alias("least"))
+    return groups, asking.where("held >= least").select("u", "n", "gid")
 
 
 def labelled(docs: DataFrame, store: Store, size: int, percent: int) -> tuple[DataFrame, DataFrame]:

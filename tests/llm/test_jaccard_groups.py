@@ -96,8 +96,9 @@ def test_linked_sets_share_a_signature(percent):
             both = rng.permutation(np.unique(rng.integers(0, 1 << 63, n + m, np.uint64)))
             x, y = np.sort(both[:n]), np.sort(np.concatenate([both[:o], both[n : n + m - o]]))
             assert 100 * o >= percent * (n + m - o) and len(x) == n and len(y) == m
-            s, of = jaccard_groups.signatures([x, y], percent)
-            assert set(s[of == 0]) & set(s[of == 1]), (n, m)
+            s, of, least = jaccard_groups.signatures([x, y], percent)
+            shared = set(s[of == 0]) & set(s[of == 1])
+            assert shared and len(shared) >= max(least), (n, m)
             tried += 1
     assert tried > 100
 
