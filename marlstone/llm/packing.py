@@ -33,7 +33,7 @@ TIERS = (128, 256, 512, 1024)
 #: Documents that a task holds before it closes what it can.
 HORIZON = 4096
 #: Texts that a tokenizer encodes at once.
-AT_ONCE = 64
+AT_ONCE = 256
 #: Step groups that sequences of a partition are dealt to.
 STEP_GROUPS = 8
 
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, rank_lines: bytes = b"", pattern: str = "", end_id: in
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 texts = part.column(1).to_pylist()
-                ids = tokens.ids_by_tokenizer(encoder, texts) if tokenizer_json else [tokens.ids_of(encoder, t) for t in texts]
+                ids = encoder.ids(texts) if tokenizer_json else [tokens.ids_of(encoder, t) for t in texts]
                 yield from zip(part.column(0).to_pylist(), ids, strict=True)
 
         packer, held, end = Packer(tiers, emit), 0, np.array([end_id], np.uint32)

@@ -245,6 +245,25 @@ def test_packing_takes_ids_from_the_tokenizer(docs, empty, spark, tmp_path):
     assert packing.pack(empty, **tokens.public_tokenizer()).collect() == []
 
 
+def test_tokenizer_by_chunks_gives_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokens, "HELD", 500)  # it forgets and starts anew
+    lines = tokens.public_tokenizer()["tokenizer_json"]
+    by = tokens.ByTokenizer(lines)
+    pick, parts = random.Random(5), [" ", " ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "\u2028", "\u200b", "a", "bc", "'s", "'", "12", "é", "日", "<|endoftext|>", ".", "½"]
+    for _ in range(12):
+        texts = ["".join(pick.choices(parts, k=pick.randrange(16))) for _ in range(400)] + TEXTS
+        want = [e.ids for e in by.built.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in by.ids(texts)] == want
+    assert by.by_chunk and by.ids([]) == []
+    by.between = None
+    by._forget()
+    assert [x.tolist() for x in by.ids(texts)] == want
+    by.by_chunk = False
+    assert [x.tolist() for x in by.ids(texts)] == want
+
+
 def test_hidden_markov(spark, docs, empty):
     held = crc_mod("doc_id", 7) == 2
     got = hidden_markov.scored(docs, held, stored, classes=4, head=8, states=2, rounds=2).collect()
