@@ -2,9 +2,10 @@
 
 The DOMs of a host's pages are merged by element path. Each node gets an importance from two entropies: of the
 presentations that it has over the pages (its sequences of child elements), and of its contents (how evenly a text block is
-spread over pages: one that all pages share tells nothing). Branches of low importance are removed from each page. Where a host
-has too few pages to tell, what elements and class names say of themselves decides alone, as it does everywhere for
-menus, forms, scripts and the like.
+spread over pages: one that all pages share tells nothing). The same tree over the pages of all hosts tells of layouts that hosts
+share, and so of hosts with few pages. A branch is removed where it and all below it are of low importance by one of the two
+trees. What elements and class names say of themselves decides too, for menus, forms, scripts, comments and the like, whose
+contents may differ on every page.
 
 Only hashes and counts are shuffled to build the trees, summed in each task first. What a host's pages must know is the list of its
 low paths; a host with a third of all pages is read in as many tasks as its files have.
@@ -24,10 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host, at least, that a path must be on before its importance counts.
+#: Pages of a tree, at least, that a path must be on before its importance counts.
 LEAST_PAGES = 8
-#: Branches below this importance are removed.
-LOW = 0.25
+#: Branches below this importance are removed: outside, and inside an article or main element, which says of itself that it is no frame.
+LOW, LOW_INSIDE = 0.6, 0.25
+#: Stands for all hosts; no host has a slash.
+ALL_HOSTS = "//"
 #: Weight that a further presentation takes from a node's contents.
 GAMMA = 0.9
 #: Elements deeper than this share the path of their ancestor there.
@@ -184,7 +187,7 @@ def _hash(text: str) -> int:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): in how many pages of the host a path shows a content (kind c), a presentation (s), or itself (p)."""
+    """(host, path, kind, value, n): in how many pages of the host, and of ALL_HOSTS, a path shows a content (kind c), a presentation (s), or itself (p)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -207,16 +210,14 @@ def style_counts(pages: DataFrame) -> DataFrame:
         yield out()
 
     rows = pages.select(host_of("url").alias("host"), "html").mapInArrow(count, "host string, path string, kind string, value long, n long")
-    return rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    twice = rows.withColumn("host", F.explode(F.array("host", F.lit(ALL_HOSTS))))
+    return twice.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
 
 
-def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged tree's nodes that are on LEAST_PAGES pages at least.
-
-    A text block on c of a path's m pages has content entropy log c / log m. A node's contents are those of all blocks below it.
-    """
+def nodes(counts: DataFrame) -> DataFrame:
+    """One row a node of each tree: its pages, and the sums that the entropies of its contents and presentations are made of."""
     n, log = F.col("n"), F.log(F.col("n"))
-    by = counts.groupBy("host", "path").agg(
+    return counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == "p", n)).alias("pages"),
         F.sum(F.when(F.col("kind") == "c", n)).alias("weight"),
         F.sum(F.when(F.col("kind") == "c", n * log)).alias("spread"),
@@ -224,13 +225,30 @@ def importance(counts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "s", n * log)).alias("shown_log"),
         F.count(F.when(F.col("kind") == "s", 1)).alias("styles"),
     )
+
+
+def importance(by: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of the nodes that hold text; importance is null for those on fewer than LEAST_PAGES pages.
+
+    A text block on c of a path's m pages has content entropy log c / log m. A node's contents are those of all blocks below it.
+    """
     below = by.where("weight > 0").select("host", F.explode(_ancestors("path")).alias("path"), "weight", (F.col("spread") / F.log(F.greatest("pages", F.lit(2)))).alias("evenness"))
     content = below.groupBy("host", "path").agg((1 - F.sum("evenness") / F.sum("weight")).alias("content"))
     entropy = F.log("shown") - F.col("shown_log") / F.col("shown")
     presented = F.coalesce(F.least(entropy / F.log("pages"), F.lit(1.0)), F.lit(0.0))
     kept = F.pow(F.lit(GAMMA), F.col("styles"))
     score = (1 - kept) * presented + kept * F.col("content")
-    return by.where(F.col("pages") >= LEAST_PAGES).join(content, ["host", "path"]).select("host", "path", "pages", score.alias("importance"))
+    return by.join(content, ["host", "path"]).select("host", "path", "pages", F.when(F.col("pages") >= LEAST_PAGES, score).alias("importance"))
+
+
+def low_branches(scores: DataFrame) -> DataFrame:
+    """(host, path) of the nodes that are below their limit, by the host's tree or that of all hosts, with every node beneath them."""
+    everywhere = scores.where(F.col("host") == ALL_HOSTS).select("path", F.col("importance").alias("everywhere"))
+    own = scores.where(F.col("host") != ALL_HOSTS).join(everywhere, "path")
+    limit = F.when(F.col("path").rlike(r">(article|main)(\.|>|$)"), LOW_INSIDE).otherwise(LOW)
+    over = F.coalesce(F.least("importance", "everywhere"), F.lit(1.0)) - limit
+    above = own.select("host", F.explode(_ancestors("path")).alias("path"), over.alias("over"))
+    return above.groupBy("host", "path").agg(F.max("over").alias("over")).where("over < 0").select("host", "path")
 
 
 def _ancestors(path: str) -> Column:
@@ -240,8 +258,8 @@ def _ancestors(path: str) -> Column:
 
 def extracted(pages: DataFrame, store) -> DataFrame:
     """page_id, url, text, n_chars of each page. `store` writes a DataFrame to the shared folder and reads it again."""
-    low = importance(style_counts(pages)).where(F.col("importance") < LOW).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
-    low = store(low, "low_paths")
+    scores = importance(store(nodes(style_counts(pages)), "style_nodes"))
+    low = store(low_branches(scores).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "low_paths")
     rows = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, language_id, packing, quality_rules, site_style, token_files, tokens
 from marlstone.llm.common import crc_mod, stored
@@ -83,6 +84,26 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert {r["text"] for r in got.collect()} == {f"Own words {k}" for k in range(20)}
 
 
+def test_layouts_that_small_hosts_share(spark):
+    page = "<body><div class=x><p>Same words on all pages</p></div><div class=y><p>Own words {0}</p></div></body>"
+    rows = [(k, f"http://h{k // 2}.org", page.format(k)) for k in range(20)]
+    got = site_style.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), stored)
+    assert {r["text"] for r in got.collect()} == {f"Own words {k}" for k in range(20)}
+
+
+def test_tree_decides_where_names_tell_nothing(spark):
+    """The pages of the test data with their article and adverts as divs of names without meaning: the tree removes what the names told."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    blank = F.replace(F.replace(F.replace("html", F.lit('class="ad"'), F.lit('class="q"')), F.lit("<article>"), F.lit('<div class="z">')), F.lit("</article>"), F.lit("</div>"))
+    changed = site_style.extracted(pages.withColumn("html", blank), stored).select("page_id", F.col("text").alias("blank"))
+    both = site_style.extracted(pages, stored).join(changed, "page_id").select(F.count("*").alias("n"), F.count_if(F.expr("text = blank")).alias("same")).first()
+    assert both["n"] == pages.count() and both["same"] > 0.99 * both["n"]
+
+
+def test_pages_of_an_empty_table(spark):
+    assert site_style.extracted(spark.createDataFrame([], "page_id long, url string, html string"), stored).count() == 0
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "overflow-hidden", "elementor-widget-container", "search-page", "no-banner"])
 def test_names_around_the_article_do_not_remove_it(name):
     parts = "<h1>Head</h1><p>Own words of some length, and more of these</p>"
