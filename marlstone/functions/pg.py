@@ -115,6 +115,54 @@ def all_greater(x: Column, array: Column) -> Column:
     return F.forall(array, lambda e: x > e)
 
 
+def _compared(x: Column, op: str, e: Column) -> Column:
+    return {"=": x == e, "<>": x != e, "<": x < e, "<=": x <= e, ">": x > e, ">=": x >= e}[op]
+
+
+def any_of(x: Column, op: str, array: Column) -> Column:
+    """x op ANY(array) for = <> < <= > >=: null if only a null could have met the condition, false for an empty array."""
+    return F.exists(array, lambda e: _compared(x, op, e))
+
+
+def all_of(x: Column, op: str, array: Column) -> Column:
+    """x op ALL(array): null if only a null could have failed the condition, true for an empty array."""
+    return F.forall(array, lambda e: _compared(x, op, e))
+
+
+def contains(array: Column, other: Column) -> Column:
+    """array @> other: nulls meet nothing, so another array with one is never contained. other <@ array is the same."""
+    return F.forall(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False)))
+
+
+def overlaps(array: Column, other: Column) -> Column:
+    """array && other: nulls meet nothing."""
+    return F.exists(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False)))
+
+
+def hypothetical_rank(at: Column, value: Column) -> Column:
+    """rank(at) WITHIN GROUP (ORDER BY value): the place that `at` would have. Nulls of value sort last."""
+    return F.count(F.when(value < at, 1)) + 1
+
+
+def hypothetical_percent_rank(at: Column, value: Column) -> Column:
+    return F.count(F.when(value < at, 1)) / F.nullif(F.count("*"), F.lit(0))
+
+
+def hypothetical_cume_dist(at: Column, value: Column) -> Column:
+    return (F.count(F.when(value <= at, 1)) + 1) / (F.count("*") + 1)
+
+
+def json_agg(value: Column, *by: Column) -> Column:
+    """json_agg(value ORDER BY by), without white space; value is a struct, map or array."""
+    keyed = F.struct(*(b.alias(f"k{i}") for i, b in enumerate(by)), value.alias("v"))
+    return F.to_json(F.transform(F.array_sort(F.collect_list(keyed)), lambda s: s["v"]), {"ignoreNullFields": "false"})
+
+
+def json_object_agg(key: Column, value: Column) -> Column:
+    """json_object_agg(key, value ORDER BY key), without white space; a repeated or null key is an error, as in jsonb's strict form."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))), {"ignoreNullFields": "false"})
+
+
 def array_positions(array: Column, x: Column) -> Column:
     hits = F.transform(array, lambda e, i: F.when(e.eqNullSafe(x), i + 1))
     return F.array_compact(hits)

@@ -39,6 +39,23 @@ def sum_excluding_current(value: Column, window) -> Column:
     return F.when(F.count(value).over(window) > F.when(value.isNotNull(), 1).otherwise(0), F.sum(value).over(window) - F.coalesce(value, F.lit(0)))
 
 
+def _difference(value: Column, frame, without) -> Column:
+    """sum(value) over a frame less that over a part of it, null if nothing else is there."""
+    rest = F.count(value).over(frame) - F.count(value).over(without)
+    return F.when(rest > 0, F.sum(value).over(frame) - F.coalesce(F.sum(value).over(without), F.lit(0)))
+
+
+def sum_excluding_group(value: Column, frame, peers) -> Column:
+    """sum(value) over (… EXCLUDE GROUP) of a frame that holds the whole peer group; `peers` is the window of a row's peers."""
+    return _difference(value, frame, peers)
+
+
+def sum_excluding_ties(value: Column, frame, peers) -> Column:
+    """sum(value) over (… EXCLUDE TIES) of a frame that holds the whole peer group: the row itself stays."""
+    others = _difference(value, frame, peers)
+    return F.when(others.isNotNull() | value.isNotNull(), F.coalesce(others, F.lit(0)) + F.coalesce(value, F.lit(0)))
+
+
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, since: str, values: list[str]) -> DataFrame:
     """As-of join: each row of left with the values of right's last row of the same key that is not later.
 

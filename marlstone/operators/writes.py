@@ -45,3 +45,14 @@ def deleted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 def returning(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that such a delete returns."""
     return target.join(source, keys, "left_semi")
+
+
+def returning_update(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:
+    """UPDATE … FROM source RETURNING the keys, and old_ and new_ of each changed column; of several rows of source for one key, one counts."""
+    joined = target.join(source.dropDuplicates(keys), keys)
+    return joined.select(*keys, *(F.col(c).alias(f"old_{c}") for c in changes), *(to.alias(f"new_{c}") for c, to in changes.items()))
+
+
+def truncated(target: DataFrame) -> DataFrame:
+    """TRUNCATE: no rows, the same columns."""
+    return target.limit(0)

@@ -68,6 +68,35 @@ both(
 both("values_list", "SELECT v.a, v.b, r_name FROM (VALUES (0, 'x'), (1, NULL), (9, 'z')) AS v(a, b) LEFT JOIN {region} ON r_regionkey = v.a")
 both("row_comparison", "SELECT n_nationkey, n_name FROM {nation} WHERE (n_regionkey, n_nationkey) IN (SELECT r_regionkey, r_regionkey * 5 FROM {region}) OR n_nationkey = 7")
 both("distinct_pairs", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
+both(
+    "like_forms",
+    r"""SELECT p_partkey, p_name NOT LIKE '%a%' AS no_a, p_name LIKE '%#_%' ESCAPE '#' AS score, p_name NOT ILIKE 'A%' AS no_first, p_name LIKE ANY ('%a', '%e') AS any_end,
+    p_name LIKE ALL ('%a%', '%e%') AS all_in, p_name RLIKE '^[a-m]' AS early, NOT (p_name RLIKE '(?i)S$') AS no_s FROM {part}""",
+    r"""SELECT p_partkey, p_name NOT LIKE '%a%' AS no_a, p_name LIKE '%#_%' ESCAPE '#' AS score, p_name NOT ILIKE 'A%' AS no_first, p_name LIKE '%a' OR p_name LIKE '%e' AS any_end,
+    p_name LIKE '%a%' AND p_name LIKE '%e%' AS all_in, regexp_matches(p_name, '^[a-m]') AS early, NOT regexp_matches(p_name, '(?i)S$') AS no_s FROM part""",
+)
+
+
+def named_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = :status AND o_totalprice BETWEEN :low AND :high"
+    return spark.sql(text, args={"status": "F", "low": 50000.0, "high": 90000.0}, orders=table(spark, sf_dir, "orders"))
+
+
+QUERIES["named_parameters"] = named_parameters
+SQL["named_parameters"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 50000 AND 90000"
+
+
+@query(
+    """SELECT p_partkey, p_size IN (1, NULL, 9) AS any_equal, p_size NOT IN (1, NULL) AS all_differ, p_size < 3 OR p_size < 7 AS any_less, p_size <= 3 AND p_size <= 7 AS all_at_most,
+    list_has_all([1, 5, 9, 12], [p_size]) AS inside, list_has_any([p_size, 4], [3, 4, 5]) AS meets FROM part"""
+)
+def array_operators(spark, sf_dir):
+    s, nulls = F.col("p_size"), F.array(F.lit(1), F.lit(None).cast("int"), F.lit(9))
+    pair, own = F.array(F.lit(3), F.lit(7)), F.array("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", pg.any_of(s, "=", nulls).alias("any_equal"), pg.all_of(s, "<>", F.slice(nulls, 1, 2)).alias("all_differ"), pg.any_of(s, "<", pair).alias("any_less"), pg.all_of(s, "<=", pair).alias("all_at_most"),
+        pg.contains(F.array(*map(F.lit, (1, 5, 9, 12))), own).alias("inside"), pg.overlaps(F.array(s, F.lit(4)), F.array(*map(F.lit, (3, 4, 5)))).alias("meets"),
+    )
 
 
 @query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
@@ -91,6 +120,12 @@ both(
     """SELECT k, a.n_c, b.n_s FROM (SELECT c_nationkey AS k, count(*) AS n_c FROM {customer} WHERE c_acctbal > 9000 GROUP BY c_nationkey) a
     FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_s FROM {supplier} WHERE s_acctbal > 5000 GROUP BY s_nationkey) b USING (k)""",
 )
+both("cross_join", "SELECT r_name, s_suppkey FROM {region} CROSS JOIN {supplier} WHERE s_acctbal > 5000")
+both(
+    "ordered_mixed_joins",
+    """SELECT r_name, n_name, c_custkey, s_suppkey FROM {region} LEFT JOIN {nation} ON n_regionkey = r_regionkey AND n_nationkey > 4 JOIN {customer} ON c_nationkey = n_nationkey AND c_acctbal > 8000
+    LEFT JOIN {supplier} ON s_nationkey = n_nationkey AND s_acctbal > 9000""",
+)
 both("left_join_counts", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
 both("right_join", "SELECT r_name, n_name FROM {nation} RIGHT JOIN {region} ON n_regionkey = r_regionkey AND n_nationkey < 3")
 both("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -147,6 +182,42 @@ both(
     bool_and(l_tax >= 0) AS every_tax, bool_or(l_discount > 0.09) AS some_disc, CAST(bit_xor(l_partkey) AS BIGINT) AS x, CAST(bit_or(l_linenumber) AS BIGINT) AS o
     FROM {lineitem} GROUP BY l_returnflag""",
 )
+both(
+    "global_aggregate",
+    "SELECT count(*) AS n, count(o_custkey) AS n_keys, min(o_orderdate) AS first_day, max(o_totalprice) AS top, count(*) FILTER (WHERE o_orderstatus = 'none') AS n_none, sum(o_custkey) FILTER (WHERE o_orderstatus = 'none') AS no_sum FROM {orders}",
+)
+both(
+    "more_statistics",
+    """SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 6) AS vs, round(covar_pop(l_quantity, l_tax), 6) AS cp, CAST(bit_and(l_linenumber) AS BIGINT) AS a,
+    every(l_quantity > 0) AS all_positive, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS rc, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay,
+    round(regr_intercept(l_tax, l_quantity), 9) AS ri, round(regr_sxx(l_tax, l_quantity) / count(*), 6) AS sxx, round(regr_sxy(l_tax, l_quantity) / count(*), 6) AS sxy,
+    round(regr_syy(l_tax, l_quantity) / count(*), 9) AS syy, any_value(l_returnflag) AS flag FROM {lineitem} GROUP BY l_returnflag""",
+    """SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 6) AS vs, round(covar_pop(l_quantity, l_tax), 6) AS cp, CAST(bit_and(l_linenumber) AS BIGINT) AS a,
+    bool_and(l_quantity > 0) AS all_positive, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS rc, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay,
+    round(regr_intercept(l_tax, l_quantity), 9) AS ri, round(regr_sxx(l_tax, l_quantity) / count(*), 6) AS sxx, round(regr_sxy(l_tax, l_quantity) / count(*), 6) AS sxy,
+    round(regr_syy(l_tax, l_quantity) / count(*), 9) AS syy, any_value(l_returnflag) AS flag FROM lineitem GROUP BY l_returnflag""",
+)
+
+
+@query(
+    """SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice < 100000) + 1 AS place, (count(*) FILTER (WHERE o_totalprice < 100000))::DOUBLE / count(*) AS percent,
+    (count(*) FILTER (WHERE o_totalprice <= 100000) + 1)::DOUBLE / (count(*) + 1) AS spread FROM orders GROUP BY o_orderpriority"""
+)
+def hypothetical_ranks(spark, sf_dir):
+    p, at = F.col("o_totalprice"), F.lit(100000.0)
+    found = [pg.hypothetical_rank(at, p).alias("place"), pg.hypothetical_percent_rank(at, p).alias("percent"), pg.hypothetical_cume_dist(at, p).alias("spread")]
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*found)
+
+
+@query(
+    """SELECT n_regionkey, '[' || string_agg('{"k":' || n_nationkey || ',"n":' || to_json(n_name)::VARCHAR || '}', ',' ORDER BY n_nationkey) || ']' AS items,
+    '{' || string_agg(to_json(n_name)::VARCHAR || ':' || n_nationkey, ',' ORDER BY n_name) || '}' AS by_name FROM nation GROUP BY n_regionkey"""
+)
+def json_aggregates(spark, sf_dir):
+    item = F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(pg.json_agg(item, F.col("n_nationkey")).alias("items"), pg.json_object_agg(F.col("n_name"), F.col("n_nationkey")).alias("by_name"))
+
+
 both(
     "ordered_string_agg",
     "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey",
@@ -192,6 +263,22 @@ def groups_and_exclude_frames(spark, sf_dir):
     return df.select("o_orderkey", two.alias("two_groups"), others.alias("others"))
 
 
+@query(
+    """SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS BIGINT) AS no_group,
+    CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS BIGINT) AS no_ties,
+    CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS BIGINT) AS no_row,
+    last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key FROM orders"""
+)
+def exclude_forms(spark, sf_dir):
+    key, by = F.col("o_orderkey"), Window.partitionBy("o_custkey")
+    frame, peers = by.orderBy("o_orderpriority").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("o_custkey", "o_orderpriority")
+    last = F.last("o_orderkey").over(by.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", relational.sum_excluding_group(key, frame, peers).alias("no_group"), relational.sum_excluding_ties(key, frame, peers).alias("no_ties"),
+        relational.sum_excluding_current(key, frame).alias("no_row"), last.alias("last_key"),
+    )
+
+
 # Order, limit, sets
 
 both("top_with_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5")
@@ -225,6 +312,14 @@ def recursive_dedupe(spark, sf_dir):
     return relational.reachable(nodes.where("a = 1").select(F.col("a").alias("node")), edges, "a", "b")
 
 
+both(
+    "walk_with_path",
+    """WITH RECURSIVE t(node, path, cycle) AS (SELECT 1, array(1), false UNION ALL SELECT (node * 7 + 3) % 25, array_append(path, (node * 7 + 3) % 25), array_contains(path, (node * 7 + 3) % 25) FROM t WHERE NOT cycle)
+    SELECT node, array_join(path, ',') AS path, cycle, n_name FROM t LEFT JOIN {nation} ON n_nationkey = node""",
+    """WITH RECURSIVE t(node, path, cycle) AS (SELECT 1, [1], false UNION ALL SELECT (node * 7 + 3) % 25, list_append(path, (node * 7 + 3) % 25), list_contains(path, (node * 7 + 3) % 25) FROM t WHERE NOT cycle)
+    SELECT node, array_to_string(path, ',') AS path, cycle, n_name FROM t LEFT JOIN nation ON n_nationkey = node""",
+)
+
 # Table functions, arrays, JSON, calendars
 
 both(
@@ -237,6 +332,21 @@ both(
     "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, get_json_object(props, '$.none') IS NULL AS missing FROM {events}",
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') IS NULL AS missing FROM events",
 )
+both(
+    "json_records",
+    """SELECT event_id, r.k, r.none IS NULL AS missing FROM (SELECT event_id, from_json(props, 'k BIGINT, none STRING') AS r FROM {events})""",
+    "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, props ->> 'none' IS NULL AS missing FROM events",
+)
+both(
+    "json_entries",
+    "SELECT event_id, e.key, e.value FROM (SELECT event_id, from_json(props, 'MAP<STRING, STRING>') AS m FROM {events}) LATERAL VIEW explode(map_entries(m)) AS e",
+    "SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
+)
+both(
+    "parallel_rows",
+    "SELECT n_nationkey, pos + 1 AS n, z.a, z.b FROM {nation} LATERAL VIEW posexplode(arrays_zip(sequence(1, 3) , array('x', 'y'))) t AS pos, z0 LATERAL VIEW explode(array(named_struct('a', z0['0'], 'b', z0['1']))) u AS z",
+    "SELECT n_nationkey, unnest([1, 2, 3]) AS n, unnest([1, 2, 3]) AS a, unnest(['x', 'y']) AS b FROM nation",
+)
 both(
     "calendar",
     """WITH days AS (SELECT explode(sequence(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE))) AS day FROM {events})
@@ -289,6 +399,38 @@ def array_text(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), pg.array_text(ids).alias("ids"), F.max("vec_id").alias("last_id"))
 
 
+both(
+    "more_text_functions",
+    r"""SELECT c_custkey, overlay(c_name PLACING 'xx' FROM 2 FOR 3) AS laid, initcap(lower(c_mktsegment)) AS title, btrim(concat('  ', c_mktsegment, ' ')) AS trimmed, ltrim('C', c_name) AS no_c, repeat('ab', 3) AS again,
+    CAST(octet_length(c_name) AS BIGINT) AS n_bytes, regexp_extract(c_name, '([0-9]+)', 1) AS digits, CAST(regexp_count(c_name, '0') AS BIGINT) AS zeros, array_join(split(c_name, '#'), '|') AS parts,
+    CAST(ascii(c_mktsegment) AS INT) AS code, chr(65) AS letter, lower(hex(CAST(c_custkey AS BIGINT))) AS hexed FROM {customer}""",
+    r"""SELECT c_custkey, left(c_name, 1) || 'xx' || substring(c_name, 5) AS laid, upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) AS title, trim('  ' || c_mktsegment || ' ') AS trimmed, ltrim(c_name, 'C') AS no_c, repeat('ab', 3) AS again,
+    strlen(c_name)::BIGINT AS n_bytes, regexp_extract(c_name, '([0-9]+)', 1) AS digits, len(regexp_extract_all(c_name, '0'))::BIGINT AS zeros, array_to_string(string_split(c_name, '#'), '|') AS parts,
+    ascii(c_mktsegment)::INTEGER AS code, chr(65) AS letter, lower(to_hex(c_custkey::BIGINT)) AS hexed FROM customer""".replace("ltrim('C', c_name)", "ltrim(c_name, 'C')"),
+)
+both(
+    "more_math_functions",
+    """SELECT o_orderkey, ceil(o_totalprice) AS up, floor(o_totalprice) AS down, round(cbrt(o_totalprice), 6) AS cube, round(exp(o_custkey / 10000.0D), 6) AS e, round(log10(o_totalprice + 1), 6) AS l10, round(power(o_custkey, 0.5D), 6) AS pw,
+    o_orderkey % 7 AS rest, abs(o_custkey - 500) AS dist, round(degrees(atan2(o_custkey, 3)), 6) AS angle, round(sin(o_custkey) + cos(o_custkey), 6) AS wave, width_bucket(o_totalprice, 0D, 500000D, 10) AS bucket,
+    factorial(5) AS f5, shiftleft(o_orderkey, 2) AS sl, o_orderkey | 8 AS bits FROM {orders}""",
+    """SELECT o_orderkey, ceil(o_totalprice)::BIGINT AS up, floor(o_totalprice)::BIGINT AS down, round(cbrt(o_totalprice), 6) AS cube, round(exp(o_custkey / 10000.0), 6) AS e, round(log10(o_totalprice + 1), 6) AS l10, round(power(o_custkey, 0.5), 6) AS pw,
+    o_orderkey % 7 AS rest, abs(o_custkey - 500) AS dist, round(degrees(atan2(o_custkey, 3)), 6) AS angle, round(sin(o_custkey) + cos(o_custkey), 6) AS wave, (CASE WHEN o_totalprice >= 500000 THEN 11 ELSE floor(o_totalprice / 50000) + 1 END)::BIGINT AS bucket,
+    120::BIGINT AS f5, o_orderkey * 4 AS sl, o_orderkey | 8 AS bits FROM orders""",
+)
+both(
+    "more_date_functions",
+    """SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm') AS shown, CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT) AS epoch, make_date(year(ts), month(ts), 1) AS first_day, last_day(ts) AS last_day, CAST(weekofyear(ts) AS BIGINT) AS week,
+    CAST(quarter(ts) AS BIGINT) AS quarter, CAST(dayofyear(ts) AS BIGINT) AS doy, CAST(datediff(CAST(ts AS DATE), DATE '2020-01-01') AS BIGINT) AS days, CAST(date_trunc('week', ts) AS DATE) AS monday, ts + INTERVAL 36 HOURS > TIMESTAMP_NTZ '2024-01-15 00:00:00' AS late FROM {events}""",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown, floor(epoch_us(ts) / 1000000)::BIGINT AS epoch, make_date(year(ts), month(ts), 1) AS first_day, last_day(ts) AS last_day, weekofyear(ts) AS week,
+    quarter(ts) AS quarter, dayofyear(ts) AS doy, date_diff('day', DATE '2020-01-01', ts::DATE) AS days, date_trunc('week', ts)::DATE AS monday, ts + INTERVAL 36 HOUR > TIMESTAMP '2024-01-15 00:00:00' AS late FROM events""",
+)
+
+
+@query("SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin' AS there FROM events")
+def local_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", pg.at_time_zone(F.col("ts"), "Europe/Berlin").alias("there"))
+
+
 # Writes, as the table after them
 
 
@@ -337,6 +479,27 @@ def delete_returning(spark, sf_dir):
     return writes.returning(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"])
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 90, 'nowhere', NULL UNION ALL SELECT 91, 'unnamed', 2")
+def insert_values(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    rows = spark.createDataFrame([(90, "nowhere", None), (91, "unnamed", 2)], "n_nationkey int, n_name string, n_regionkey int")
+    return writes.inserted(nation, rows, {})
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE false")
+def truncate(spark, sf_dir):
+    return writes.truncated(table(spark, sf_dir, "nation"))
+
+
+@query(
+    """SELECT c_custkey, c_acctbal AS old_c_acctbal, c_acctbal + n AS new_c_acctbal FROM customer
+    JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) ON o_custkey = c_custkey"""
+)
+def update_returning(spark, sf_dir):
+    source = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return writes.returning_update(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), source, ["c_custkey"], {"c_acctbal": F.col("c_acctbal") + F.col("n")})
+
+
 # What tables must hold
 
 LINES = tables.TableSpec("lineitem", (tables.ColumnSpec("l_orderkey", "bigint"), tables.ColumnSpec("l_linenumber", "int")), ("l_orderkey", "l_linenumber"), (("l_partkey", "part", "p_partkey"),))
