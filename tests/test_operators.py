@@ -1,5 +1,6 @@
 """Operators and functions on small cases with nulls, ties and empty tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import pg
@@ -122,3 +123,30 @@ def test_entry_module_where_the_llm_subpackage_cannot_be_imported(monkeypatch):
     monkeypatch.setitem(sys.modules, "marlstone.llm.queries", None)
     names = __spark_entry__.queries()
     assert "pricing_summary" in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
+
+
+def test_any_and_all_with_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, array(1, NULL)), (2, array(1, NULL)), (3, array()), (NULL, array(1)) AS t(x, a)")
+    x, a = F.col("x"), F.col("a")
+    got = df.select(pg.any_of(x, "=", a), pg.all_of(x, "<>", a), pg.any_of(x, ">=", a)).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (None, None, True), (False, True, False), (None, None, None)]
+
+
+def test_containment_with_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES (array(1, 2, NULL), array(2)), (array(1, NULL), array(NULL)), (array(1), array()) AS t(a, b)").select(F.col("a").cast("array<int>"), F.col("b").cast("array<int>"))
+    assert [tuple(r) for r in df.select(pg.contains(F.col("a"), F.col("b")), pg.overlaps(F.col("a"), F.col("b"))).collect()] == [(True, True), (False, False), (True, False)]
+
+
+def test_exclude_forms_with_ties_and_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', 1, 10), ('a', 1, NULL), ('a', 2, 5), ('b', 1, NULL) AS t(k, o, v)")
+    by = Window.partitionBy("k")
+    frame, peers, v = by.orderBy("o").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("k", "o"), F.col("v")
+    got = df.select("k", "o", "v", relational.sum_excluding_group(v, frame, peers).alias("g"), relational.sum_excluding_ties(v, frame, peers).alias("t")).collect()
+    assert {tuple(r) for r in got} == {("a", 1, 10, None, 10), ("a", 1, None, None, None), ("a", 2, 5, 10, 15), ("b", 1, None, None, None)}
+
+
+def test_update_returning_and_truncate(spark):
+    target, source = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int"), spark.createDataFrame([(1, 3), (1, 3), (9, 1)], "k int, n int")
+    got = writes.returning_update(target, source, ["k"], {"v": F.col("v") + F.col("n")})
+    assert [r.asDict() for r in got.collect()] == [{"k": 1, "old_v": 5, "new_v": 8}]
+    assert writes.truncated(target).count() == 0 and writes.truncated(target).schema == target.schema
