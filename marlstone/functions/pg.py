@@ -159,7 +159,7 @@ def json_agg(value: Column, *by: Column) -> Column:
 
 
 def json_object_agg(key: Column, value: Column) -> Column:
-    """json_object_agg(key, value ORDER BY key), without white space; a repeated or null key is an error, as in jsonb's strict form."""
+    """json_object_agg(key, value ORDER BY key), without white space; a null key is an error, and so is a repeated one, as in json_object_agg_unique."""
     return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))), {"ignoreNullFields": "false"})
 
 
