@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, token_files, tokens
+from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, suffix_sigma, token_files, tokens
 from marlstone.llm.common import crc_mod, read_table, stored
 
 
@@ -109,6 +109,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, [F.col("doc_id"), held_out])
 
 
+def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sigma.collocations(read_table(spark, sf_dir, "documents"), stored)
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+s AS (SELECT lang, w[i:least(i + m - 1, len(w))] AS g, m FROM e, (VALUES (1), (2), (3)) v(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, m, count(*) AS n FROM s GROUP BY ALL),
+t1 AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, n AS a FROM f WHERE m > 1 AND n >= 10),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+b AS (SELECT k.lang, k.g, k.m, k.a, k.k, x.n AS l, y.n AS r, (1000000::HUGEINT * k.a * k.a) // (x.n::HUGEINT * y.n) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k.k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k.k + 1:k.m]),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, sub, max(a) AS longer FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS sub FROM c WHERE m = 3) GROUP BY lang, sub),
+d AS (SELECT o.lang, array_to_string(o.g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM o LEFT JOIN i ON i.lang = o.lang AND i.sub = o.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * a)
+SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM d JOIN t1 ON t1.lang = d.lang QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_site_style": op2_site_style,
@@ -120,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_bpe_words": op9_bpe_words,
     "op10_language_id": op10_language_id,
+    "op13_suffix_sigma": op13_suffix_sigma,
 }
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op13_suffix_sigma": OP13_SQL}
