@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, suffix_sigma, token_files, tokens
+from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, stable_projections, suffix_sigma, token_files, tokens, whitening
 from marlstone.llm.common import crc_mod, read_table, stored
 
 
@@ -109,6 +109,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, [F.col("doc_id"), held_out])
 
 
+def op11_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_projections.nearest(read_table(spark, sf_dir, "embeddings"), stored, F.col("vec_id") % 20 == 0)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return whitening.whitened(rows, whitening.fitted(rows, stored))
+
+
 def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sigma.collocations(read_table(spark, sf_dir, "documents"), stored)
 
@@ -144,6 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_bpe_words": op9_bpe_words,
     "op10_language_id": op10_language_id,
+    "op11_stable_projections": op11_stable_projections,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
     "op13_suffix_sigma": op13_suffix_sigma,
 }
 SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op13_suffix_sigma": OP13_SQL}
