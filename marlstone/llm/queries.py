@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import bpe_words, chat_format, exact_digest, hidden_markov, jaccard_groups, language_id, packing, quality_rules, site_style, stable_projections, suffix_sigma, token_files, tokens, whitening
 from marlstone.llm.common import crc_mod, read_table, stored
+from marlstone.sources.tables import checkpoint_dir
 
 
 #: The end-of-document id: of <|endoftext|> in the public vocabulary, which no text encodes to.
@@ -16,8 +18,9 @@ END_ID = 50256
 
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = token_files.document_blocks(read_table(spark, sf_dir, "documents"), end_id=END_ID, **tokens.public_codec())
-    return token_files.documents_of(blocks, END_ID)
+    """The ids need 16 bits. The files stay in the shared folder, as the result reads them."""
+    path = f"{checkpoint_dir(spark)}/token_files-{uuid.uuid4().hex}"
+    return token_files.counted(read_table(spark, sf_dir, "documents"), path, end_id=END_ID, width=2, **tokens.public_codec())
 
 
 def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
