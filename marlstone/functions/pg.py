@@ -68,10 +68,15 @@ def int_div(a: str, b: str) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor of longs, by Euclid's steps: at most 92 for 64 bits."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % s["b"]).alias("b"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
+    """The greatest common divisor of longs, by Euclid's steps: at most 92 for 64 bits. An error if it is 2 ^ 63."""
+    wide = "decimal(20,0)"  # the least long has no opposite among longs
+    start = F.struct(F.abs(a.cast(wide)).alias("a"), F.abs(b.cast(wide)).alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast(wide).alias("b")))
+    small = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
+    fast = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    least = F.lit(-(1 << 63)).cast("long")
+    steps = F.sequence(F.lit(1), F.lit(92))
+    out = F.when((a.cast("long") == least) | (b.cast("long") == least), F.aggregate(steps, start, step)["a"].cast("long")).otherwise(F.aggregate(steps, small, fast)["a"])
     return F.when(a.isNotNull() & b.isNotNull(), out)
 
 
@@ -130,32 +135,42 @@ def all_of(x: Column, op: str, array: Column) -> Column:
 
 
 def contains(array: Column, other: Column) -> Column:
-    """array @> other: nulls meet nothing, so another array with one is never contained. other <@ array is the same."""
-    return F.forall(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False)))
+    """array @> other: null elements meet nothing, so another array with one is never contained; null if an array is. other <@ array is the same."""
+    return F.when(array.isNotNull() & other.isNotNull(), F.forall(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False))))
 
 
 def overlaps(array: Column, other: Column) -> Column:
-    """array && other: nulls meet nothing."""
-    return F.exists(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False)))
+    """array && other: null elements meet nothing; null if an array is."""
+    return F.when(array.isNotNull() & other.isNotNull(), F.exists(other, lambda e: F.coalesce(F.array_contains(array, e), F.lit(False))))
 
 
-def hypothetical_rank(at: Column, value: Column) -> Column:
-    """rank(at) WITHIN GROUP (ORDER BY value): the place that `at` would have. Nulls of value sort last."""
-    return F.count(F.when(value < at, 1)) + 1
+def _first(value: Column, at: Column, descending: bool, nulls_first: bool | None) -> tuple[Column, Column]:
+    """Whether a value comes before `at`, and whether it is a peer of it. Nulls come last in ascending and first in descending order, unless said otherwise."""
+    nulls = descending if nulls_first is None else nulls_first
+    before = F.when(at.isNull(), value.isNotNull() & F.lit(not nulls)).when(value.isNull(), F.lit(nulls)).otherwise(value > at if descending else value < at)
+    return before, value.eqNullSafe(at)
 
 
-def hypothetical_percent_rank(at: Column, value: Column) -> Column:
-    return F.count(F.when(value < at, 1)) / F.nullif(F.count("*"), F.lit(0))
+def hypothetical_rank(at: Column, value: Column, descending: bool = False, nulls_first: bool | None = None) -> Column:
+    """rank(at) WITHIN GROUP (ORDER BY value): the place that `at` would have."""
+    return F.count_if(_first(value, at, descending, nulls_first)[0]) + 1
 
 
-def hypothetical_cume_dist(at: Column, value: Column) -> Column:
-    return (F.count(F.when(value <= at, 1)) + 1) / (F.count("*") + 1)
+def hypothetical_percent_rank(at: Column, value: Column, descending: bool = False, nulls_first: bool | None = None) -> Column:
+    """0 without rows."""
+    return F.coalesce(F.count_if(_first(value, at, descending, nulls_first)[0]) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+
+
+def hypothetical_cume_dist(at: Column, value: Column, descending: bool = False, nulls_first: bool | None = None) -> Column:
+    before, peer = _first(value, at, descending, nulls_first)
+    return (F.count_if(before | peer) + 1) / (F.count("*") + 1)
 
 
 def json_agg(value: Column, *by: Column) -> Column:
-    """json_agg(value ORDER BY by), without white space; value is a struct, map or array."""
-    keyed = F.struct(*(b.alias(f"k{i}") for i, b in enumerate(by)), value.alias("v"))
-    return F.to_json(F.transform(F.array_sort(F.collect_list(keyed)), lambda s: s["v"]), {"ignoreNullFields": "false"})
+    """json_agg(value ORDER BY by), without white space; value is a struct, map or array. Null keys come last, equal ones in the order of their values' text. Null without rows."""
+    text = F.coalesce(F.to_json(value, {"ignoreNullFields": "false"}), F.lit("null"))
+    rows = F.sort_array(F.collect_list(F.struct(*(x for i, b in enumerate(by) for x in (b.isNull().alias(f"n{i}"), b.alias(f"k{i}"))), text.alias("t"))))
+    return F.when(F.size(rows) > 0, F.concat(F.lit("["), F.array_join(F.transform(rows, lambda s: s["t"]), ","), F.lit("]")))
 
 
 def json_object_agg(key: Column, value: Column) -> Column:
@@ -188,9 +203,10 @@ def array_text(array: Column) -> Column:
 
 
 def array_of(text: Column) -> Column:
-    """Reads the text form back to strings."""
-    items = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"|[^{},"]+)'), F.lit(1))
-    plain = lambda e: F.when(e == "NULL", F.lit(None)).otherwise(e)
+    """Reads the text form back to strings. A backslash makes the next character plain, with or without quotes; NULL in any case is null unless quoted."""
+    items = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"|(?:[^{},"\\]|\\.)+)'), F.lit(1))
+    bare = lambda e: F.regexp_replace(F.regexp_replace(e, r"^\s+|(?<!\\)\s+$", ""), r"\\(.)", "$1")
+    plain = lambda e: F.when(F.lower(F.trim(e)) == "null", F.lit(None)).otherwise(bare(e))
     unquoted = lambda e: F.regexp_replace(F.substring(e, 2, 2**31 - 3), r"\\(.)", "$1")
     cut = lambda e: F.when(e.startswith('"'), unquoted(F.regexp_replace(e, '"$', ""))).otherwise(plain(e))
-    return F.transform(items, cut)
+    return F.transform(F.filter(items, lambda e: e.rlike(r"\S")), cut)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,60 +25,59 @@ def top_of_each(left: DataFrame, right: DataFrame, keys: list[str], n: int, *ord
     return left.join(top, keys, "left")
 
 
-def groups_frame(value: Column, partition: list[str], before: int, after: int) -> Column:
-    """sum(value) over a GROUPS frame of a DataFrame to which peers_numbered() added `_group`."""
-    return F.sum(value).over(Window.partitionBy(*partition).orderBy("_group").rangeBetween(-before, after))
+def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, since: str, values: list[str], runs: int = 16) -> DataFrame:
+    """As-of join: each row of left with the values of right's last row of the same key that is not later. A null key or time meets nothing.
 
-
-def peers_numbered(df: DataFrame, partition: list[str], order: str) -> DataFrame:
-    """Adds `_group`, the number of each row's peer group, which a RANGE frame then counts."""
-    return df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
-
-
-def sum_excluding_current(value: Column, window) -> Column:
-    """sum(value) over (… EXCLUDE CURRENT ROW): null if the frame holds nothing else."""
-    return F.when(F.count(value).over(window) > F.when(value.isNotNull(), 1).otherwise(0), F.sum(value).over(window) - F.coalesce(value, F.lit(0)))
-
-
-def _difference(value: Column, frame, without) -> Column:
-    """sum(value) over a frame less that over a part of it, null if nothing else is there."""
-    rest = F.count(value).over(frame) - F.count(value).over(without)
-    return F.when(rest > 0, F.sum(value).over(frame) - F.coalesce(F.sum(value).over(without), F.lit(0)))
-
-
-def sum_excluding_group(value: Column, frame, peers) -> Column:
-    """sum(value) over (… EXCLUDE GROUP) of a frame that holds the whole peer group; `peers` is the window of a row's peers."""
-    return _difference(value, frame, peers)
-
-
-def sum_excluding_ties(value: Column, frame, peers) -> Column:
-    """sum(value) over (… EXCLUDE TIES) of a frame that holds the whole peer group: the row itself stays."""
-    others = _difference(value, frame, peers)
-    return F.when(others.isNotNull() | value.isNotNull(), F.coalesce(others, F.lit(0)) + F.coalesce(value, F.lit(0)))
-
-
-def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, since: str, values: list[str]) -> DataFrame:
-    """As-of join: each row of left with the values of right's last row of the same key that is not later.
-
-    Both sides are one sorted stream per key; last_value carries the values forward. One shuffle, no range join.
+    Both sides are one stream per key, cut into runs of time at quantiles of right's times. A run is one task's work, so a key with many rows is
+    several tasks'; what a run's first rows carry on is the last value of the key's runs before, of which there is one row each. No range join.
     """
     own = uuid.uuid4().hex
-    flag, time, row_name = f"flag_{own}", f"time_{own}", f"row_{own}"
-    a = left.select(*left.columns, F.col(at).alias(time), F.lit(1).alias(flag), *(F.lit(None).cast(right.schema[v].dataType).alias(f"v{i}_{own}") for i, v in enumerate(values)))
-    b = right.select(*(F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(since).alias(time), F.lit(0).alias(flag), *(F.col(v).alias(f"v{i}_{own}") for i, v in enumerate(values)))
-    w = Window.partitionBy(key).orderBy(time, flag).rowsBetween(Window.unboundedPreceding, 0)
-    row = F.last(F.when(F.col(flag) == 0, F.struct(*(F.col(f"v{i}_{own}").alias(v) for i, v in enumerate(values)))), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn(row_name, row).where(F.col(flag) == 1).select(*left.columns, f"{row_name}.*")
+    flag, time, carried, run = f"flag_{own}", f"time_{own}", f"carried_{own}", f"run_{own}"
+    row = F.struct(*(F.col(f"`{v}`").alias(v) for v in values))
+    known = right.where(F.col(key).isNotNull() & F.col(since).isNotNull())
+    kinds = {left.schema[at].dataType.typeName(), right.schema[since].dataType.typeName()}
+
+    def place(c: str) -> Column:
+        """A number that does not fall as time goes on."""
+        if "timestamp" in kinds:
+            return F.unix_micros(F.col(c).cast("timestamp"))
+        wall = F.col(c).cast("timestamp_ntz")
+        return F.unix_date(wall.cast("date")) * 24 + F.hour(wall) if kinds & {"timestamp_ntz", "date"} else F.col(c)
+
+    found = known.agg(F.percentile_approx(place(since), [k / runs for k in range(1, runs)], 100 * runs).alias("q")).first()["q"] or []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(found)))) if found else F.array().cast("array<bigint>")
+    run_of = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= place(c))))
+    whole = F.struct(*(F.col(f"`{c}`") for c in left.columns))
+    meets = F.col(key).isNotNull() & F.col(at).isNotNull()
+    kind = right.select(row.alias("r")).schema["r"].dataType
+    a = left.select(F.when(meets, F.col(key)).alias("k"), F.when(meets, F.col(at)).alias(time), run_of(at).alias(run), F.lit(1).alias(flag), whole.alias("l"), F.lit(None).cast(kind).alias("r"))
+    b = known.select(F.col(key).alias("k"), F.col(since).alias(time), run_of(since).alias(run), F.lit(0).alias(flag), F.lit(None).cast(left.select(whole.alias("l")).schema["l"].dataType).alias("l"), row.alias("r"))
+    last_of_run = b.groupBy("k", run).agg(F.max(F.struct(F.col(time), F.col("r"))).alias("last"))
+    before = Window.partitionBy("k").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = a.where(F.col("k").isNotNull()).select("k", run).distinct().withColumn("last", F.lit(None).cast(last_of_run.schema["last"].dataType))
+    carry = last_of_run.unionByName(starts).groupBy("k", run).agg(F.max("last").alias("last"))
+    carry = carry.select("k", run, F.last("last", ignorenulls=True).over(before)["r"].alias(carried))
+    w = Window.partitionBy("k", run).orderBy(time, flag, "r").rowsBetween(Window.unboundedPreceding, 0)
+    stream = a.where(F.col("k").isNotNull()).unionByName(b).withColumn("r", F.last("r", ignorenulls=True).over(w)).where(F.col(flag) == 1)
+    met = stream.join(carry, ["k", run], "left").select("l", F.coalesce("r", carried).alias("r"))
+    return met.unionByName(a.where(F.col("k").isNull()).select("l", "r")).select("l.*", "r.*")
 
 
 def reachable(seed: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
-    """WITH RECURSIVE … UNION: all values of column `node` that the edges lead to from the seed's, each once.
+    """WITH RECURSIVE … UNION: all values of column `node` that the edges lead to from the seed's, each once. A null is a value like others, and leads nowhere.
 
-    New nodes of each round are checkpointed in the shared folder, so plans do not grow with the rounds.
+    New nodes of each round are checkpointed in the shared folder, so plans do not grow with the rounds. Parts made of equally many rounds are
+    written together, so there are few parts, and a node is written as often as the number of rounds can be halved.
     """
-    found = new = seed.select("node").distinct().checkpoint()
+    new = seed.select("node").distinct().checkpoint()
+    parts = [(new, 1)]
     while not new.isEmpty():
         step = new.join(edges, new["node"] == edges[start]).select(edges[end].alias("node")).distinct()
-        new = step.join(found, "node", "left_anti").checkpoint()
-        found = found.unionByName(new).checkpoint()
-    return found
+        for found, _ in parts:
+            step = step.join(found.select(F.col("node").alias("old")), F.col("node").eqNullSafe(F.col("old")), "left_anti")
+        new = step.checkpoint()
+        parts.append((new, 1))
+        while len(parts) > 1 and parts[-1][1] == parts[-2][1]:
+            (b, n), (a, _) = parts.pop(), parts.pop()
+            parts.append((a.unionByName(b).checkpoint(), 2 * n))
+    return reduce(DataFrame.unionByName, [found for found, _ in parts])

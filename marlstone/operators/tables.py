@@ -44,7 +44,7 @@ def rules(spec: TableSpec) -> list[tuple[str, str, Column]]:
 
 def violations(df: DataFrame, spec: TableSpec) -> DataFrame:
     """(key, column, rule, value), a row for each rule that a row breaks. One pass: all rules are columns of one scan."""
-    key = F.to_json(F.struct(*(spec.key or [c.name for c in spec.columns])))
+    key = F.to_json(F.struct(*(spec.key or [c.name for c in spec.columns])), {"ignoreNullFields": "false"})
     broken = [F.when(b, F.struct(F.lit(c).alias("column"), F.lit(r).alias("rule"), (F.col(c).cast("string") if c else F.lit(None).cast("string")).alias("value"))) for c, r, b in rules(spec)]
     return df.select(key.alias("key"), F.explode(F.array_compact(F.array(*broken))).alias("v")).select("key", "v.*")
 
@@ -56,7 +56,7 @@ def repeated_keys(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def orphans(df: DataFrame, spec: TableSpec, tables: dict[str, DataFrame]) -> DataFrame:
     """(column, value, n_rows) of references that no row answers."""
-    parts = []
+    parts = [df.sparkSession.createDataFrame([], "column string, value string, n_rows long")]
     for column, other, target in spec.references:
         known = tables[other].select(F.col(target).alias("value")).distinct()
         used = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n_rows"))

@@ -14,27 +14,54 @@ def inserted(target: DataFrame, rows: DataFrame, defaults: dict[str, Column]) ->
     return target.unionByName(rows.select(*filled))
 
 
-def upserted(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None) -> DataFrame:
-    """INSERT … ON CONFLICT (keys): DO UPDATE SET the columns `update` from the new row, or DO NOTHING if None.
-
-    Of new rows with equal keys, DO NOTHING inserts the least one; DO UPDATE is an error, as a row would be affected twice. Null keys meet nothing.
-    """
+def _upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None) -> DataFrame:
+    """Old and new rows that an upsert brings together, as structs `o` and `n`."""
     whole = F.struct(*(F.col(f"`{c}`") for c in target.columns))
     null_key = F.when(F.greatest(*(F.col(f"`{k}`").isNull().cast("int") for k in keys)) == 1, F.monotonically_increasing_id()) if len(keys) > 1 else F.when(F.col(f"`{keys[0]}`").isNull(), F.monotonically_increasing_id())
     new = rows.select(whole.alias("n"), null_key.alias("apart"))
     once = new.groupBy(*(F.col(f"n.`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), "apart").agg(F.min("n").alias("n"), F.count("*").alias("times"))
     if update is not None:
         once = once.withColumn("n", F.when(F.col("times") > 1, F.raise_error(F.lit("two new rows have the same key"))).otherwise(F.col("n")))
-    both = target.select(whole.alias("o")).join(once.select("n"), [F.col(f"o.`{k}`") == F.col(f"n.`{k}`") for k in keys], "full")
-    taken = lambda c: F.when(F.col("o").isNull() | (F.col("n").isNotNull() & F.lit(c in (update or []))), F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c)
-    return both.select(*(taken(c) for c in target.columns))
+    return target.select(whole.alias("o")).join(once.select("n"), [F.col(f"o.`{k}`") == F.col(f"n.`{k}`") for k in keys], "full")
+
+
+def _written(both: DataFrame, target: DataFrame, update: list[str] | None, where: Column | None) -> DataFrame:
+    """The columns of target after the upsert, then `o`, and `written`: the row is new or updated."""
+    meets = F.col("o").isNotNull() & F.col("n").isNotNull() & F.coalesce(F.lit(True) if where is None else where, F.lit(False)) & F.lit(update is not None)
+    both = both.select("o", "n", (F.col("o").isNull() | meets).alias("written"), meets.alias("meets"))
+    taken = lambda c: F.when(F.col("o").isNull() | (F.col("meets") & F.lit(c in (update or []))), F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`"))
+    return both.select(F.struct(*(taken(c).alias(c) for c in target.columns)).alias("row"), "o", "written")
+
+
+def upserted(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None, where: Column | None = None) -> DataFrame:
+    """INSERT … ON CONFLICT (keys): DO UPDATE SET the columns `update` from the new row WHERE a condition on `o.x` and `n.x`, the old and the new row, or DO NOTHING if `update` is None.
+
+    Of new rows with equal keys, DO NOTHING inserts the least one; DO UPDATE is an error, as a row would be affected twice. Null keys meet nothing.
+    """
+    return _written(_upsert(target, rows, keys, update), target, update, where).select("row.*")
+
+
+def returning_upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None, where: Column | None = None) -> DataFrame:
+    """The rows that such an upsert writes, and `inserted`, false for those it updates. Rows that DO NOTHING or WHERE leaves alone are not returned."""
+    found = _written(_upsert(target, rows, keys, update), target, update, where).where("written")
+    return found.select("row.*", F.col("o").isNull().alias("inserted"))
+
+
+def _met(target: DataFrame, source: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Both sides as structs `old` and `src`, of source one row for each key. Names that only one side has, and the keys, also stand on their own, so changes may use them."""
+    row = lambda df: F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    a, b = target.select(row(target).alias("old")), source.dropDuplicates(keys).select(row(source).alias("src"))
+    joined = a.join(b, [F.col(f"old.`{k}`") == F.col(f"src.`{k}`") for k in keys], how)
+    low = lambda df: {c.lower() for c in df.columns}
+    own = [F.col(f"old.`{c}`").alias(c) for c in target.columns if c.lower() not in low(source) - {k.lower() for k in keys} | {"old", "src"}]
+    other = [F.col(f"src.`{c}`").alias(c) for c in source.columns if c.lower() not in low(target) | {"old", "src"}]
+    return joined.select("old", "src", *own, *other)
 
 
 def updated(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:
-    """UPDATE … FROM source: rows that meet a row of source by the keys get the changes, written over both sides' columns; of several such rows, one counts."""
-    met = f"met_{uuid.uuid4().hex}"
-    joined = target.join(source.dropDuplicates(keys).withColumn(met, F.lit(True)), keys, "left")
-    return joined.select(*(F.when(F.col(met), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in target.columns))
+    """UPDATE … FROM source: rows that meet a row of source by the keys get the changes, written over `old.x`, `src.x`, and plain names that only one side has; of several such rows, one counts."""
+    joined = _met(target, source, keys, "left")
+    return joined.select(*(F.when(F.col("src").isNotNull(), changes[c]).otherwise(F.col(f"old.`{c}`")).alias(c) if c in changes else F.col(f"old.`{c}`").alias(c) for c in target.columns))
 
 
 def deleted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,9 +75,14 @@ def returning(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFram
 
 
 def returning_update(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:
-    """UPDATE … FROM source RETURNING the keys, and old_ and new_ of each changed column; of several rows of source for one key, one counts."""
-    joined = target.join(source.dropDuplicates(keys), keys)
-    return joined.select(*keys, *(F.col(c).alias(f"old_{c}") for c in changes), *(to.alias(f"new_{c}") for c, to in changes.items()))
+    """UPDATE … FROM source RETURNING the keys, and old_ and new_ of each changed column; names and repeated keys as for updated()."""
+    joined = _met(target, source, keys, "inner")
+    return joined.select(*(F.col(f"old.`{k}`").alias(k) for k in keys), *(F.col(f"old.`{c}`").alias(f"old_{c}") for c in changes), *(to.alias(f"new_{c}") for c, to in changes.items()))
+
+
+def returning_insert(target: DataFrame, rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """INSERT … RETURNING *: the rows as they are inserted."""
+    return inserted(target.limit(0), rows, defaults)
 
 
 def truncated(target: DataFrame) -> DataFrame:

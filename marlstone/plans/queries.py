@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import pg
-from marlstone.operators import relational, tables, writes
+from marlstone.operators import frames, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,21 @@ def latest_before(spark, sf_dir):
     return relational.latest_before(left, right, "user_id", "ts", "since", ["purchase_id", "purchase_value"]).select("event_id", "purchase_id", "purchase_value")
 
 
+@query(
+    """WITH l AS (SELECT event_id, CASE WHEN user_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 5 > 0 THEN ts END AS ts FROM events WHERE event_type = 'error'),
+    r AS (SELECT DISTINCT ON (user_id, ts) CASE WHEN user_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 3 > 0 THEN ts END AS ts, event_id, CASE WHEN event_id % 2 > 0 THEN value END AS value
+      FROM events WHERE event_type = 'purchase' ORDER BY user_id, ts, event_id DESC)
+    SELECT l.event_id, l.user_id, r.event_id AS purchase_id, r.value AS purchase_value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"""
+)
+def latest_before_nulls(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    user = F.when(F.col("user_id") % 7 > 0, F.col("user_id")).alias("user_id")
+    bought = relational.distinct_on(events.where("event_type = 'purchase'").select(user, F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("since"), "event_id", "value"), ["user_id", "since"], F.desc("event_id"))
+    right = bought.select("user_id", "since", F.col("event_id").alias("purchase_id"), F.when(F.col("event_id") % 2 > 0, F.col("value")).alias("purchase_value"))
+    left = events.where("event_type = 'error'").select("event_id", user, F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("ts"))
+    return relational.latest_before(left, right, "user_id", "ts", "since", ["purchase_id", "purchase_value"]).drop("ts")
+
+
 # Aggregation
 
 both("having_filter", "SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(DISTINCT o_orderpriority) AS kinds FROM {orders} GROUP BY o_custkey HAVING count(*) > 8")
@@ -257,10 +272,10 @@ both(
     CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS others FROM orders"""
 )
 def groups_and_exclude_frames(spark, sf_dir):
-    df = relational.peers_numbered(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority")
-    two = relational.groups_frame(F.col("o_orderkey"), ["o_custkey"], 1, 0)
-    others = relational.sum_excluding_current(F.col("o_orderkey"), Window.partitionBy("o_custkey"))
-    return df.select("o_orderkey", two.alias("two_groups"), others.alias("others"))
+    orders, key, total = table(spark, sf_dir, "orders"), F.col("o_orderkey"), frames.sum_of("bigint")
+    df = frames.with_frame(orders, "two_groups", total, key, ["o_custkey"], [F.col("o_orderpriority")], "groups", -1, 0)
+    df = frames.with_frame(df, "others", total, key, ["o_custkey"], [], "rows", frames.FIRST, frames.UNBOUNDED, "current row")
+    return df.select("o_orderkey", "two_groups", "others")
 
 
 @query(
@@ -271,12 +286,35 @@ def groups_and_exclude_frames(spark, sf_dir):
 )
 def exclude_forms(spark, sf_dir):
     key, by = F.col("o_orderkey"), Window.partitionBy("o_custkey")
-    frame, peers = by.orderBy("o_orderpriority").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("o_custkey", "o_orderpriority")
     last = F.last("o_orderkey").over(by.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", relational.sum_excluding_group(key, frame, peers).alias("no_group"), relational.sum_excluding_ties(key, frame, peers).alias("no_ties"),
-        relational.sum_excluding_current(key, frame).alias("no_row"), last.alias("last_key"),
-    )
+    df = table(spark, sf_dir, "orders").withColumn("last_key", last)
+    for name, exclude in (("no_group", "group"), ("no_ties", "ties"), ("no_row", "current row")):
+        df = frames.with_frame(df, name, frames.sum_of("bigint"), key, ["o_custkey"], [F.col("o_orderpriority")], "range", frames.FIRST, 0, exclude)
+    return df.select("o_orderkey", "no_group", "no_ties", "no_row", "last_key")
+
+
+@query(
+    """SELECT o_orderkey, min(p) OVER (w GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS least, max(p) OVER (w GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE TIES) AS most,
+    count(p) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS others, avg(p) OVER (k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS near,
+    array_to_string(array_agg(o_orderkey) OVER (k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW), ',') AS keys,
+    max(p) OVER (r RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING EXCLUDE GROUP) AS around
+    FROM (SELECT *, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::DECIMAL(18,2) END AS p FROM orders)
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority), k AS (PARTITION BY o_custkey ORDER BY o_orderkey), r AS (PARTITION BY o_orderpriority ORDER BY o_custkey)""".replace("(w ", "(PARTITION BY o_custkey ORDER BY o_orderpriority ")
+    .replace("(k ", "(PARTITION BY o_custkey ORDER BY o_orderkey ")
+    .replace("(r ", "(PARTITION BY o_orderpriority ORDER BY o_custkey ")
+    .replace("400", "4")
+)
+def frames_of_any_aggregate(spark, sf_dir):
+    price, first, last = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice").cast("decimal(18,2)")), frames.FIRST, frames.UNBOUNDED
+    customer, priority, key = ["o_custkey"], [F.col("o_orderpriority")], [F.col("o_orderkey")]
+    df = table(spark, sf_dir, "orders")
+    df = frames.with_frame(df, "least", frames.MIN, price, customer, priority, "groups", -1, 1, "group")
+    df = frames.with_frame(df, "most", frames.MAX, price, customer, priority, "groups", -2, 0, "ties")
+    df = frames.with_frame(df, "others", frames.COUNT, price, customer, priority, "range", first, last, "current row")
+    df = frames.with_frame(df, "near", frames.avg_of("decimal(28,2)"), price, customer, key, "rows", -3, 3, "current row")
+    df = frames.with_frame(df, "keys", frames.ARRAY_AGG, F.col("o_orderkey"), customer, key, "rows", -2, 2, "current row")
+    df = frames.with_frame(df, "around", frames.MAX, price, ["o_orderpriority"], [F.col("o_custkey")], "range", -4, 4, "group")
+    return df.select("o_orderkey", "least", "most", "others", "near", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"), "around")
 
 
 # Order, limit, sets
@@ -500,6 +538,25 @@ def update_returning(spark, sf_dir):
     return writes.returning_update(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), source, ["c_custkey"], {"c_acctbal": F.col("c_acctbal") + F.col("n")})
 
 
+@query(
+    f"""SELECT k AS o_orderkey, CASE WHEN o_orderkey IS NULL THEN c ELSE o_custkey END AS o_custkey, 'N' AS o_orderstatus, CASE WHEN o_orderkey IS NULL THEN p ELSE o_totalprice END AS o_totalprice, o_orderkey IS NULL AS inserted
+    FROM {NEW} LEFT JOIN (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders) ON o_orderkey = k WHERE o_orderkey IS NULL OR o_totalprice > 100000"""
+)
+def upsert_returning(spark, sf_dir):
+    target = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return writes.returning_upsert(target, _new_orders(spark, sf_dir), ["o_orderkey"], ["o_orderstatus"], F.col("o.o_totalprice") > 100000)
+
+
+@query(
+    """SELECT c_custkey, c_name, CASE WHEN n IS NULL THEN c_acctbal ELSE c_acctbal - least END AS c_acctbal FROM customer
+    LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_acctbal) AS least FROM supplier GROUP BY s_nationkey) ON s_nationkey = c_nationkey"""
+)
+def update_from_same_names(spark, sf_dir):
+    """The source has a c_acctbal of its own."""
+    source = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_acctbal").alias("c_acctbal"))
+    return writes.updated(table(spark, sf_dir, "customer"), source, ["c_nationkey"], {"c_acctbal": F.col("old.c_acctbal") - F.col("src.c_acctbal")}).select("c_custkey", "c_name", "c_acctbal")
+
+
 # What tables must hold
 
 LINES = tables.TableSpec("lineitem", (tables.ColumnSpec("l_orderkey", "bigint"), tables.ColumnSpec("l_linenumber", "int")), ("l_orderkey", "l_linenumber"), (("l_partkey", "part", "p_partkey"),))
