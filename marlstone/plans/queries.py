@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import pg
-from marlstone.operators import frames, relational, tables, writes
+from marlstone.functions import pg, ranges
+from marlstone.operators import frames, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +469,64 @@ def local_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pg.at_time_zone(F.col("ts"), "Europe/Berlin").alias("there"))
 
 
+# Ranges
+
+
+def _order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the days [o_orderdate, o_orderdate + o_orderkey % 30): empty for some, without an end for those that are pending."""
+    day = F.col("o_orderdate").cast("date")
+    end = F.when(F.col("o_orderstatus") != "P", F.date_add(day, (F.col("o_orderkey") % 30).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", ranges.make_range(day, end, discrete=True).alias("days"))
+
+
+WINDOWS = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE AS a, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE + (o_orderkey % 30)::INTEGER END AS b FROM orders)"
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN a = b THEN 'empty' ELSE '[' || a || ',' || coalesce(b::VARCHAR, '') || ')' END AS shown, coalesce(a < b AND a <= DATE '1998-01-15' AND DATE '1998-01-15' < b, a <= DATE '1998-01-15') AS holds,
+    coalesce(a < b, true) AND a < DATE '1998-02-01' AND coalesce(b > DATE '1998-01-01', true) AS meets, coalesce(a < b AND b <= DATE '1998-01-01', false) AS before, coalesce(a < b, true) AND (coalesce(b = DATE '1998-01-01', false) OR a = DATE '1998-02-01') AS touches,
+    CASE WHEN coalesce(a < b, true) AND a < DATE '1998-02-01' AND coalesce(b > DATE '1998-01-01', true) THEN '[' || greatest(a, DATE '1998-01-01') || ',' || least(coalesce(b, DATE '1998-02-01'), DATE '1998-02-01') || ')' ELSE 'empty' END AS common,
+    '{{' || CASE WHEN coalesce(a < b, true) AND a < DATE '1998-01-01' THEN '[' || a || ',' || least(coalesce(b, DATE '1998-01-01'), DATE '1998-01-01') || ')' ELSE '' END
+      || CASE WHEN coalesce(a < b, true) AND a < DATE '1998-01-01' AND coalesce(b > DATE '1998-02-01', true) THEN ',' ELSE '' END
+      || CASE WHEN coalesce(a < b, true) AND coalesce(b > DATE '1998-02-01', true) THEN '[' || greatest(a, DATE '1998-02-01') || ',' || coalesce(b::VARCHAR, '') || ')' ELSE '' END || '}}' AS rest FROM {WINDOWS}"""
+)
+def range_operators(spark, sf_dir):
+    r, day = F.col("days"), lambda d: F.lit(d).cast("date")
+    month = ranges.make_range(day("1998-01-01"), day("1998-02-01"), discrete=True)
+    return _order_windows(spark, sf_dir).select(
+        "o_orderkey", ranges.text(r).alias("shown"), ranges.contains_value(r, day("1998-01-15")).alias("holds"), ranges.overlaps(r, month).alias("meets"), ranges.left_of(r, month).alias("before"),
+        ranges.adjacent(r, month).alias("touches"), ranges.text(ranges.intersection(r, month)).alias("common"), ranges.multirange_text(ranges.pieces(r, month)).alias("rest"),
+    )
+
+
+@query(
+    f"""WITH w AS (SELECT o_custkey, a, coalesce(b, DATE '9999-01-01') AS b FROM {WINDOWS} WHERE coalesce(a < b, true)), m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM w),
+    i AS (SELECT *, sum(CASE WHEN h >= a THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM m), g AS (SELECT o_custkey, i, min(a) AS a, max(b) AS b FROM i GROUP BY ALL),
+    t AS (SELECT o_custkey, '{{' || string_agg('[' || a || ',' || CASE WHEN b = DATE '9999-01-01' THEN '' ELSE b::VARCHAR END || ')', ',' ORDER BY a) || '}}' AS days FROM g GROUP BY o_custkey)
+    SELECT o_custkey, coalesce(t.days, '{{}}') AS days FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN t USING (o_custkey)"""
+)
+def range_aggregate(spark, sf_dir):
+    return intervals.range_agg(_order_windows(spark, sf_dir), ["o_custkey"], "days").select("o_custkey", ranges.multirange_text(F.col("days")).alias("days"))
+
+
+@query(
+    f"""SELECT o_custkey, CASE WHEN bool_or(a = b) OR max(a) >= min(b) THEN 'empty' ELSE '[' || max(a) || ',' || coalesce(min(b)::VARCHAR, '') || ')' END AS days FROM (SELECT o_custkey, a, b FROM {WINDOWS}) GROUP BY o_custkey""".replace("bool_or(a = b) OR max(a) >= min(b)", "coalesce(bool_or(a = b), false) OR coalesce(max(a) >= min(b), false)")
+)
+def range_intersection_aggregate(spark, sf_dir):
+    return _order_windows(spark, sf_dir).groupBy("o_custkey").agg(ranges.text(ranges.range_intersect_agg(F.col("days"))).alias("days"))
+
+
+@query(
+    f"""WITH s AS (SELECT l_suppkey, l_returnflag, min(l_shipdate)::DATE AS c, min(l_shipdate)::DATE + (l_suppkey % 400)::INTEGER + 1 AS d FROM lineitem GROUP BY l_suppkey, l_returnflag)
+    SELECT l_suppkey, l_returnflag, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM s JOIN {WINDOWS} ON a < d AND coalesce(c < b, true) AND coalesce(a < b, true) GROUP BY l_suppkey, l_returnflag"""
+)
+def range_overlap_join(spark, sf_dir):
+    first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min("l_shipdate").cast("date").alias("c"))
+    season = first.select("l_suppkey", "l_returnflag", ranges.make_range(F.col("c"), F.date_add("c", (F.col("l_suppkey") % 400).cast("int") + 1), discrete=True).alias("season"))
+    met = intervals.overlapping(_order_windows(spark, sf_dir), season, [], "days", "season")
+    return met.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 # Writes, as the table after them
 
 
