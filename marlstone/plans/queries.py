@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import pg, ranges
+from marlstone.functions import jsonb, pg, ranges
 from marlstone.operators import frames, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
@@ -469,6 +469,45 @@ def local_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pg.at_time_zone(F.col("ts"), "Europe/Berlin").alias("there"))
 
 
+# JSON editing and paths
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents: {"k": …, "user": {"id": …, "tags": ["a", event_type]}, "value": … or null}."""
+    doc = jsonb.build_object(k=jsonb.get(jsonb.parsed(F.col("props")), "k"), user=jsonb.build_object(id=F.col("user_id"), tags=F.call_function("to_variant_object", F.array(F.lit("a"), "event_type"))), value=F.when(F.col("user_id") % 3 > 0, F.col("event_id")))
+    return table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+
+
+EVENT = "(SELECT event_id, user_id, event_type, (props ->> 'k')::BIGINT AS k, CASE WHEN user_id % 3 > 0 THEN event_id::VARCHAR ELSE 'null' END AS v FROM events)"
+
+
+@query(
+    f"""SELECT event_id, '{{"k":-1,"user":{{"id":' || user_id || ',"tags":["a","' || event_type || '"]}},"value":' || v || '}}' AS set_key, '{{"k":' || k || ',"user":{{"id":' || user_id || ',"tags":[{{"n":null}},"' || event_type || '"]}},"value":' || v || '}}' AS set_deep,
+    '{{"k":' || k || ',"user":{{"id":' || user_id || ',"tags":["a","new","' || event_type || '"]}},"value":' || v || '}}' AS inserted, '{{"k":' || k || ',"user":{{"id":' || user_id || ',"tags":["a"]}},"value":' || v || '}}' AS cut,
+    '{{"user":{{"id":' || user_id || ',"tags":["a","' || event_type || '"]}},"value":' || v || ',"z":1}}' AS merged FROM {EVENT}"""
+)
+def json_edits(spark, sf_dir):
+    doc, new = F.col("doc"), lambda text: jsonb.parsed(F.lit(text))
+    return _documents(spark, sf_dir).select(
+        "event_id", jsonb.shown(jsonb.set_path(doc, "{k}", new("-1"))).alias("set_key"), jsonb.shown(jsonb.set_path(doc, "{user,tags,0}", new('{"n": null}'))).alias("set_deep"),
+        jsonb.shown(jsonb.insert_path(doc, "{user,tags,-1}", new('"new"'))).alias("inserted"), jsonb.shown(jsonb.delete_path(doc, "{user,tags,1}")).alias("cut"),
+        jsonb.shown(jsonb.concat(jsonb.delete(doc, "k"), new('{"z": 1}'))).alias("merged"),
+    )
+
+
+@query(
+    f"""SELECT event_id, event_type AS tag, user_id % 3 > 0 AS valued, event_type = 'click' AS clicked, k > 50 AND user_id < 20 AS small, CASE WHEN k > 50 THEN user_id::VARCHAR END AS found, '["a","' || event_type || '"]' AS tags, 'k,user,value' AS keys,
+    CASE WHEN v = 'null' THEN 'null' ELSE 'number' END AS kind FROM {EVENT}"""
+)
+def json_paths(spark, sf_dir):
+    doc = F.col("doc")
+    return _documents(spark, sf_dir).select(
+        "event_id", jsonb.get_path_text(doc, "{user,tags,-1}").alias("tag"), jsonb.get_text(doc, "value").isNotNull().alias("valued"), jsonb.contains(doc, {"user": {"tags": ["click"]}}).alias("clicked"),
+        jsonb.path_exists(doc, "$ ? (@.k > 50 && @.user.id < 20)").alias("small"), jsonb.as_text(jsonb.path_query_first(doc, "$ ? (@.k > 50).user.id")).alias("found"),
+        F.to_json(jsonb.path_query_array(doc, "$.user.tags[*]")).alias("tags"), F.array_join(jsonb.keys(doc), ",").alias("keys"), jsonb.typeof(jsonb.get(doc, "value")).alias("kind"),
+    )
+
+
 # Ranges
 
 
