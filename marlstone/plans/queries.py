@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import jsonb, pg, ranges
-from marlstone.operators import frames, intervals, relational, tables, writes
+from marlstone.operators import aggregates, frames, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,44 @@ def ordered_array_agg(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(keys.cast("array<string>"), ",").alias("keys"))
 
 
+# What users define
+
+
+@query(
+    """SELECT o_custkey, array_to_string(list_transform((array_agg((o_totalprice, o_orderkey) ORDER BY o_totalprice DESC, o_orderkey DESC) FILTER (WHERE o_totalprice IS NOT NULL))[1:3], lambda x: x[2]), ',') AS top,
+    sum((o_totalprice * 100)::DECIMAL(18,0) * (o_orderkey % 3)) / nullif(sum(o_orderkey % 3), 0) / 100 AS mean FROM orders GROUP BY o_custkey""".replace("list_transform((array_agg((o_totalprice, o_orderkey)", "list_transform((array_agg(o_orderkey")
+    .replace("[1:3], lambda x: x[2])", "[1:3], lambda x: x)")
+    .replace("sum((o_totalprice * 100)::DECIMAL(18,0) * (o_orderkey % 3)) / nullif(sum(o_orderkey % 3), 0) / 100 AS mean", "round(sum(o_totalprice::DECIMAL(18,2) * (o_orderkey % 3))::DOUBLE / nullif(sum(o_orderkey % 3), 0), 6) AS mean")
+)
+def user_aggregates(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumns({"weight": F.col("o_orderkey") % 3, "price": F.col("o_totalprice").cast("decimal(18,2)")})
+    found = aggregates.aggregated(
+        orders, ["o_custkey"], top=(aggregates.top_k(3, "struct<price:double,key:bigint>"), ["o_totalprice", "o_orderkey"]), mean=(aggregates.weighted_mean(), ["price", "weight"])
+    )
+    return found.select("o_custkey", F.array_join(F.col("top.key").cast("array<string>"), ",").alias("top"), F.round("mean", 6).alias("mean"))
+
+
+def _letters(text: str, least: int):
+    """Runs of letters of a length or more, and where they begin."""
+    for m in re.finditer(r"[A-Za-z]+", text):
+        if len(m[0]) >= least:
+            yield m[0].lower(), m.start() + 1
+
+
+@query(
+    """SELECT p_partkey, n, word FROM (SELECT p_partkey, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS n FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z]+'), lambda x: len(x) >= 4) AS w FROM part))"""
+)
+def user_table_function(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"), F.lit(4).alias("least"))
+    return aggregates.lateral(part, "word string, at int", _letters, ["text", "least"], ordinality="n").select("p_partkey", "n", "word")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(n_name), '[a-z]+'), lambda x: len(x) >= 2)) AS word FROM nation) GROUP BY word")
+def table_function_in_sql(spark, sf_dir):
+    aggregates.table_function(spark, "letters", "word string, at int", _letters)
+    return spark.sql("SELECT word, count(*) AS n FROM {nation}, LATERAL letters(n_name, 2) GROUP BY word", nation=table(spark, sf_dir, "nation"))
+
+
 # Windows
 
 both(
