@@ -1,11 +1,11 @@
-"""What a table must hold beyond its schema: keys, references, enums, ranges; violations, generated rows, differences."""
+"""What a table must hold beyond its schema: keys, references, enums, ranges; violations, differences."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,10 @@ class ColumnSpec:
     type: str
     nullable: bool = True
     allowed: tuple[str, ...] = ()
-    low: float | None = None
-    high: float | None = None
+    low: float | str | None = None  # of dates and timestamps as ISO text
+    high: float | str | None = None
     max_length: int | None = None
+    pattern: str | None = None  # plain characters, \\d, \\w, [a-z] classes, with {n}, {m,n} or ?
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class TableSpec:
     key: tuple[str, ...] = ()
     references: tuple[tuple[str, str, str], ...] = ()  # column, table, its column
     checks: dict[str, str] = field(default_factory=dict)  # rule, SQL condition
+    unique: tuple[str, ...] = ()  # columns without repeated values, beside the key
 
 
 def rules(spec: TableSpec) -> list[tuple[str, str, Column]]:
@@ -36,8 +38,9 @@ def rules(spec: TableSpec) -> list[tuple[str, str, Column]]:
         x = F.col(c.name)
         out += [(c.name, "not_null", x.isNull())] * (not c.nullable)
         out += [(c.name, "enum", ~x.isin(*c.allowed))] if c.allowed else []
-        out += [(c.name, "min", x < c.low)] if c.low is not None else []
-        out += [(c.name, "max", x > c.high)] if c.high is not None else []
+        out += [(c.name, "min", x < F.lit(c.low).cast(c.type))] if c.low is not None else []
+        out += [(c.name, "max", x > F.lit(c.high).cast(c.type))] if c.high is not None else []
+        out += [(c.name, "pattern", ~x.rlike(f"^(?:{c.pattern})$"))] if c.pattern else []
         out += [(c.name, "max_length", F.length(x) > c.max_length)] if c.max_length is not None else []
     return out + [("", rule, ~F.expr(condition)) for rule, condition in spec.checks.items()]
 
@@ -64,28 +67,6 @@ def orphans(df: DataFrame, spec: TableSpec, tables: dict[str, DataFrame]) -> Dat
     return reduce(DataFrame.unionByName, parts)
 
 
-def generated(spark: SparkSession, spec: TableSpec, n: int, seed: int) -> DataFrame:
-    """n rows that keep the spec's rules, the same for the same seed however they are partitioned: each value is a hash of row and column."""
-    df = spark.range(n)
-    for k, c in enumerate(spec.columns):
-        h = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40))
-        share = h / (1 << 40)
-        low, high = c.low if c.low is not None else 0, c.high if c.high is not None else 1000
-        if c.name in spec.key:
-            x = F.col("id") + 1
-        elif c.allowed:
-            x = F.element_at(F.array(*map(F.lit, c.allowed)), (h % len(c.allowed)).cast("int") + 1)
-        elif c.type == "string":
-            x = F.left(F.sha2(h.cast("string"), 256), F.lit(min(c.max_length or 12, 64)))
-        elif c.type in ("date", "timestamp", "timestamp_ntz"):
-            x = F.timestamp_seconds((share * 1_000_000_000).cast("long"))
-        else:
-            x = low + share * (high - low)
-        null = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(-k - 1)), F.lit(20)) == 0
-        df = df.withColumn(f"c{k}", (F.when(~null, x) if c.nullable and c.name not in spec.key else x).cast(c.type))
-    return df.select(*(F.col(f"c{k}").alias(c.name) for k, c in enumerate(spec.columns)))
-
-
 def described(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' not null'}" for f in df.schema.fields)
 

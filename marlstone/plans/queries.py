@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import jsonb, pg, ranges
-from marlstone.operators import aggregates, frames, intervals, relational, tables, writes
+from marlstone.operators import aggregates, frames, generation, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -746,7 +746,52 @@ def schema_differences(spark, sf_dir):
 def generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many generated rows as orders has; they break no rule of their spec, which tests check."""
     spec = tables.TableSpec("orders", ORDERS.columns, ORDERS.key)
-    return tables.generated(spark, spec, table(spark, sf_dir, "orders").count(), seed=7)
+    return generation.generated(spark, spec, table(spark, sf_dir, "orders").count(), seed=7)
 
 
 QUERIES["generated_orders"] = generated_orders
+
+
+SHOPS = tables.TableSpec(
+    "shops",
+    (
+        tables.ColumnSpec("code", "string", nullable=False, pattern=r"[A-Z]{3}-\d{4}"),
+        tables.ColumnSpec("region", "string", allowed=("north", "south")),
+        tables.ColumnSpec("opened", "date", low="2001-02-03", high="2010-01-01"),
+        tables.ColumnSpec("open", "boolean", nullable=False),
+    ),
+    ("code",),
+)
+SALES = tables.TableSpec(
+    "sales",
+    (
+        tables.ColumnSpec("sale", "bigint", nullable=False),
+        tables.ColumnSpec("shop", "string"),
+        tables.ColumnSpec("ticket", "string", pattern=r"T\d{9}[a-f]"),
+        tables.ColumnSpec("price", "double", low=1, high=500),
+        tables.ColumnSpec("cost", "double", low=1, high=500),
+    ),
+    ("sale",),
+    (("shop", "shops", "code"),),
+    {"gain": "price > cost"},
+    ("ticket",),
+)
+
+
+@query(
+    """SELECT (SELECT count(*) FROM customer) AS n_shops, (SELECT count(*) FROM orders) AS n_sales, (SELECT count(*) FROM customer) AS n_codes, (SELECT count(*) FROM orders) AS n_keys, (SELECT count(*) FROM orders) AS n_tickets,
+    0::BIGINT AS orphans, 0::BIGINT AS broken, true AS both_regions, true AS both_open, true AS dates_inside"""
+)
+def generated_with_references(spark, sf_dir):
+    """As many shops as customers and as many sales as orders: counts of what they break, which is nothing."""
+    n_shops, n_sales = table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "orders").count()
+    shops = generation.generated(spark, SHOPS, n_shops, seed=3)
+    sales = generation.generated(spark, SALES, n_sales, seed=4, parents={"shops": (SHOPS, n_shops, 3)})
+    broken = tables.violations(shops, SHOPS).select("rule").union(tables.violations(sales, SALES).select("rule")).agg(F.count("*").alias("broken"))
+    orphans = tables.orphans(sales, SALES, {"shops": shops}).agg(F.count("*").alias("orphans"))
+    of_shops = shops.agg(
+        F.count("*").alias("n_shops"), F.count_distinct("code").alias("n_codes"), (F.count_distinct("region") == 2).alias("both_regions"), (F.count_distinct("open") == 2).alias("both_open"),
+        F.bool_and(F.col("opened").between("2001-02-03", "2010-01-01")).alias("dates_inside"),
+    )
+    of_sales = sales.agg(F.count("*").alias("n_sales"), F.count_distinct("sale").alias("n_keys"), F.count_distinct("ticket").alias("n_tickets"))
+    return of_shops.crossJoin(of_sales).crossJoin(broken).crossJoin(orphans)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import pg
-from marlstone.operators import frames, relational, tables, writes
+from marlstone.operators import frames, generation, relational, tables, writes
 from marlstone.plans.queries import ORDERS
 
 
@@ -91,11 +91,11 @@ def test_upsert_nothing_keeps_old_rows(spark):
 
 def test_generated_rows_keep_their_rules(spark):
     spec = tables.TableSpec("orders", ORDERS.columns, ORDERS.key)
-    rows = tables.generated(spark, spec, 500, seed=3)
+    rows = generation.generated(spark, spec, 500, seed=3)
     assert rows.count() == 500
     assert tables.violations(rows, spec).count() == 0
     assert tables.repeated_keys(rows, spec).count() == 0
-    assert sorted(rows.collect(), key=str) == sorted(tables.generated(spark, spec, 500, seed=3).repartition(7).collect(), key=str)
+    assert sorted(rows.collect(), key=str) == sorted(generation.generated(spark, spec, 500, seed=3).repartition(7).collect(), key=str)
 
 
 def test_violations_name_each_rule(spark):
