@@ -85,6 +85,22 @@ SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two policies on one stored ledger: what each of their rules rejects, and what it alone does."""
+    entries = stored(quality_rules.ledger(read_table(spark, sf_dir, "documents")).select("fail_bits"), "ledger")
+    return quality_rules.ablation(entries, quality_rules.BASE).unionByName(quality_rules.ablation(entries, quality_rules.STRICT))
+
+
+#: Names of the rules by bit.
+RULE_NAMES = "few_words repeated_windows symbols duplicate_lines short_words long_words upper_case".split()
+ABLATION_SQL = f"""
+WITH l AS (SELECT fail_bits FROM ({OP4_SQL})), p(policy, version, mask) AS (VALUES ('base', 1, 3::BIGINT), ('strict', 1, 127::BIGINT)),
+r(bit, rule) AS (VALUES {", ".join(f"({k}, '{name}')" for k, name in enumerate(RULE_NAMES))})
+SELECT policy, version, bit, rule, count(*) FILTER (WHERE (fail_bits & (1::BIGINT << bit)) <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE (fail_bits & mask) = (1::BIGINT << bit))::BIGINT AS n_only_this
+FROM l, p, r WHERE (mask & (1::BIGINT << bit)) <> 0 GROUP BY policy, version, bit, rule
+"""
+
+
 def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.fingerprinted(read_table(spark, sf_dir, "documents"), stored)
 
@@ -150,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_site_style": op2_site_style,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_exact_digest": op5_exact_digest,
     "op6_packing": op6_packing,
     "op7_jaccard_groups": op7_jaccard_groups,
@@ -160,4 +177,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_jacobi_whitening": op12_jacobi_whitening,
     "op13_suffix_sigma": op13_suffix_sigma,
 }
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op13_suffix_sigma": OP13_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "quality_ablation": ABLATION_SQL, "op13_suffix_sigma": OP13_SQL}
