@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import jsonb, pg, ranges
+from marlstone.functions import jsonb, pg, ranges, spans
 from marlstone.operators import aggregates, frames, generation, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
@@ -507,6 +507,34 @@ def local_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pg.at_time_zone(F.col("ts"), "Europe/Berlin").alias("there"))
 
 
+# Intervals and pictures
+
+
+@query(
+    """SELECT event_id, (extract(year FROM a) * 12 + extract(month FROM a))::INTEGER AS months, extract(day FROM a)::INTEGER AS days, (extract(hour FROM a) * 3600000000 + extract(minute FROM a) * 60000000 + extract(microsecond FROM a))::BIGINT AS micros,
+    ts + to_months((user_id % 13)::INTEGER) + to_days((event_id % 40)::INTEGER) + to_microseconds(event_id * 7) AS due, (extract(epoch FROM ts - TIMESTAMP '2023-12-31 18:30:00') * 1000000)::BIGINT AS since
+    FROM (SELECT *, age(ts, TIMESTAMP '2023-05-31 18:30:00') AS a FROM events)"""
+)
+def interval_arithmetic(spark, sf_dir):
+    ts, start = F.col("ts"), F.lit("2023-05-31 18:30:00").cast("timestamp_ntz")
+    span = spans.plus(spans.make_interval(months=F.col("user_id") % 13, days=F.col("event_id") % 40), spans.make_interval(secs=(F.col("event_id") * 7).cast("decimal(20,6)") / 1_000_000))
+    since = spans.between(ts, F.lit("2023-12-31 18:30:00").cast("timestamp_ntz"))
+    df = table(spark, sf_dir, "events").select("event_id", spans.age(ts, start).alias("a"), spans.added(ts, span).alias("due"), (since["days"] * F.lit(spans.DAY) + since["micros"]).alias("since"))
+    return df.select("event_id", "a.*", "due", "since")
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS exact, strftime(ts, '%-d %B %Y') AS long, strftime(ts, '%I:%M %p') AS clock, strftime(ts, '%a %b') || ' Q' || quarter(ts) AS short, upper(strftime(ts, '%A')) AS day,
+    strftime(ts, '%j') AS of_year, date_trunc('minute', ts) AS back, ts::DATE AS day_back FROM events"""
+)
+def date_pictures(spark, sf_dir):
+    ts, shown = F.col("ts"), spans.to_char
+    return table(spark, sf_dir, "events").select(
+        "event_id", shown(ts, "YYYY-MM-DD HH24:MI:SS.US").alias("exact"), shown(ts, "FMDD FMMonth YYYY").alias("long"), shown(ts, "HH12:MI AM").alias("clock"), shown(ts, 'Dy Mon "Q"Q').alias("short"), shown(ts, "FMDAY").alias("day"),
+        shown(ts, "DDD").alias("of_year"), spans.to_timestamp(shown(ts, "Mon DD YYYY HH:MI PM"), "Mon DD YYYY HH:MI PM").alias("back"), spans.to_date(shown(ts, "YYYY/DDD"), "YYYY/DDD").alias("day_back"),
+    )
+
+
 # JSON editing and paths
 
 
