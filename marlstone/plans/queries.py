@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import jsonb, pg, ranges, spans
+from marlstone.functions import jsonb, numerals, pg, ranges, spans
 from marlstone.operators import aggregates, frames, generation, intervals, relational, tables, writes
 from marlstone.sources.tables import catalogue, checkpoint_dir, table
 
@@ -535,6 +535,19 @@ def date_pictures(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT c_custkey, printf('%.2f', b) AS plain, lpad(CASE WHEN b < 0 THEN '-' ELSE '' END || format('{:,}', abs(b)::DECIMAL(12,0)::BIGINT), 11, ' ') AS grouped, CASE WHEN b < 0 THEN '<' || abs(b)::DECIMAL(12,1) || '>' ELSE b::DECIMAL(12,1)::VARCHAR END AS angle,
+    lpad((c_custkey % 1000)::VARCHAR, 5, '0') || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END AS place, b AS back
+    FROM (SELECT c_custkey, c_acctbal::DECIMAL(12,2) AS b FROM customer)"""
+)
+def number_pictures(spark, sf_dir):
+    b, shown = F.col("c_acctbal").cast("decimal(12,2)"), numerals.to_char
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", shown(b, "FM99999990.00").alias("plain"), shown(b, "99,999,999").alias("grouped"), shown(b, "FM99999990.0PR").alias("angle"), shown(F.col("c_custkey") % 1000, "FM00000th").alias("place"),
+        numerals.to_number(shown(b, "99,999,990.00MI"), "99,999,990.00MI").cast("decimal(12,2)").alias("back"),
+    )
+
+
 # JSON editing and paths
 
 
