@@ -40,6 +40,11 @@ def picture(text: str) -> Picture:
     return Picture(tuple(parts), len(digits), sum(p in "09" for p in parts[point:]), zero, fill)
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), with the expression x once in the plan."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _text(part: str) -> str:
     return re.sub(r"\\(.)", r"\1", part[1:-1]) if part[0] == '"' else part
 
@@ -69,21 +74,29 @@ def to_char(x: Column, text: str) -> Column:
         return _scientific(x, p)
     shift = p.fraction if "V" in p.parts else 0
     decimals = 0 if shift else p.fraction
-    value = F.round(x.cast("decimal(38,12)") * (10**shift), decimals)
-    negative, size = value < 0, F.abs(value)
-    whole = F.floor(size).cast("decimal(38,0)")
     places = p.whole + shift
-    digits = F.when(whole == 0, F.lit("")).otherwise(whole.cast("string"))
-    least = max(p.first_zero + shift if p.first_zero else 0, shift if shift else 0)
-    tail = F.lpad(F.round((size - whole) * 10**decimals, 0).cast("decimal(38,0)").cast("string"), decimals, "0") if decimals else F.lit("")
-    shown = F.when(F.length(digits) < least, F.lpad(digits, least, "0")).otherwise(digits)
-    if not least and not decimals and places:
-        shown = F.when(shown == "", "0").otherwise(shown)
-    room = F.length(digits) <= places
-
-    # every place of the picture, from the left: a digit, nothing yet, or a separator that stands only after a digit
+    least = max(p.first_zero + shift if p.first_zero else 0, shift)
+
+    def split(size: Column) -> Column:
+        """Digits before the point and after it."""
+        whole = F.floor(size).cast("decimal(38,0)")
+        tail = F.lpad(F.round((size - whole) * 10**decimals, 0).cast("decimal(38,0)").cast("string"), decimals, "0") if decimals else F.lit("")
+        return F.struct(F.when(whole == 0, F.lit("" if least or decimals or not places else "0")).otherwise(whole.cast("string")).alias("digits"), tail.alias("tail"), (whole % 100).cast("int").alias("last"))
+
+    def filled(s: Column) -> Column:
+        shown = F.when(F.length(s["digits"]) < least, F.lpad(s["digits"], least, "0")).otherwise(s["digits"])
+        return F.struct(shown.alias("shown"), F.length(shown).alias("n"), s["tail"].alias("tail"), s["last"].alias("last"))
+
+    def done(value: Column) -> Column:
+        return _let(_let(_let(F.abs(value), split), filled), lambda s: _let(_body(s, value < 0, p, places), lambda body: _with_sign(body, value < 0, p)))
+
+    return F.when(x.isNotNull(), _let(F.round(x.cast("decimal(38,12)") * (10**shift), decimals), done))
+
+
+def _body(s: Column, negative: Column, p: Picture, places: int) -> Column:
+    """Every place of the picture, from the left: a digit, nothing yet, or a separator that stands only after a digit; # where there is no room."""
+    shown, n, tail = s["shown"], s["n"], s["tail"]
     out, place, after, seen_point = [], 0, 0, False
-    n = F.length(shown)
     for part in p.parts:
         if part in ("9", "0") and not seen_point:
             left = places - place
@@ -106,7 +119,7 @@ def to_char(x: Column, text: str) -> Column:
         elif part == "L":
             out.append(F.lit("" if p.fill else " "))
         elif part in ("TH", "th"):
-            last, teen = whole % 10, (whole % 100 >= 11) & (whole % 100 <= 13)
+            last, teen = s["last"] % 10, (s["last"] >= 11) & (s["last"] <= 13)
             end = F.when(teen, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
             out.append(F.when(negative, "").otherwise(F.upper(end) if part == "TH" else end))
         elif part == "MI":
@@ -121,8 +134,7 @@ def to_char(x: Column, text: str) -> Column:
             out.append(F.lit(_text(part)))
     body = F.concat(*out) if out else F.lit("")
     full = F.lit("".join("#" if q in ("9", "0") else "." if q in (".", "D") else "," if q in (",", "G") else "" for q in p.parts))
-    body = F.when(room, body).otherwise(full)
-    return F.when(x.isNotNull(), _with_sign(body, negative, p))
+    return F.when(n <= places, body).otherwise(full)
 
 
 def _with_sign(body: Column, negative: Column, p: Picture) -> Column:
