@@ -4,7 +4,7 @@ Documents become token ids with an end id. Each is routed to the smallest contex
 than the largest, first cut into full windows and a rest. Each tier is packed into windows of its own size, longest tier first;
 what its pieces leave open in a window is filled from shorter tiers, the last gap with a part of a piece. What short tiers have left
 then fills windows of their own size, and what remains at the end is cut at powers of two, so no sequence needs padding.
-Sequences are dealt to step groups so that each group gets as many tokens of each window size.
+Sequences are dealt to step groups so that each group of a partition gets as many tokens of each window size; nothing is balanced over partitions.
 
 Partitions are packed apart, in one pass without a shuffle: a sequence holds documents of one partition only. Only the
 open pieces of a partition are held, at most `horizon` documents at a time, so memory does not grow with the input.
