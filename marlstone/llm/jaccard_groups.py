@@ -361,13 +361,14 @@ def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 def apart(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """For round two, of unsettled entries: the units in groups (u, n, gid), and the units that ask other groups (u, n, gid) which hold a unit of
-    another component with one of their signatures and a size that fits. Of two groups, the units of one ask the other."""
+    another component with one of their signatures and a size that fits. Of two groups, the units of the one with fewer units ask the other."""
     groups = homes(entries.groupBy("u").agg(F.min("lead").alias("home"), F.max("n").alias("n")))
-    rows = entries.select("s", "u", "least", "c").join(groups, "u")
-    held = rows.groupBy("s", F.col("gid").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("x"), F.max("c").alias("y"))
+    units = groups.groupBy("gid").agg(F.count("*").alias("units"))
+    rows = entries.select("s", "u", "least", "c").join(groups.join(units, "gid"), "u")
+    held = rows.groupBy("s", F.col("gid").alias("other"), F.col("units").alias("others")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("x"), F.max("c").alias("y"))
     fits = (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n"))
     differ = (F.col("x") != F.col("c")) | (F.col("y") != F.col("c"))
-    asking = rows.join(held, "s").where((F.col("other") < F.col("gid")) & fits & differ)
+    asking = rows.join(held, "s").where((F.struct("others", "other") > F.struct("units", "gid")) & fits & differ)
     asking = asking.groupBy("u", "n", F.col("other").alias("gid")).agg(F.count("*").alias("held"), F.max("least").alias("least"))
     return groups, asking.where("held >= least").select("u", "n", "gid")
 
