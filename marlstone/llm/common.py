@@ -50,9 +50,16 @@ def fresh(name: str, taken: list[str]) -> str:
     return f"_{name}"
 
 
-def batches_of(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for b in batches:
-        yield b, b.column(column).to_pylist()
+#: Tasks over which the rows of one key are spread.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """rows LEFT JOIN few USING (key), few with a row for each key: the rows of a frequent key are dealt to SPREAD tasks by a hash of column `by`, and few's rows copied to each."""
+    place = f"spread_{uuid.uuid4().hex}"
+    dealt = rows.withColumn(place, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    copied = few.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(copied, [key, place], "left").drop(place)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from marlstone.llm.common import bit_filter, fresh, mixed, passes, runs
+from marlstone.llm.common import bit_filter, fresh, mixed, passes, runs, spread_join
 from marlstone.llm.components import Roots, components
 
 Store = Callable[[DataFrame, str], DataFrame]
@@ -434,6 +434,6 @@ def linked_components(docs: DataFrame, store: Store, size: int = 3, percent: int
     `store` writes a DataFrame to the shared folder and reads it again."""
     rows, reps = labelled(docs, store, size, percent)
     least = reps.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    named = reps.join(least, "component", "left").select(F.col("sid").alias("of"), F.coalesce("least", "rep").alias("component_id"))
+    named = spread_join(reps, least, "component", "sid").select(F.col("sid").alias("of"), F.coalesce("least", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from marlstone.llm import components as c
-from marlstone.llm.common import stored
+from marlstone.llm.common import spread_join, stored
 
 
 @pytest.mark.parametrize("edges_a_task", [1 << 20, 40])
@@ -22,3 +22,12 @@ def test_components(spark, monkeypatch, edges_a_task):
     got = c.components(df, stored).collect()
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
     assert c.components(df.limit(0), stored).collect() == []
+
+
+def test_spread_join_is_a_left_join(spark):
+    rows = [("hot", i) for i in range(200)] + [("k", 1), ("none", 2), (None, 3)]
+    df = spark.createDataFrame(rows, "key string, doc_id int").selectExpr("*", "1 AS spread")
+    few = spark.createDataFrame([("hot", "h"), ("k", "x"), ("other", "y")], "key string, v string")
+    want = sorted(map(str, df.join(few, "key", "left").collect()))
+    assert sorted(map(str, spread_join(df, few, "key", "doc_id").collect())) == want
+    assert spread_join(df.limit(0), few, "key", "doc_id").collect() == [] and spread_join(df, few.limit(0), "key", "doc_id").count() == len(rows)
