@@ -31,8 +31,8 @@ from marlstone.llm.common import bit_filter, passes
 UND = "und"
 #: Positions whose suffixes a task counts before it passes them on, and words whose codes it remembers.
 HELD, KNOWN = 1 << 21, 1 << 20
-#: Documents whose suffixes choose the ranges, and suffixes taken of them, about. They only decide which task counts what.
-SAMPLE_DOCS, SAMPLE_SUFFIXES = 2048, 1 << 16
+#: Documents whose suffixes choose the ranges, about, every how many-th suffix of them is taken, and how many at most. They only decide which task counts what.
+SAMPLE_DOCS, THINNED, SAMPLE_SUFFIXES = 4096, 32, 1 << 17
 
 #: A-Z to a-z, tab to space, and what ends a piece to \n.
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -151,9 +151,9 @@ def range_bounds(docs: DataFrame, max_n: int, parts: int) -> list[tuple[int, ...
     total = docs.count()
     if not total or parts < 2:
         return []
-    some = docs.sample(min(1.0, 2 * SAMPLE_DOCS / total), seed=1) if total > SAMPLE_DOCS else docs
-    keys = suffix_counts(some, max_n, []).select(key_names(max_n))
-    found = sorted(map(tuple, keys.orderBy(F.xxhash64(*key_names(max_n))).limit(SAMPLE_SUFFIXES).toPandas().to_numpy().tolist()))
+    some = docs.sample(SAMPLE_DOCS / total, seed=1) if total > SAMPLE_DOCS else docs
+    keys = suffix_counts(some, max_n, []).select(key_names(max_n)).where(F.pmod(F.xxhash64(*key_names(max_n)), F.lit(THINNED)) == 0)
+    found = sorted(map(tuple, keys.limit(SAMPLE_SUFFIXES).toPandas().to_numpy().tolist()))
     return sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
