@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bit_filter, passes
+from marlstone.llm.common import bit_filter, passes, spread_join
 
 
 def canonical(text: str | None) -> bytes:
@@ -146,7 +146,7 @@ def classed(docs: DataFrame, rows: DataFrame, store) -> DataFrame:
     found = suspects(docs, rows)
     held = store(buckets(found), "buckets")
     classes, mixed = held.where("same"), held.where("NOT same")
-    out = rows.join(classes.drop("same"), "fingerprint", "left")
+    out = spread_join(rows, classes.drop("same"), "fingerprint", "doc_id")
     if not mixed.isEmpty():  # digests of different bytes met
         both = ["fingerprint", "body_check"]
         more = parted(found, mixed).withColumnsRenamed({"class_id": "c", "n_copies": "n"})
