@@ -65,6 +65,7 @@ def to_char(x: Column, text: str) -> Column:
 
     9 is a digit, or a space before the number; 0 a digit in any case; . D , G as in the C locale, where G is a comma and L nothing but a space; S, SG, MI, PL and PR
     are signs, FM leaves spaces and closing zeros out, TH and th are ordinals, V shifts, RN and rn are Roman. EEEE is a single digit, its fraction and an exponent.
+    A double that is rounded to nothing keeps its minus sign, a decimal or whole number does not, as in PostgreSQL.
     """
     p = picture(text)
     if any(q in ("RN", "rn") for q in p.parts):
@@ -87,10 +88,12 @@ def to_char(x: Column, text: str) -> Column:
         shown = F.when(F.length(s["digits"]) < least, F.lpad(s["digits"], least, "0")).otherwise(s["digits"])
         return F.struct(shown.alias("shown"), F.length(shown).alias("n"), s["tail"].alias("tail"), s["last"].alias("last"))
 
-    def done(value: Column) -> Column:
-        return _let(_let(_let(F.abs(value), split), filled), lambda s: _let(_body(s, value < 0, p, places), lambda body: _with_sign(body, value < 0, p)))
+    def done(v: Column) -> Column:
+        return _let(_let(_let(F.abs(v["value"]), split), filled), lambda s: _let(_body(s, v["negative"], p, places), lambda body: _with_sign(body, v["negative"], p)))
 
-    return F.when(x.isNotNull(), _let(F.round(x.cast("decimal(38,12)") * (10**shift), decimals), done))
+    value = F.round(x.cast("decimal(38,12)") * (10**shift), decimals)
+    negative = F.when(F.typeof(x).isin("double", "float"), F.startswith(x.cast("string"), F.lit("-"))).otherwise(value < 0)
+    return F.when(x.isNotNull(), _let(F.struct(value.alias("value"), negative.alias("negative")), done))
 
 
 def _body(s: Column, negative: Column, p: Picture, places: int) -> Column:

@@ -541,7 +541,7 @@ def date_pictures(spark, sf_dir):
     FROM (SELECT c_custkey, c_acctbal::DECIMAL(12,2) AS b FROM customer)"""
 )
 def number_pictures(spark, sf_dir):
-    b, shown = F.col("c_acctbal").cast("decimal(12,2)"), numerals.to_char
+    b, shown = F.col("c_acctbal").cast("decimal(12,2)").cast("double"), numerals.to_char  # a double keeps the sign of what is rounded to nothing
     return table(spark, sf_dir, "customer").select(
         "c_custkey", shown(b, "FM99999990.00").alias("plain"), shown(b, "99,999,999").alias("grouped"), shown(b, "FM99999990.0PR").alias("angle"), shown(F.col("c_custkey") % 1000, "FM00000th").alias("place"),
         numerals.to_number(shown(b, "99,999,990.00MI"), "99,999,990.00MI").cast("decimal(12,2)").alias("back"),

@@ -2,10 +2,12 @@
 
 import decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import numerals as N
+from marlstone.plans.queries import QUERIES, SQL
 
 D = decimal.Decimal
 
@@ -32,6 +34,23 @@ def test_doubles_nulls_and_bad_pictures(spark):
             N.picture(bad)
 
 
+def test_a_double_that_is_rounded_to_nothing_keeps_its_sign(spark):
+    pictures = ("99,999", "FM990.0PR", "999S")
+    shown = lambda x: tuple(spark.range(1).select(*(N.to_char(x, p).alias(p) for p in pictures)).first())
+    assert shown(F.lit(-0.04)) == ("     -0", "<0.0>", "  0-") and shown(F.lit(-0.0)) == shown(F.lit(-1e-20)) == ("     -0", "<0.0>", "  0-")
+    assert shown(F.lit("-0.04").cast("decimal(12,2)")) == shown(F.lit(0.04)) == ("      0", "0.0", "  0+")
+
+
+def test_small_negative_balances_agree_with_duckdb(spark, tmp_path):
+    cents = [*range(-160, 160), 9_999_999_949, -9_999_999_949, None]
+    rows = [(i, None if c is None else c / 100) for i, c in enumerate(cents)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    df = QUERIES["number_pictures"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(SQL["number_pictures"]).fetchall())
+
+
 def test_numbers_by_pictures(spark):
     cases = {("12,454.8-", "99G999D9S"): D("-12454.8"), ("<485>", "999PR"): D(-485), (" 1,485", "9,999"): D(1485), ("+12", "S99"): D(12), ("-.1", "9.9"): D("-0.1"), ("$ 12.30", "L99.99"): D("12.30"), ("12000", "99V999"): D(12)}
     got = spark.range(1).select(*(N.to_number(F.lit(t), p).alias(f"c{i}") for i, (t, p) in enumerate(cases))).first()
