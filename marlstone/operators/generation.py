@@ -21,6 +21,8 @@ from marlstone.operators.tables import ColumnSpec, TableSpec
 NULLS = 20
 #: Times that a row is made again if it breaks a check, at once at first and for those that are left then.
 ATTEMPTS = (8, 56)
+#: Whole numbers below it are longs.
+LONG = 1 << 63
 INTEGERS = {"tinyint": 7, "smallint": 15, "int": 31, "integer": 31, "bigint": 63, "long": 63}
 TEXTS = ("string", "varchar", "char")
 ATOM = re.compile(r"(\\[dw]|\\.|\[[^\]]+\]|[^\\\[\]{}?])(?:\{(\d+)(?:,(\d+))?\}|(\?))?")
@@ -54,13 +56,14 @@ def capacity(pattern: str) -> int:
 def spelled(number: Column, pattern: str, h: Column | None = None) -> Column:
     """The text of a pattern with this number, below its capacity: different ones for different numbers. h, a hash, chooses what is optional."""
     parts: list[Column] = []
-    rest = number.cast("decimal(38,0)")
+    small = capacity(pattern) < LONG
+    rest = number.cast("bigint" if small else "decimal(38,0)")
     for k, (chars, least, most) in enumerate(atoms(pattern)):
         letter = lambda n, chars=chars: F.substring(F.lit(chars), (n + 1).cast("int"), F.lit(1))
         for _ in range(least):
             if len(chars) > 1:
                 parts.append(letter(rest % len(chars)))
-                rest = F.floor(rest / len(chars)).cast("decimal(38,0)")
+                rest = F.call_function("div", rest, F.lit(len(chars)).cast("bigint")) if small else F.floor(rest / len(chars)).cast("decimal(38,0)")
             else:
                 parts.append(F.lit(chars))
         for j in range(most - least):
@@ -70,11 +73,13 @@ def spelled(number: Column, pattern: str, h: Column | None = None) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def permuted(i: Column, n: int, seed: int) -> Column:
-    """A permutation of 0 … n - 1 by the seed: a step that has no divisor in common with n, about the golden ratio of it, and a start."""
+def permuted(i: Column, n: int, seed: int, below: int | None = None) -> Column:
+    """A permutation of 0 … n - 1 by the seed: a step that has no divisor in common with n, about the golden ratio of it, and a start. below: i is less, n if not given."""
     step = max(int(n * 0.6180339887498949) + seed % 101, 1)
     while math.gcd(step, n) != 1:
         step += 1
+    if (n if below is None else below) * n + n < LONG:
+        return F.pmod(i.cast("bigint") * F.lit(step % n or 1).cast("bigint") + F.lit(seed * 7919 % n).cast("bigint"), F.lit(n).cast("bigint"))
     return F.pmod(i.cast("decimal(19,0)") * F.lit(step % n or 1).cast("decimal(19,0)") + F.lit(seed * 7919 % n).cast("decimal(19,0)"), F.lit(n).cast("decimal(38,0)")).cast("bigint")
 
 
@@ -112,7 +117,7 @@ def unique_value(c: ColumnSpec, i: Column, n: int, seed: int) -> Column:
         raise ValueError(f"{c.name}: no unique values of type {c.type}")
     if room < n:
         raise ValueError(f"{c.name} has room for {room} different values, {n} are asked for")
-    return made(permuted(i, room, seed) if room >= 1 else i)
+    return made(permuted(i, room, seed, n) if room >= 1 else i)
 
 
 def _seconds(c: ColumnSpec) -> tuple[int, int]:
@@ -130,6 +135,12 @@ def _timed(c: ColumnSpec, seconds: Column) -> Column:
     return days if c.type == "date" else F.timestamp_seconds(seconds.cast("bigint"))
 
 
+def _below(h: Column, n: int) -> Column:
+    """A hash's remainder by n."""
+    kind = "bigint" if n < LONG else "decimal(38,0)"
+    return F.pmod(h.cast(kind), F.lit(str(n)).cast(kind))
+
+
 def any_value(c: ColumnSpec, i: Column, seed: int, place: int, attempt: Column) -> Column:
     """A value by the rules of one column."""
     h = F.xxhash64(i, F.lit(seed), F.lit(place), attempt)
@@ -137,10 +148,10 @@ def any_value(c: ColumnSpec, i: Column, seed: int, place: int, attempt: Column)
     if c.allowed:
         return F.element_at(F.array(*map(F.lit, c.allowed)), (part % len(c.allowed)).cast("int") + 1)
     if c.pattern:
-        return spelled(F.pmod(h.cast("decimal(38,0)"), F.lit(capacity(c.pattern)).cast("decimal(38,0)")), c.pattern, h)
+        return spelled(_below(h, capacity(c.pattern)), c.pattern, h)
     if c.type in INTEGERS:
         low, high = _bounds(c) if c.low is not None or c.high is not None else (0, 1000)
-        return F.lit(low) + F.pmod(h.cast("decimal(20,0)"), F.lit(high - low + 1).cast("decimal(20,0)")).cast("bigint")
+        return F.lit(low) + _below(h, high - low + 1).cast("bigint")
     if c.type == "boolean":
         return part % 2 == 0
     if c.type in ("date", "timestamp", "timestamp_ntz"):
@@ -165,8 +176,9 @@ def key_value(spec: TableSpec, column: str, i: Column, n: int, seed: int) -> Col
 def generated(spark: SparkSession, spec: TableSpec, n: int, seed: int, parents: dict[str, tuple[TableSpec, int, int]] | None = None) -> DataFrame:
     """n rows of the spec. parents: of each table that it references, its spec, number of rows and seed, as that is generated with.
 
-    A row that breaks a check is made again with other values, keys and unique columns aside: only such rows are shuffled, by their number; an
-    error if all of ATTEMPTS break one. A reference to a table of no rows is null, or an error where it must not be.
+    A row that breaks a check is made again with other values, keys and unique columns aside: its first good turn is looked for, from the columns
+    that the checks name alone, and the whole row is made once from it. Nothing is shuffled, as rows are in the order of their numbers; an error
+    if all of ATTEMPTS break a check. A reference to a table of no rows is null, or an error where it must not be.
     """
     known = dict(parents or {})
     references = {column: (table, target) for column, table, target in spec.references if table in known}
@@ -195,19 +207,17 @@ def generated(spark: SparkSession, spec: TableSpec, n: int, seed: int, parents:
     good = F.lit(True)
     for condition in spec.checks.values():
         good = good & F.coalesce(F.expr(condition), F.lit(True))
-    row = F.struct(*(F.col(f"`{c.name}`") for c in spec.columns))
+    checked = [(k, c) for k, c in enumerate(spec.columns) if "`" in c.name or any(re.search(rf"(?i)(?<!\w){re.escape(c.name)}(?!\w)", x) for x in spec.checks.values())]
 
-    def rows(ids: DataFrame) -> DataFrame:
-        """Rows by number and turn, and whether they keep the checks."""
-        made_now = ids.select(number, turn, *(value(c, k, F.col(turn)).alias(c.name) for k, c in enumerate(spec.columns)))
-        return made_now.select(number, turn, F.when(good, row).alias(made))
+    def keeps(ids: DataFrame) -> DataFrame:
+        """number and turn, and whether the row of that turn keeps the checks: only the columns that a check names are made."""
+        return ids.select(*ids.columns, *(value(c, k, F.col(turn)).alias(c.name) for k, c in checked)).select(*ids.columns, good.alias(made))
 
-    left, found, done = rows(ids.withColumn(turn, F.lit(0))), [], 0
+    left, turns, done = keeps(ids.withColumn(turn, F.lit(0))).select(number, F.when(F.col(made), F.col(turn)).alias(turn)), [], 0
     for more in ATTEMPTS:
-        found.append(left.where(F.col(made).isNotNull()).select(made))
-        turns = left.where(F.col(made).isNull()).select(number, F.explode(F.sequence(F.lit(done + 1), F.lit(done + more))).alias(turn))
-        first = rows(turns).groupBy(number).agg(F.min(F.when(F.col(made).isNotNull(), F.struct(turn, made))).alias("first"))
-        left, done = first.select(number, F.col(f"first.`{made}`").alias(made)), done + more
+        turns.append(left.where(F.col(turn).isNotNull()))
+        tried = keeps(left.where(F.col(turn).isNull()).select(number, F.explode(F.sequence(F.lit(done + 1), F.lit(done + more))).alias(turn)))
+        left, done = tried.groupBy(number).agg(F.min(F.when(F.col(made), F.col(turn))).alias(turn)), done + more
     failed = F.raise_error(F.lit(f"no row keeps the checks of {spec.name}"))
-    found.append(left.select(F.when(F.col(made).isNull(), failed).otherwise(F.col(made)).alias(made)))
-    return reduce(DataFrame.unionByName, found).select(f"{made}.*")
+    turns.append(left.select(number, F.coalesce(F.col(turn), failed.cast("int")).alias(turn)))
+    return reduce(DataFrame.unionByName, turns).select(*(value(c, k, F.col(turn)).alias(c.name) for k, c in enumerate(spec.columns)))

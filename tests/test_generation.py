@@ -79,3 +79,13 @@ def test_room_and_checks_that_cannot_be_kept(spark):
     child = T.TableSpec("c", (T.ColumnSpec("p", "string", nullable=False),), references=(("p", "t", "k"),))
     with pytest.raises(ValueError, match="no rows"):
         G.generated(spark, child, 3, 1, {"t": (few, 0, 1)})
+
+
+def test_turns_are_numbers_and_rows_are_as_before(spark):
+    sales = G.generated(spark, SALES, 100_000, seed=4, parents={"shops": (SHOPS, 20_000, 3)})
+    plan = sales._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Exchange" not in plan and "decimal(38" not in plan
+    total = sales.agg(F.sum(F.xxhash64(*sales.columns).cast("decimal(38,0)"))).first()[0]
+    assert int(total) == -632769606703164786197  # as each attempt's whole rows gave it
+    long = T.TableSpec("t", (T.ColumnSpec("id", "int"), T.ColumnSpec("p", "string", pattern=r"[a-z]{14}")), ("id",))
+    assert G.generated(spark, long, 50, 1).agg(F.count_if(F.col("p").rlike("^[a-z]{14}$"))).first()[0] > 30
