@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +62,10 @@ def _without(df: DataFrame, keys: list[str], r: str, lists: DataFrame) -> DataFr
 
 def _number(df: DataFrame, r: str) -> Column:
     """Turns a bound into a long or double that does not fall as the bound rises."""
-    kind = df.schema[r].dataType["lower"].dataType.typeName()
+    return _number_of(df.schema[r].dataType["lower"].dataType.typeName())
+
+
+def _number_of(kind: str) -> Callable[[Column], Column]:
     if kind.startswith("timestamp"):
         return lambda c: F.unix_micros(c.cast("timestamp")) if kind == "timestamp" else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
     return (lambda c: F.unix_date(c)) if kind == "date" else (lambda c: c.cast("double"))
@@ -112,5 +117,78 @@ def overlapping(left: DataFrame, right: DataFrame, on: list[str], left_range: st
     return met.select(*(a[f"`{c}`"] for c in left.columns), *(F.col(f"`r_{own}_{c}`").alias(c) for c in right.columns if c not in on))
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, on: list[str], left_range: str, right_range: str, count: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """The rows of right that rows of left with equal `on` overlap, with their number as `count` and sums of whole-number columns of left by name, null where all are null.
+
+    No pair is made. Of two ranges that are not empty, at most one ends before the other begins: what overlaps a range is all of left, less what ends before
+    it and less what begins after it. Left's bounds are totalled by their values first, then run through in order; so are right's. Stretches of bounds,
+    cut at about equal parts, are run through apart and begin with the totals of those before them, so no task has all bounds of a key; cuts decide nothing else.
+    """
+    own = uuid.uuid4().hex
+    side, at, turn, asked, stretch, key = (f"{x}_{own}" for x in ("side", "at", "turn", "asked", "stretch", "key"))
+    held = [f"n_{own}", *(f"{x}{k}_{own}" for k in range(len(sums or {})) for x in "ks")]
+    ons = [f"on{k}_{own}" for k in range(len(on))]
+    first = [F.count(F.lit(1)), *(f for c in (sums or {}).values() for f in (F.count(F.col(f"`{c}`")), F.sum(F.col(f"`{c}`").cast("decimal(38,0)"))))]
+    rows = left.where(F.col(left_range).isNotNull() & ~F.col(f"{left_range}.empty"))
+    for c in on:
+        rows = rows.where(F.col(f"`{c}`").isNotNull())
+    # equal ranges first, in one scan
+    rows = rows.groupBy(*(F.col(f"`{c}`").alias(o) for c, o in zip(on, ons, strict=True)), F.col(left_range).alias(at)).agg(*(f.alias(c) for c, f in zip(held, first, strict=True))).withColumnRenamed(at, left_range)
+
+    def totals(df: DataFrame, *by: Column) -> DataFrame:
+        return df.groupBy(*ons, *by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in held))
+
+    # a bound is passed before what stands at it where its turn is less: ends that are not in the range come first, then ends that are, then what begins there
+    bound = lambda r, b, s, order: (F.lit(s).alias(side), F.col(f"{r}.{b}").alias(at), order.alias(turn))
+    upper_in, lower_in = (lambda r: F.col(f"{r}.upper_inc")), (lambda r: F.col(f"{r}.lower_inc"))
+    ends = totals(rows.where(F.col(f"{left_range}.upper").isNotNull()), *bound(left_range, "upper", "end", F.when(upper_in(left_range), 2).otherwise(0)))
+    begins = totals(rows.where(F.col(f"{left_range}.lower").isNotNull()), *bound(left_range, "lower", "begin", F.when(lower_in(left_range), 1).otherwise(3)))
+    real = right.where(F.col(right_range).isNotNull() & ~F.col(f"{right_range}.empty"))
+    of_right = [F.col(f"`{c}`").alias(o) for c, o in zip(on, ons, strict=True)]
+    # an end is before a range that begins at it unless both hold it, and a range begins after one that ends at it unless both hold it
+    lows = real.where(F.col(f"{right_range}.lower").isNotNull()).select(*of_right, *bound(right_range, "lower", "end", F.when(lower_in(right_range), 1).otherwise(3))).distinct()
+    highs = real.where(F.col(f"{right_range}.upper").isNotNull()).select(*of_right, *bound(right_range, "upper", "begin", F.when(upper_in(right_range), 2).otherwise(0))).distinct()
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in ((c, "bigint" if c[0] in "nk" else "decimal(38,0)") for c in held)]
+    steps = ends.unionByName(begins).withColumn(asked, F.lit(False)).unionByName(lows.union(highs).select("*", *nothing, F.lit(True).alias(asked)))
+    number = _number_of(steps.schema[at].dataType.typeName())
+    cuts = steps.select(number(F.col(at)).cast("double").alias("x")).approxQuantile("x", [k / STRETCHES for k in range(1, STRETCHES)], 0.25 / STRETCHES)
+    cuts = sorted(set(cuts))
+    place = F.lit(0)
+    if cuts:
+        place = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, x: n + (x < F.col(key)).cast("int"))
+    steps = steps.withColumn(key, number(F.col(at)).cast("double")).withColumn(stretch, place)
+    before = steps.groupBy(*ons, side, stretch).agg(*(F.sum(c).alias(c) for c in held))
+    passed = Window.partitionBy(*ons, side).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(*ons, side, stretch, *(F.coalesce(F.sum(c).over(passed), F.lit(0)).alias(f"b{c}") for c in held))
+    along = Window.partitionBy(*ons, side, stretch).orderBy(at, turn).rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.withColumns({c: F.coalesce(F.sum(c).over(along), F.lit(0)) for c in held}).where(F.col(asked))
+    same = [run[c].eqNullSafe(before[c]) for c in (*ons, side, stretch)]
+    joined = run.join(before, reduce(lambda a, b: a & b, same))
+    reached = joined.select(*(run[c] for c in (*ons, side, at, turn)), *((F.col(c) + F.col(f"b{c}")).alias(c) for c in held))
+    all_of = totals(rows)
+
+    def looked_up(df: DataFrame, found: DataFrame, prefix: str, match: list[Column], how: str) -> DataFrame:
+        found = found.select(*(F.col(c).alias(prefix + c) for c in found.columns))
+        match = [F.col(f"`{c}`") == F.col(prefix + o) for c, o in zip(on, ons, strict=True)] + match
+        df = df.join(found, reduce(lambda a, b: a & b, match), how) if match else df.crossJoin(found)
+        return df.drop(*(prefix + c for c in (*ons, side, at, turn)))
+
+    low_turn, high_turn = F.when(lower_in(right_range), 1).otherwise(3), F.when(upper_in(right_range), 2).otherwise(0)
+    out = looked_up(real, all_of, "a", [], "inner")
+    out = looked_up(out, reached.where(F.col(side) == "end"), "e", [F.col(f"{right_range}.lower") == F.col("e" + at), low_turn == F.col("e" + turn)], "left")
+    # what begins after a range is all that has a beginning, less what has begun by its end
+    begun = totals(rows.where(F.col(f"{left_range}.lower").isNotNull()))
+    out = looked_up(out, reached.where(F.col(side) == "begin"), "h", [F.col(f"{right_range}.upper") == F.col("h" + at), high_turn == F.col("h" + turn)], "left")
+    out = looked_up(out, begun, "g", [], "left") if on else out.crossJoin(begun.select(*(F.col(c).alias("g" + c) for c in begun.columns)))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    after = lambda c: F.when(F.col(f"{right_range}.upper").isNotNull(), zero("g" + c) - zero("h" + c)).otherwise(0)
+    totalled = {c: zero("a" + c) - zero("e" + c) - after(c) for c in held}
+    out = out.withColumns({"t" + c: x for c, x in totalled.items()}).where(F.col(f"tn_{own}") > 0)
+    found = [F.when(F.col(f"tk{k}_{own}") > 0, F.col(f"ts{k}_{own}")).cast("bigint").alias(name) for k, name in enumerate(sums or {})]
+    return out.select(*(F.col(f"`{c}`") for c in right.columns), F.col(f"tn_{own}").cast("bigint").alias(count), *found)
+
+
+#: Stretches of bounds that are run through apart.
+STRETCHES = 64
 #: Levels of widths between the whole span and the finest.
 LEVELS = 40

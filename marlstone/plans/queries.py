@@ -641,8 +641,8 @@ def range_intersection_aggregate(spark, sf_dir):
 def range_overlap_join(spark, sf_dir):
     first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min("l_shipdate").cast("date").alias("c"))
     season = first.select("l_suppkey", "l_returnflag", ranges.make_range(F.col("c"), F.date_add("c", (F.col("l_suppkey") % 400).cast("int") + 1), discrete=True).alias("season"))
-    met = intervals.overlapping(_order_windows(spark, sf_dir), season, [], "days", "season")
-    return met.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    met = intervals.overlap_totals(_order_windows(spark, sf_dir), season, [], "days", "season", "n", {"keys": "o_orderkey"})
+    return met.select("l_suppkey", "l_returnflag", "n", "keys")
 
 
 # Writes, as the table after them

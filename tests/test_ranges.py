@@ -156,3 +156,28 @@ def test_a_long_range_is_copied_a_few_times(spark):
     assert intervals.overlapping(short.limit(0), long, [], "r", "r").count() == 0 and intervals.overlapping(short.limit(0), long.limit(0), [], "r", "r").count() == 0
     same = spark.createDataFrame([(0, (3.0, 3.0, True, True, False))], f"i int, r {KIND.format('double')}")
     assert intervals.overlapping(same, same.withColumnRenamed("i", "j"), [], "r", "r").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "date", "timestamp"])
+def test_overlap_totals_against_all_pairs(spark, kind):
+    rng = random.Random(kind + "totals")
+    left, right = random_ranges(rng, 300, kind), random_ranges(rng, 200, kind)
+    schema = f"i int, k string, r {KIND.format(kind)}"
+    a, b = spark.createDataFrame(left, schema).withColumn("v", F.when(F.col("i") % 3 > 0, F.col("i"))), spark.createDataFrame(right, schema).withColumnsRenamed({"i": "j", "r": "s"})
+    for on in (["k"], []):
+        got = intervals.overlap_totals(a, b, on, "r", "s", "n", {"total": "v"})
+        assert got.columns == ["j", "k", "s", "n", "total"]
+        want = {}
+        for j, m, s in right:
+            met = [i for i, k, r in left if overlap(r, s) and (not on or k is not None and k == m)]
+            if met:
+                values = [i for i in met if i % 3]
+                want[j] = (len(met), sum(values) if values else None)
+        assert {r["j"]: (r["n"], r["total"]) for r in got.collect()} == want
+    assert intervals.overlap_totals(a.limit(0), b, [], "r", "s", "n").count() == intervals.overlap_totals(a, b.limit(0), [], "r", "s", "n").count() == 0
+
+
+def test_totals_of_overlaps_make_no_pairs(spark):
+    df = spark.range(20_000).select(F.col("id").cast("int").alias("i"), R.make_range(F.lit(0), F.lit(10), discrete=True).alias("r"))
+    got = intervals.overlap_totals(df, df.withColumnsRenamed({"i": "j", "r": "s"}), [], "r", "s", "n", {"t": "i"})  # 400 million pairs
+    assert tuple(got.agg(F.count("*"), F.min("n"), F.max("n"), F.max("t")).first()) == (20_000, 20_000, 20_000, 199_990_000)
