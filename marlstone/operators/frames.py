@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 UNBOUNDED = Window.unboundedFollowing
 FIRST = Window.unboundedPreceding
+#: Rows of a task, about: it sorts them several times in a row of frames.
+ROWS = 100_000
+#: Distance that a stretch of a dealt partition covers at least.
+STRETCH = 1000
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,12 @@ def avg_of(kind: str) -> Aggregate:
     )
 
 
+def tasks_for(df: DataFrame) -> int | None:
+    """Tasks that have about ROWS rows of df each, or None where Spark's own number of them suffices. Counts df."""
+    tasks = -(-df.count() // ROWS)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def with_frame(
     df: DataFrame,
     name: str,
@@ -69,14 +79,29 @@ def with_frame(
     start: int = FIRST,
     end: int = 0,
     exclude: str = "no others",
+    along: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Adds `name`: aggregate(value) OVER (PARTITION BY partition ORDER BY order kind BETWEEN start AND end EXCLUDE …).
 
     start and end count rows, peer groups or, for range, units of the one order column, negative ones before the current row; FIRST and UNBOUNDED are the partition's ends.
-    exclude is `no others`, `current row`, `group` or `ties`. Without an order all rows are peers. Of rows that the order does not tell apart, the order in a ROWS frame is any.
+    exclude is `no others`, `current row`, `group` or `ties`. along: for a range of bounded distance, the order column's name, where it is of whole numbers in ascending order;
+    a partition is then dealt out in stretches of it, each with copies of the rows that frames of its own reach, so that no partition is one task's. tasks: that partitions are dealt to, by tasks_for; Spark's number if not given. Without an order all rows are peers. Of rows that the order does not tell apart, the order in a ROWS frame is any.
     """
     tag = uuid.uuid4().hex
     g, r, v = f"g_{tag}", f"r_{tag}", f"v_{tag}"
+    if along is not None:
+        if kind != "range" or FIRST in (start, end) or UNBOUNDED in (start, end):
+            raise ValueError("only a range of bounded distance can be dealt out along its order")
+        stretch, copied = f"d_{tag}", f"c_{tag}"
+        width, x = max(STRETCH, end - start), F.col(f"`{along}`").cast("decimal(38,0)")
+        of = lambda x: F.floor(x / width).cast("bigint")
+        # a row is in frames of rows from x - end to x - start, of two stretches at most beside its own; nulls are a stretch
+        reach = F.array_distinct(F.array(of(x), of(x - end), of(x - start)))
+        df = df.withColumn(stretch, F.explode(reach)).withColumn(copied, ~F.col(stretch).eqNullSafe(of(x)))
+        return with_frame(df, name, aggregate, value, [*partition, stretch], order, kind, start, end, exclude, tasks=tasks).where(~F.col(copied)).drop(stretch, copied)
+    if tasks and partition:
+        df = df.repartition(tasks, *partition)
     by = Window.partitionBy(*partition)
     ordered = by.orderBy(*(order or [F.lit(1)]))
     df = df.withColumns({v: value}).withColumns({g: F.dense_rank().over(ordered), r: F.row_number().over(ordered)})

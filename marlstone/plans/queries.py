@@ -346,12 +346,13 @@ def frames_of_any_aggregate(spark, sf_dir):
     price, first, last = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice").cast("decimal(18,2)")), frames.FIRST, frames.UNBOUNDED
     customer, priority, key = ["o_custkey"], [F.col("o_orderpriority")], [F.col("o_orderkey")]
     df = table(spark, sf_dir, "orders")
-    df = frames.with_frame(df, "least", frames.MIN, price, customer, priority, "groups", -1, 1, "group")
+    tasks = frames.tasks_for(df)  # those after the first frame find its partitions
+    df = frames.with_frame(df, "least", frames.MIN, price, customer, priority, "groups", -1, 1, "group", tasks=tasks)
     df = frames.with_frame(df, "most", frames.MAX, price, customer, priority, "groups", -2, 0, "ties")
     df = frames.with_frame(df, "others", frames.COUNT, price, customer, priority, "range", first, last, "current row")
     df = frames.with_frame(df, "near", frames.avg_of("decimal(28,2)"), price, customer, key, "rows", -3, 3, "current row")
     df = frames.with_frame(df, "keys", frames.ARRAY_AGG, F.col("o_orderkey"), customer, key, "rows", -2, 2, "current row")
-    df = frames.with_frame(df, "around", frames.MAX, price, ["o_orderpriority"], [F.col("o_custkey")], "range", -4, 4, "group")
+    df = frames.with_frame(df, "around", frames.MAX, price, ["o_orderpriority"], [F.col("o_custkey")], "range", -4, 4, "group", along="o_custkey", tasks=tasks)
     return df.select("o_orderkey", "least", "most", "others", "near", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"), "around")
 
 

@@ -74,3 +74,24 @@ def test_arrays_keep_nulls_and_columns_of_any_name(spark):
 def test_frames_that_no_row_is_in(rows):
     got = frames.with_frame(rows, "s", frames.COUNT, F.col("v"), ["k"], [F.col("g")], "groups", 0, 0, "group")
     assert {r["s"] for r in got.collect()} == {0}
+
+
+@pytest.mark.parametrize(("start", "end"), [(-4, 4), (0, 3), (-7, -2), (2, 2500), (3, 1)])
+@pytest.mark.parametrize("exclude", ["no others", "current row", "group", "ties"])
+def test_a_partition_is_dealt_out_along_its_order(spark, start, end, exclude):
+    df = spark.range(600).selectExpr("id % 2 AS k", "CASE WHEN id % 50 > 0 THEN id * 7919 % 4001 - 1500 - id % 3 END AS o", "id")
+    frame = lambda along: frames.with_frame(df, "a", frames.avg_of("bigint"), F.col("id"), ["k"], [F.col("o")], "range", start, end, exclude, along=along)
+    got = frame("o")
+    assert got.columns == ["k", "o", "id", "a"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, frame(None).collect()))
+
+
+def test_no_task_has_a_whole_partition(spark):
+    df = spark.range(20_000).selectExpr("1 AS k", "id AS o")
+    got = frames.with_frame(df, "a", frames.MAX, F.col("o"), ["k"], [F.col("o")], "range", -4, 4, "group", along="o")
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 15_000 and got.count() == 20_000
+    assert frames.tasks_for(df) is None and frames.tasks_for(spark.range(1_000_000)) == 10
+    got = frames.with_frame(df, "a", frames.MAX, F.col("o"), ["o"], [F.col("k")], tasks=30)
+    assert got.groupBy(F.spark_partition_id()).count().count() == 30
+    with pytest.raises(ValueError, match="bounded"):
+        frames.with_frame(df, "a", frames.MAX, F.col("o"), ["k"], [F.col("o")], "range", frames.FIRST, 0, along="o")
